@@ -74,3 +74,10 @@ def test_wanted_documents(spark):
     manifest = O.write_shards(df, PATH, shared.scratch(spark, "t"))
     got = {k: list(v) for k, v in O.read_documents(spark, manifest, [3, 49, 1000])}
     assert got == {k: [*LIB.encode(f"word {k}").ids, 1] for k in (3, 49)}
+
+
+def test_words_as_library():
+    own = O.encoder(PATH)
+    assert own.by_chunk and own.letters and len(own.signs) == 6
+    texts = ["Straße, ÉTÉ. aª ºb µm ÿ", "x" * 300 + " don't I'll 'S", "naïve! a.b, .", "日本 語, é̀", "Σας, ς"]
+    assert [own.encode(t) for t in texts] == [struct.pack(f"<{len(i)}I", *i) for i in (LIB.encode(t).ids for t in texts)]

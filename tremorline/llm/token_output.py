@@ -51,7 +51,7 @@ LEVEL = 3
 #: Compressed bytes that a shard aims at.
 SHARD_BYTES = 64 << 20
 MEMO_ENTRIES = 400_000
-MEMO_CHARS = 128
+MEMO_CHARS = 12
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
@@ -140,7 +140,13 @@ class Shard:
 
 
 class _Encoder(dict):
-    """Packed ids by white-space-delimited chunk, from the tokenizers library; bounded."""
+    """Packed ids by white-space-delimited chunk, from the tokenizers library; bounded.
+
+    White space ends words, so chunks can be encoded each by itself.  A run of Latin-1
+    letters is one word, in lower case, and goes straight to the library's model; a sign
+    behind it is a word of its own.  All other chunks go through the whole tokenizer.
+    The file is probed for these properties; without them whole texts are encoded.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -150,27 +156,53 @@ class _Encoder(dict):
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        # white space ends words, so chunks can be encoded each by itself
+        self.tokenize = self.own.model.tokenize
+        self.words: dict[str, bytes] = {}
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = [b for b in range(256) if b not in printable]
+        self.byte_level = {b: chr(256 + n) for n, b in enumerate(hidden)}
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        probes = ["".join(letters), *letters, "Word", "ÉTÉ", "straße"]
+        self.letters = all(self._word(w.lower()) == self._whole(w) for w in probes)
+        self.signs = {s: self._whole(s) for s in ".,;:!?" if self._whole("ab" + s) == self._whole("ab") + self._whole(s)}
         probe = "a <|endoftext|>Bé, 1\n\tc"
-        self.by_chunk = self._all([probe]) == [b"".join(self._all(probe.split()))]
-
-    def _all(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        if not self.by_chunk:
-            return self._all(texts)
-        chunks = [None if any(c in t for c in NOT_SPACE) else t.split() for t in texts]
-        new = list(set().union(*(c for c in chunks if c)).difference(self))
-        if len(self) + len(new) > MEMO_ENTRIES:
-            self.clear()
-            new = list(set().union(*(c for c in chunks if c)))
-        self.update(zip(new, self._all(new), strict=True))
-        out = [self._all([t])[0] if c is None else b"".join(map(self.__getitem__, c)) for t, c in zip(texts, chunks, strict=True)]
-        for long in [x for x in new if len(x) > MEMO_CHARS]:
-            del self[long]
-        return out
+        self.by_chunk = self._whole(probe) == b"".join(map(self._whole, probe.split()))
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_level))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, chunk: str) -> bytes:
+        body, sign = chunk, b""
+        if len(chunk) > 1 and chunk[-1] in self.signs:
+            body, sign = chunk[:-1], self.signs[chunk[-1]]
+        if self.letters and body.isalpha() and (body.isascii() or max(body) <= "\xff"):
+            word = body.lower()
+            raw = self.words.get(word)
+            if raw is None:
+                raw = self._word(word)
+                if len(word) <= MEMO_CHARS:
+                    if len(self.words) >= MEMO_ENTRIES:
+                        self.words.clear()
+                    self.words[word] = raw
+            raw += sign
+        else:
+            raw = self._whole(chunk)
+        if len(chunk) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[chunk] = raw
+        return raw
+
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text."""
+        if not self.by_chunk or any(c in text for c in NOT_SPACE):
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
@@ -202,10 +234,10 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
     def encode(batches):
         own = encoder(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                raws = [r + struct.pack("<I", end_id) for r in own.encode(texts)]
+                raws = [own.encode(t) + struct.pack("<I", end_id) for t in texts]
                 keys = part.column(0)
                 values = np.array(keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), dtype=np.int64)
                 hashes = np.array([xxhash.xxh64_intdigest(r, 7) >> 1 for r in raws], dtype=np.int64)
