@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,16 +42,16 @@ def posterior_background(x: Column, m: dict) -> Column:
     return back / F.greatest(after + back, F.lit(1e-300))
 
 
-#: Fixed values of the portable generator: a linear congruence modulo 2**31, applied three times.
-FACTOR, STEP, MODULUS = 1103515245, 12345, 2147483648
+#: Fixed values of the portable generator: a congruence modulo 2**31 with the middle of the square added.
+FACTOR, STEP, MODULUS, MIDDLE, ROUNDS = 1103515245, 12345, 2147483648, 15, 4
 
 
 def portable_integer(ord_: Column, seed, salt: int) -> Column:
     """0 to 2**31 - 1 from the row's place; whole-number arithmetic, so other engines get the same."""
     seed = seed if isinstance(seed, Column) else F.lit(int(seed))
     x = F.pmod(ord_.cast("long") * 7919 + seed.cast("long") * 104729 + F.lit(salt * 15485863).cast("long"), F.lit(MODULUS).cast("long"))
-    for shift in (1, 32768, 1):
-        x = F.pmod(F.floor(x / shift) + x * FACTOR + STEP, F.lit(MODULUS).cast("long"))
+    for _ in range(ROUNDS):
+        x = F.pmod(F.shiftright(x * x, MIDDLE) + x * FACTOR + STEP, F.lit(MODULUS).cast("long"))
     return x
 
 
@@ -59,13 +61,8 @@ def portable_uniform(ord_: Column, seed, salt: int) -> Column:
 
 def numpy_uniform(ord_: Column, seed: int) -> Column:
     """The ord-th (from 1) number of numpy's default generator: each batch jumps to its places."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def draw(places: pd.Series) -> pd.Series:
-        import numpy as np
-
         values = places.to_numpy()
         order = np.argsort(values, kind="stable")
         out = np.empty(len(values))

@@ -83,9 +83,14 @@ def correlations(table: DataFrame, features: tuple = ("mainshock_mag", "mainshoc
         return counts.select(*keys, value, (F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2).alias(f"r{value}"))
 
     ranked = long.join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
+
+    def corr(a: str, b: str) -> Column:
+        """Null where a side doesn't vary; Spark's own fails there."""
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
     mean = lambda cond: F.avg(F.when(cond, F.col("x")))
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), mean(F.col("y") > 0).alias("_a"), mean(F.col("y") <= 0).alias("_b"), F.stddev_samp("x").alias("_s"))
-    return out.where("n >= 3 and _s > 0").select(*keys, "n", *(F.round(c, 3).alias(c) for c in ("pearson", "spearman")), F.round((F.col("_a") - F.col("_b")) / F.col("_s"), 3).alias("gap_std"))
+    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"), mean(F.col("y") > 0).alias("_a"), mean(F.col("y") <= 0).alias("_b"), F.stddev_samp("x").alias("_s"))
+    return out.where("n >= 3 and _s > 0").select(*keys, "n", *(F.round(c, 3).alias(c) for c in ("pearson", "spearman")), F.round(F.try_divide(F.col("_a") - F.col("_b"), F.col("_s")), 3).alias("gap_std"))
 
 
 def uncensored(table: DataFrame, endtime, days: float = model.HORIZON_DAYS) -> DataFrame:

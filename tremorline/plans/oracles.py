@@ -48,8 +48,8 @@ def pairs(policy: RadiusPolicy, source: str = "complete", by: str = "", name: st
 
 def lcg(name: str, source: str, seed: str, salt: int) -> str:
     """name: source with the portable integer of each row as u."""
-    step = lambda n, shift: f"{name}_{n} AS (SELECT * EXCLUDE (u{n - 1}), (u{n - 1} // {shift} + u{n - 1} * 1103515245 + 12345) % 2147483648 AS u{n} FROM {name}_{n - 1})"
-    return f"{name}_0 AS (SELECT *, (ord * 7919 + CAST({seed} AS BIGINT) * 104729 + {salt * 15485863}) % 2147483648 AS u0 FROM {source}), {step(1, 1)}, {step(2, 32768)}, {step(3, 1)}, {name} AS (SELECT * EXCLUDE (u3), u3 AS u FROM {name}_3)"
+    step = lambda n: f"{name}_{n} AS (SELECT * EXCLUDE (u{n - 1}), ((u{n - 1} * u{n - 1}) // 32768 + u{n - 1} * 1103515245 + 12345) % 2147483648 AS u{n} FROM {name}_{n - 1})"
+    return f"{name}_0 AS (SELECT *, (ord * 7919 + CAST({seed} AS BIGINT) * 104729 + {salt * 15485863}) % 2147483648 AS u0 FROM {source}), {step(1)}, {step(2)}, {step(3)}, {step(4)}, {name} AS (SELECT * EXCLUDE (u4), u4 AS u FROM {name}_4)"
 
 
 def density(mu: float, sigma: float) -> str:

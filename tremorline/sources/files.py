@@ -18,20 +18,28 @@ def read_bronze(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def as_text(table: DataFrame) -> DataFrame:
-    """Times to whole seconds with their offset, booleans as True and False, numbers as they are."""
+    """Times to whole seconds with their offset, booleans as True and False, numbers as they are.
+
+    Columns go by their place, as two names may differ in case alone.
+    """
+    placed = table.toDF(*(f"c{i}" for i in range(len(table.columns))))
 
     def column(f: T.StructField):
-        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(c.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxx").alias(f.name)
+            return F.date_format(F.col(f.name).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssxx").alias(f.name)
         if isinstance(f.dataType, T.BooleanType):
-            return F.initcap(c.cast("string")).alias(f.name)
-        return c.alias(f.name)
+            return F.initcap(F.col(f.name).cast("string")).alias(f.name)
+        return F.col(f.name)
 
-    return table.select(*(column(f) for f in table.schema.fields))
+    return placed.select(*(column(f) for f in placed.schema.fields)).toDF(*table.columns)
 
 
 def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
     """A folder of comma-separated parts; with ``single`` one part, for tables that people open."""
-    text = as_text(table)
-    (text.coalesce(1) if single else text).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    text, conf = as_text(table), table.sparkSession.conf
+    before = conf.get("spark.sql.caseSensitive")
+    try:
+        conf.set("spark.sql.caseSensitive", "true")
+        (text.coalesce(1) if single else text).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    finally:
+        conf.set("spark.sql.caseSensitive", before)
