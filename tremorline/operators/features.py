@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import geo
 from .completeness import trim_to_mc
+from .ordering import numbered
 
 log = logging.getLogger(__name__)
 
@@ -67,20 +68,16 @@ def build_features(summary: DataFrame, catalog: DataFrame, mc: float, log10_eta0
 def correlations(table: DataFrame, features: tuple = ("mainshock_mag", "mainshock_depth", "n_prior_2d", "n_prior_30d", "n_prior_365d", "prior_max_mag_365d", "days_since_prior", "dist_to_border_km"), by: tuple = ()) -> DataFrame:
     """(by, feature, n, pearson, spearman, gap_std) against n_aftershocks, of features that exist and vary.
 
-    Ranks of equal values are averaged.  They come from counts by distinct value, summed
-    in order, so no window ever holds all rows.
+    Ranks of equal values are averaged; rows are numbered in ranges, so no task sorts them all.
     """
-    from pyspark.sql import Window
-
     kept = [c for c in features if c in table.columns]
     y = F.col("n_aftershocks").cast("double")
     long = table.select(*by, y.alias("y"), F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in kept))).alias("f")).select(*by, "f.feature", "f.x", "y").where("x is not null")
     keys = [*by, "feature"]
 
     def ranks(value: str) -> DataFrame:
-        counts = long.groupBy(*keys, value).agg(F.count("*").alias("c"))
-        before = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.select(*keys, value, (F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2).alias(f"r{value}"))
+        places = numbered(long.select(*keys, value), (value,), tuple(keys), "place")
+        return places.groupBy(*keys, value).agg(((F.min("place") + F.max("place")) / 2).alias(f"r{value}"))
 
     ranked = long.join(ranks("x"), [*keys, "x"]).join(ranks("y"), [*keys, "y"])
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import geo
 from ..storage import written
+from .ordering import numbered
 
 MOST_ROUNDS = 40
 
@@ -45,10 +46,11 @@ def with_mainshock(clustered: DataFrame, definition: str = "largest", by: tuple
     """Adds order_in_cluster and is_mainshock: the largest event (of equal ones the first) or the root."""
     if definition not in ("largest", "root"):
         raise ValueError(f"unknown mainshock definition {definition!r}; it is 'largest' or 'root'")
-    own = Window.partitionBy(*by, "cluster_id")
-    out = clustered.withColumn("order_in_cluster", (F.row_number().over(own.orderBy("time", "ord")) - 1).cast("int"))
-    main = F.row_number().over(own.orderBy(F.col("mag").desc(), "time", "ord")) == 1 if definition == "largest" else F.col("generation") == 0
-    return out.withColumn("is_mainshock", main)
+    out = numbered(clustered, ("time", "ord"), (*by, "cluster_id"), "_place").withColumn("order_in_cluster", (F.col("_place") - 1).cast("int")).drop("_place")
+    if definition == "root":
+        return out.withColumn("is_mainshock", F.col("generation") == 0)
+    main = clustered.groupBy(*by, "cluster_id").agg(F.min(F.struct((-F.col("mag")).alias("size"), "time", "ord")).alias("_main"))
+    return out.join(main, [*by, "cluster_id"]).withColumn("is_mainshock", F.col("ord") == F.col("_main.ord")).drop("_main")
 
 
 def summarize(events: DataFrame, by: tuple = ()) -> DataFrame:

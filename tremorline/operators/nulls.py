@@ -5,13 +5,14 @@ from __future__ import annotations
 import logging
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import stats
 from . import mixture as mix
 from .neighbors import nearest_neighbor
+from .ordering import numbered
 from .silver import with_order
 
 log = logging.getLogger(__name__)
@@ -37,9 +38,8 @@ def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng:
         each = own.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
         seeds = F.lit(int(seed)) + F.col("repetition") * 1000003
         drawn = written(each.withColumns({"_a": stats.portable_integer(F.col("ord"), seeds, 1), "_b": stats.portable_integer(F.col("ord"), seeds, 2)}), "shuffled")
-        number = lambda c: F.row_number().over(Window.partitionBy("repetition").orderBy(c, "ord")).cast("long")
-        times = drawn.select("repetition", number("_a").alias("ord"), F.col("time").alias("_time"))
-        mags = drawn.select("repetition", number("_b").alias("ord"), F.col("mag").alias("_mag"))
+        times = numbered(drawn.select("repetition", "_a", F.col("ord").alias("_was"), F.col("time").alias("_time")), ("_a", "_was"), ("repetition",)).drop("_a", "_was")
+        mags = numbered(drawn.select("repetition", "_b", F.col("ord").alias("_was"), F.col("mag").alias("_mag")), ("_b", "_was"), ("repetition",)).drop("_b", "_was")
     elif rng == "numpy":
         n = own.count()
         if n > NUMPY_EVENTS:

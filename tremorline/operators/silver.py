@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
+from .ordering import numbered
 
 #: Texts that count as missing in a raw catalog.
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -43,11 +44,13 @@ def latest(df: DataFrame, by: tuple = ()) -> DataFrame:
     """One row by id, the last updated; a missing update time counts as the last.
 
     Ties go to the latest event time, then to the larger values, so the result does
-    not depend on the order of the input.
+    not depend on the order of the input.  It is a maximum, so an id that fills a third
+    of the rows is pre-aggregated where it is read.
     """
-    rest = [F.col(c).desc_nulls_last() for c in df.columns if c not in ("id", "updated", "time", *by)]
-    order = Window.partitionBy(*by, "id").orderBy(F.col("updated").desc_nulls_first(), F.col("time").desc_nulls_last(), *rest)
-    return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    keys = [*by, "id"]
+    rest = [c for c in df.columns if c not in (*keys, "updated", "time")]
+    newest = F.max(F.struct(F.col("updated").isNull().alias("_open"), "updated", "time", *rest)).alias("_newest")
+    return df.groupBy(*keys).agg(newest).select(*(F.col(c) if c in keys else F.col(f"_newest.{c}").alias(c) for c in df.columns))
 
 
 def refine(raw: DataFrame, by: tuple = ()) -> DataFrame:
@@ -60,23 +63,5 @@ def refine(raw: DataFrame, by: tuple = ()) -> DataFrame:
 
 
 def with_order(catalog: DataFrame, by: tuple = (), name: str = "ord") -> DataFrame:
-    """Numbers the events of each group by (time, id), from 1.
-
-    The numbers of a whole catalog are counted without one sorting task: rows are
-    range-partitioned by time, numbered within their part, and the parts' sizes added up.
-    """
-    if by:
-        return catalog.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("time", "id")).cast("long"))
-    spark = catalog.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    from ..storage import written
-
-    placed = written(catalog.repartitionByRange(parts, "time", "id").withColumn("_part", F.spark_partition_id()), "ordered")
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row a partition
-    starts, total = {}, 0
-    for part in sorted(sizes):
-        starts[part] = total
-        total += sizes[part]
-    table = spark.createDataFrame(list(starts.items()), "_part int, _start long")
-    own = placed.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("time", "id")))
-    return own.join(F.broadcast(table), "_part").withColumn(name, F.col("_start") + F.col("_n")).drop("_part", "_n", "_start")
+    """Numbers the events of each group by (time, id), from 1."""
+    return numbered(catalog, ("time", "id"), by, name)
