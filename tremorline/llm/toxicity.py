@@ -170,12 +170,12 @@ class Scorer:
         return 0.5 * p / t if p < t else 0.5 + 0.5 * (p - t) / (1 - t)
 
 
-def train(texts: list[list[str]], labels: np.ndarray, epochs: int = 6, least_steps: int = 900, batch: int = 64, rate: float = 0.03, seed: int = 7) -> Model:
+def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, least_steps: int = 900, batch: int = 64, rate: float = 0.03, seed: int = 7) -> Model:
     """Adam on the dense layers and Adagrad on the embeddings, gradients only where a filter's maximum is."""
     rng = np.random.default_rng(seed)
     m = new_model(rng)
     row: dict[str, int] = {}
-    docs = [np.fromiter((row.setdefault(w, len(row) + 1) for w in t), dtype=np.int32, count=len(t)) for t in texts]
+    docs = [np.array([row.setdefault(w, len(row) + 1) for w in words(t)], dtype=np.int32) for t in texts]  # no text's words are kept
     places = np.zeros((len(row) + 1, 1 + len(PREFIXES)), dtype=np.int64)
     for w, n in row.items():
         places[n] = buckets(w)
@@ -241,10 +241,10 @@ def train(texts: list[list[str]], labels: np.ndarray, epochs: int = 6, least_ste
     return m
 
 
-def calibrate(model: Model, texts: list[list[str]], labels: np.ndarray, least: int = 20) -> None:
+def calibrate(model: Model, texts: list[str | None], labels: np.ndarray, least: int = 20) -> None:
     """By language, the threshold with the most right answers; too few toxic rows: the common one."""
     scorer = Scorer(model)
-    seen = [scorer.look(t) for t in texts]
+    seen = [scorer.look(words(t)) for t in texts]
     p, lang = np.array([x[0] for x in seen]), np.array([x[1] for x in seen])
 
     def best(p, y):
@@ -282,14 +282,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes:
     """Trains on four fifths of the sample and calibrates on the rest."""
     got = sample(docs, labels, rows, most_bytes)
     y = np.array([r[2] for r in got], dtype=np.float32)
-    tokens = [words(r[1]) for r in got]
+    texts = [r[1] for r in got]
     held = np.array([zlib.crc32(b"calibrate%d" % r[0]) % 5 == 0 for r in got], dtype=bool)
     if not len(got) or y[~held].min(initial=1) == y[~held].max(initial=0):
         model = new_model(np.random.default_rng(0))
         model.empty = True
         return model
-    model = train([t for t, h in zip(tokens, held, strict=True) if not h], y[~held])
-    calibrate(model, [t for t, h in zip(tokens, held, strict=True) if h], y[held])
+    model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
+    calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], y[held])
     return model
 
 
