@@ -1,14 +1,14 @@
 """Near-duplicate lines across a corpus by a deletion-neighbourhood join.
 
 Two lines are near if one word's insertion, deletion or substitution turns one into
-the other; lines are compared lower-cased, with white space runs as single spaces.
+the other; lines are compared lower-cased, with runs of spaces, tabs and carriage returns as single spaces.
 A line goes if an earlier line, by (document id, place), equals it or is near it;
 lines under ``min_chars`` characters always stay, and those under ``min_words`` words
 are compared for equality only.  All of this is DataFrame code; no Python runs on
 the executors.
 
-* Every line emits hashes of its first and its last half of words.  Near lines share
-  at least one of these, so lines that share none with a different line drop out
+* Every line emits hashes of about its first and its last half of words.  Near lines
+  share at least one of these, so lines that share none with a different line drop out
   (pre-aggregated as least and largest line hash by key).
 * The remaining distinct lines emit their deletion neighbourhood as hashed keys: the
   line without its j-th word, and the line itself at each boundary, named by length,
@@ -43,12 +43,14 @@ _LAST = 0x7FFFFFFFFFFFFFFF
 _D, _T, _GONE = "line dedup: document", "line dedup: text hash", "line dedup: places"
 
 
-def normalize(line: Column) -> Column:
-    """Lower case, white space runs as single spaces, none at the ends."""
-    odd = line.contains("  ")
-    for c in "\t\r\x0b\x0c":
-        odd = odd | line.contains(c)
-    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line)))
+def normalize(text: Column) -> Column:
+    """Lower case; in each line, runs of spaces, tabs and carriage returns as single spaces, none at the ends."""
+    low = F.lower(text)
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\r", " \n", "\n "):
+        odd = odd | text.contains(c)
+    tidy = F.regexp_replace(F.regexp_replace(low, r"[ \t\r]+", " "), r" ?\n ?", "\n")
+    return F.trim(F.when(odd, tidy).otherwise(low))
 
 
 def _keys(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
@@ -56,26 +58,35 @@ def _keys(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
 
 
 def _lines(docs: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    """(d, t, pos, norm, h, g, n): the lines that take part, with two hashes and the number of words."""
+    """(d, t, pos, norm, h, g): the lines that take part, with two hashes."""
     d, t = _keys(docs, key, text)
-    split = docs.select(d.alias("d"), t.alias("t"), F.posexplode(F.split(docs[text], "\n")).alias("pos", "line"))
-    return (
-        split.select("d", "t", "pos", normalize(F.col("line")).alias("norm"))
-        .where(F.length("norm") >= min_chars)
-        .select("*", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"), (F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).alias("n"))
-    )
+    split = docs.select(d.alias("d"), t.alias("t"), F.posexplode(F.split(normalize(docs[text]), "\n")).alias("pos", "norm"))
+    return split.where(F.length("norm") >= min_chars).select("*", F.xxhash64("norm").alias("h"), F.hash("norm").alias("g"))
 
 
-def _halves(min_words: int) -> list[Column]:
-    """Hashes of the first and last m words, m half the words rounded down and up; null where not needed."""
-    n, norm = F.col("n"), F.col("norm")
-    down, up = F.floor(n / 2).cast("int"), F.floor((n + 1) / 2).cast("int")
-    long = n >= min_words
+def _n_words(norm: str = "norm") -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
-    def part(m: Column, sign: int, side: str, when: Column) -> Column:
-        return F.when(when, F.xxhash64(F.call_function("substring_index", norm, F.lit(" "), m * sign), m, F.lit(side)))
 
-    return [part(down, 1, "a", long), part(down, -1, "z", long), part(up, 1, "a", long & (up > down)), part(up, -1, "z", long & (up > down))]
+#: The lengths of the hashed parts are multiples of this many words.
+STEP = 4
+
+
+def _halves(lines: DataFrame, min_words: int) -> DataFrame:
+    """Adds a, z, a2, z2: hashes of the first and last m words, null where not needed.
+
+    m is the greatest multiple of STEP within half the words n.  One edit leaves m words
+    alone at one of the ends, and the other line's m is the same unless n + 1 reaches
+    the next multiple; such lines emit that one, too.
+    """
+    m = F.floor(F.col("n") / (2 * STEP)).cast("int") * STEP
+
+    def part(m: Column, sign: int, when: Column) -> Column:
+        return F.when(when, F.xxhash64(F.call_function("substring_index", F.col("norm"), F.lit(" "), m * sign), m, F.lit(sign)))
+
+    long = (F.col("n") >= min_words) & (m > 0)
+    more = (F.col("n") >= min_words) & (F.col("n") % (2 * STEP) == 2 * STEP - 1)
+    return lines.select("*", _n_words().alias("n")).select("*", part(m, 1, long).alias("a"), part(m, -1, long).alias("z"), part(m + STEP, 1, more).alias("a2"), part(m + STEP, -1, more).alias("z2"))
 
 
 def bitmap(values: DataFrame) -> DataFrame:
@@ -97,18 +108,27 @@ def in_bitmap(df: DataFrame, bits: DataFrame, values: list[Column]) -> DataFrame
     return df.where(found).select(*columns)
 
 
-def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h, g): the distinct lines that are near an earlier, different line."""
-    lines = _lines(docs, key, text, min_chars)
-    halves = lines.select("h", F.explode(F.array(*_halves(min_words))).alias("x")).where("x is not null")
+def near_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(h, g): the distinct lines that are near an earlier, different line; ``lines`` is hashed_lines()."""
+    ends = ("a", "z", "a2", "z2")
+    halves = lines.where("a is not null").select("h", F.explode(F.array_compact(F.array(*ends))).alias("x"))
     several = halves.groupBy("x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("x")
     bits = shared.materialize(bitmap(several), "line-halves")
+    shares = shared.materialize(in_bitmap(lines.where("a is not null").select("h", "t", *ends), bits, [F.col(x) for x in ends]).select("h", "t"), "lines-sharing")
+    some_lines, some_docs = (shared.materialize(bitmap(shares.select(F.col(x).alias("x"))), "lines-sharing") for x in ("h", "t"))
     order = F.struct("d", "t", "pos")
-    left = in_bitmap(lines.where(F.col("n") >= min_words), bits, _halves(min_words)).groupBy("h", "g").agg(F.min(order).alias("first"), F.any_value("norm").alias("norm"), F.any_value("n").alias("n"))
-    texts = shared.materialize(left, "lines-left")
+    picked = in_bitmap(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), some_docs, [F.xxhash64("text")])
+    left = in_bitmap(_lines(picked, "doc_id", "text", min_chars), some_lines, [F.col("h")]).groupBy("h", "g").agg(F.min(order).alias("first"), F.any_value("norm").alias("norm"))
+    left = shared.materialize(_halves(left, min_words).where("a is not null"), "lines-left")
+    # what the bitmaps let through by mistake goes here: no half in common with another line
+    met = left.select("h", F.explode(F.array_compact(F.array(*ends))).alias("x"))
+    again = met.groupBy("x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("x")
+    true = met.join(again, "x", "left_semi").select("h").distinct()
+    texts = shared.materialize(left.join(true, "h", "left_semi").select("h", "g", "first", "norm", "n"), "lines-left")
 
     line, by_place = "partition by h, g", "partition by h, g order by j"
-    words = texts.select("h", "g", "n", F.posexplode(F.split("norm", " ")).alias("j", "w")).select("h", "g", "n", (F.col("j") + 1).alias("j"), F.xxhash64("w", "j").alias("a"), F.xxhash64("w", F.col("n") - F.col("j")).alias("z"))
+    # dealt by line before its words are taken apart, so the windows below need no shuffle of words
+    words = texts.repartition("h", "g").select("h", "g", "n", F.posexplode(F.split("norm", " ")).alias("j", "w")).select("h", "g", "n", (F.col("j") + 1).alias("j"), F.xxhash64("w", "j").alias("a"), F.xxhash64("w", F.col("n") - F.col("j")).alias("z"))
     runs = words.select(
         "h", "g", "n", "j",
         F.expr(f"bit_xor(a) over ({by_place} rows unbounded preceding)").alias("upto"),
@@ -143,14 +163,23 @@ def near_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_cha
     return seen.where(f"{same} and {sizes}").select("h", "g").distinct()
 
 
+def hashed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(h, g, d, t, pos, a, z, a2, z2) of the lines that take part, written once."""
+    return shared.materialize(_halves(_lines(docs, key, text, min_chars), min_words).select("h", "g", "d", "t", "pos", "a", "z", "a2", "z2"), "lines")
+
+
 def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, pos) of the line places that go."""
-    near = shared.materialize(near_lines(docs, key, text, min_chars, min_words), "lines-near")
-    places = shared.materialize(_lines(docs, key, text, min_chars).select("h", "g", "d", "t", "pos"), "lines")
+    if min_words < 2 * STEP:
+        raise ValueError(f"min_words must be {2 * STEP} at least")
+    lines = hashed_lines(docs, key, text, min_chars, min_words)
+    near = near_lines(docs, lines, key, text, min_chars, min_words)
+    places = lines.select("h", "g", "d", "t", "pos")
     repeated = places.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    listed = near.select("h", "g", F.lit(True).alias("near")).unionAll(repeated.select("h", "g", F.lit(False))).groupBy("h", "g").agg(F.max("near").alias("near"))
-    some = shared.materialize(places.join(listed, ["h", "g"]), "lines-listed")
-    first = some.where("not near").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"))
+    # tables on one side of a join, so that the other side's hot lines can be split
+    listed = shared.materialize(near.select("h", "g", F.lit(True).alias("near")).unionAll(repeated.select("h", "g", F.lit(False))).groupBy("h", "g").agg(F.max("near").alias("near")), "lines-listed")
+    some = shared.materialize(places.join(listed, ["h", "g"]), "lines-in-question")
+    first = shared.materialize(some.where("not near").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first")), "lines-first")
     later = some.where("not near").join(first, ["h", "g"]).where("struct(d, t, pos) <> first")
     return some.where("near").select("d", "t", "pos").unionAll(later.select("d", "t", "pos"))
 
@@ -160,7 +189,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: in
     gone = dropped(docs, key, text, min_chars, min_words).groupBy(F.col("d").alias(_D), F.col("t").alias(_T)).agg(F.collect_set("pos").alias(_GONE))
     d, t = _keys(docs, key, text)
     lines = F.split(docs[text], "\n")
-    joined = docs.join(gone, (d == gone[_D]) & (t == gone[_T]), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), (d == gone[_D]) & (t == gone[_T]), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE)), lambda i: F.get(lines, i))
     return joined.select(*(docs[f"`{c}`"] for c in docs.columns), F.when(F.col(_GONE).isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias("line dedup: kept"), F.coalesce(F.size(_GONE), F.lit(0)).alias("line dedup: removed"))
 
