@@ -30,8 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
+
 #: Entries of the memo of white-space-delimited chunks; it is emptied when full.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 300_000
 #: Chunks longer than this are streamed and not kept in the memo.
 MEMO_CHARS = 128
 #: Characters for which str.split() sees white space and the tokenizer doesn't.
@@ -348,7 +350,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", decode: boo
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in shared.slices(batches):
             raws = [own.encode_bytes(t) for t in batch.column(at).to_pylist()]
             new = [pa.array(raws, pa.binary()), pa.array([len(r) // 4 for r in raws], pa.int64())]
             if decode:
@@ -363,7 +365,7 @@ def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in shared.slices(batches):
             counts, ids, decoded = [], [], []
             for value in batch.column(1):
                 raw = own.encode_bytes(value.as_py())

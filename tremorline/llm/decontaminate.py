@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
+
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 20
@@ -192,7 +194,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, le
 
         def run(batches, shipped=shipped):
             items = Items(shipped.value, width, radius, least)
-            for batch in batches:
+            for batch in shared.slices(batches):
                 rows = [(key, items.items[n][0], first, size, s, bits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for n, first, size, s, bits in items.matches(text.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=MATCH.names)
 
@@ -209,7 +211,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int
 
         def run(batches, shipped=shipped):
             items = Items(shipped.value, width, radius, least)
-            for batch in batches:
+            for batch in shared.slices(batches):
                 yield batch.filter(pa.array([next(items.matches(t.as_py()), None) is None for t in batch.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

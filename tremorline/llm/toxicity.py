@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import shared
+
 FOLDS = 5
 BUCKETS = 1 << 18
 DIM = 8
@@ -303,7 +305,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str
 
     def run(batches):
         scorer = Scorer(shipped.value)
-        for batch in batches:
+        for batch in shared.slices(batches):
             scores = [scorer.score(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
