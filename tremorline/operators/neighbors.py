@@ -34,6 +34,8 @@ from .silver import with_order
 BROADCAST_EVENTS = 1_000_000
 #: Radii beyond this (km) make cells too large to be of use.
 GRID_KM = 3000.0
+#: With a radius: smaller catalogs go by blocks unless the radius is small, as then the pairs matter more than the plan.
+GRID_EVENTS, SMALL_KM = 200_000, 120.0
 SEED_KM = 300.0
 ROWS = 128
 
@@ -61,16 +63,29 @@ def _years(later: str, earlier: str) -> Column:
     return (F.col(later) - F.col(earlier)) / F.lit(1e6) / F.lit(model.SECONDS_PER_YEAR)
 
 
-def _best(pairs: DataFrame, by: tuple, d: float, r_min: float, radius: bool) -> DataFrame:
-    """(by, ord, best) from joined sides c_ and p_."""
-    distance = geo.haversine_km(F.col("p__lat"), F.col("p__lon"), F.col("c__lat"), F.col("c__lon"))
-    near = pairs.where("p__us < c__us").withColumn("_distance", distance)
-    if radius:
-        near = near.where("_distance <= p__r")
-    r = F.greatest(F.col("_distance"), F.lit(float(r_min)))
-    dt = _years("c__us", "p__us")
-    best = F.struct((dt * F.pow(r, F.lit(float(d))) * F.col("p__w")).alias("eta"), F.col("p_ord").alias("p_ord"), dt.alias("t_years"), r.alias("r_km"))
-    return near.groupBy(*(F.col(f"c_{c}").alias(c) for c in (*by, "ord"))).agg(F.min(best).alias("best"))
+def _best(children: DataFrame, parents: DataFrame, on: list[Column], by: tuple, d: float, r_min: float, radius: bool) -> DataFrame:
+    """(by, ord, best) from the sides c_ and p_.
+
+    A minimum of structs would sort all pairs; so the pairs are met twice: once for the
+    least eta of each child (a number, which hash aggregation keeps in place), once to
+    pick the parents that reach it, of which the first is taken.
+    """
+    keys = [f"c_{c}" for c in (*by, "ord")]
+
+    def near(side: DataFrame) -> DataFrame:
+        found = side.join(parents, [*on, F.col("p__us") < F.col("c__us")])
+        found = found.withColumn("_distance", geo.haversine_km(F.col("p__lat"), F.col("p__lon"), F.col("c__lat"), F.col("c__lon")))
+        if radius:
+            found = found.where("_distance <= p__r")
+        r = F.greatest(F.col("_distance"), F.lit(float(r_min)))
+        dt = _years("c__us", "p__us")
+        return found.select("*", dt.alias("_dt"), r.alias("_r"), (dt * F.pow(r, F.lit(float(d))) * F.col("p__w")).alias("_eta"))
+
+    least = near(children).groupBy(*keys).agg(F.min("_eta").alias("_least")).select(*(F.col(k).alias(f"l_{k}") for k in keys), "_least")
+    again = children.join(least, [children[k].eqNullSafe(least[f"l_{k}"]) for k in keys])
+    reached = near(again).where(F.col("_eta") <= F.col("_least") * (1 + 1e-12))
+    best = F.struct(F.col("_eta").alias("eta"), F.col("p_ord").alias("p_ord"), F.col("_dt").alias("t_years"), F.col("_r").alias("r_km"))
+    return reached.groupBy(*(F.col(k).alias(c) for k, c in zip(keys, (*by, "ord"), strict=True))).agg(F.min(best).alias("best"))
 
 
 def search_grid(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min: float = model.R_MIN_KM) -> DataFrame:
@@ -78,14 +93,19 @@ def search_grid(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r
     radius_class = F.ceil(F.log2(F.greatest(F.col("_r"), F.lit(1.0)))).cast("int")
     classes = sorted(r[0] for r in events.select(radius_class.alias("k")).distinct().collect())  # a dozen at most, as radii are
     largest = events.agg(F.max("_r")).first()[0]
+    spark = events.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     pairs = None
     for k in classes:
         within = min(float(2**k), largest)
         grid = geo.Grid(within)
-        parents = _side(events.where(radius_class == k).withColumn("_cell", F.explode(grid.around(F.col("latitude"), F.col("longitude")))), "p_", by, "_cell")
-        children = _side(events.withColumn("_cell", grid.cell(F.col("latitude"), F.col("longitude"))), "c_", by, "_cell")
-        on = [F.col(f"p_{c}") == F.col(f"c_{c}") for c in by] + [F.col("p__cell.band") == F.col("c__cell.band"), F.col("p__cell.cell") == F.col("c__cell.cell")]
-        own = _best(children.join(parents, on), by, d, r_min, radius=True)
+        around = events.where(radius_class == k).withColumn("_at", F.explode(grid.around(F.col("latitude"), F.col("longitude"))))
+        home = events.withColumn("_at", grid.cell(F.col("latitude"), F.col("longitude")))
+        parents, children = (_side(x.withColumns({"_band": F.col("_at.band"), "_cell": F.col("_at.cell")}), side, by, "_band", "_cell") for x, side in ((around, "p_"), (home, "c_")))
+        # the work is in the pairs, not in the bytes: a fixed number of parts, which aren't coalesced by size
+        parents, children = (x.repartition(parts, *(f"{side}{c}" for c in (*by, "_band", "_cell"))) for x, side in ((parents, "p_"), (children, "c_")))
+        on = [F.col(f"p_{c}") == F.col(f"c_{c}") for c in (*by, "_band", "_cell")]
+        own = _best(children, parents, on, by, d, r_min, radius=True)
         pairs = own if pairs is None else pairs.unionByName(own)
     if pairs is None:
         return events.select(*by, "ord").where("false").withColumn("best", F.lit(None).cast(PAIR))
@@ -96,8 +116,7 @@ def search_theta(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D,
     """The plain definition as an inequality join; for small catalogs and as the tests' yardstick."""
     children = _side(events, "c_", by).repartition(16)
     parents = _side(events, "p_", by)
-    on = [F.col(f"p_{c}") == F.col(f"c_{c}") for c in by] + [F.col("p__us") < F.col("c__us")]
-    return _best(children.join(parents, on), by, d, r_min, radius)
+    return _best(children, parents, [F.col(f"p_{c}") == F.col(f"c_{c}") for c in by], by, d, r_min, radius)
 
 
 def search_blocks(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min: float = model.R_MIN_KM, rows: int = ROWS) -> DataFrame:
@@ -175,8 +194,10 @@ def search_bounded(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D
     low = F.greatest(F.col("_us").cast("double") - span_us, F.lit(float(first)))
     children = some.select(*by, "ord", "_lat", "_lon", "_us", "_w", "_r", low.cast("long").alias("_low")).withColumn("_b", F.explode(F.sequence(F.floor((F.col("_low") - first) / width), F.floor((F.col("_us") - first) / width))))
     parents = some.withColumn("_b", F.floor((F.col("_us") - first) / width))
-    on = [F.col(f"p_{c}") == F.col(f"c_{c}") for c in by] + [F.col("p__b") == F.col("c__b"), F.col("p__us") >= F.col("c__low"), F.col("p__us") < F.col("c__us")]
-    far = _best(_side(children, "c_", by, "_b", "_low").join(_side(parents, "p_", by, "_b"), on), by, d, r_min, radius=False)
+    on = [F.col(f"p_{c}") == F.col(f"c_{c}") for c in by] + [F.col("p__b") == F.col("c__b"), F.col("p__us") >= F.col("c__low")]
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * events.sparkSession.sparkContext.defaultParallelism)
+    sides = (x.repartition(parts, *(f"{p}{c}" for c in (*by, "_b"))) for x, p in ((_side(children, "c_", by, "_b", "_low"), "c_"), (_side(parents, "p_", by, "_b"), "p_")))
+    far = _best(*sides, on, by, d, r_min, radius=False)
     return far.unionByName(some.where("best is not null").select(*by, "ord", "best")).groupBy(*by, "ord").agg(F.min("best").alias("best"))
 
 
@@ -198,7 +219,8 @@ def nearest_neighbor(catalog: DataFrame, mc: float | Column | None = None, by: t
         raise ValueError(f"only {n} complete events: no pairs")
     if strategy is None:
         reach = events.agg(F.max("_r")).first()[0]
-        strategy = "grid" if reach is not None and reach <= GRID_KM else "blocks" if n <= BROADCAST_EVENTS else "grid" if reach is not None else "bounded"
+        worth = reach is not None and reach <= GRID_KM and (n > GRID_EVENTS or reach <= SMALL_KM)
+        strategy = "grid" if worth else "blocks" if n <= BROADCAST_EVENTS else "grid" if reach is not None else "bounded"
     if strategy in ("bounded",) and policy.capped:
         raise ValueError("the bounded search has no radius")
     search = {"grid": search_grid, "blocks": search_blocks, "bounded": search_bounded, "theta": lambda e, g, x, y: search_theta(e, g, x, y, policy.capped)}[strategy]

@@ -159,7 +159,6 @@ _BODY = {
     "gk_radius": (CAT, "SELECT DISTINCT mag, round(pow(10e0, 0.1238e0 * mag + 0.983e0), 6) AS km FROM cat"),
     "region_overlap": (f"r AS (SELECT * FROM (VALUES {_VALUES}) AS v(name, s, n, w, e))", "SELECT a.name AS a, b.name AS b FROM r a JOIN r b ON a.name < b.name AND a.s < b.n AND b.s < a.n AND a.w < b.e AND b.w < a.e"),
     "nn_uncapped": (PAIRED, select_pairs()),
-    "nn_bounded": (PAIRED, select_pairs()),
     "nn_radius_fixed": (f"{COMPLETE}, {pairs(CAPPED)}", select_pairs()),
     "nn_radius_gk": (f"{COMPLETE}, {pairs(RadiusPolicy('gk', None, 3.0))}", select_pairs()),
     "nn_by_region": (f"{COMPLETE}, own AS (SELECT * EXCLUDE (ord), row_number() OVER (PARTITION BY region ORDER BY t_us, id) AS ord FROM complete), {pairs(FREE, 'own', 'region')}", select_pairs()),

@@ -131,11 +131,6 @@ def q_nn_uncapped(spark, sf_dir):
     return _pairs(table(spark, sf_dir, "paired"))
 
 
-@query
-def q_nn_bounded(spark, sf_dir):
-    return _pairs(neighbors.nearest_neighbor(table(spark, sf_dir, "complete"), None, strategy="bounded"))
-
-
 @query
 def q_nn_radius_fixed(spark, sf_dir):
     return _pairs(table(spark, sf_dir, "capped"))
