@@ -148,7 +148,7 @@ means AS (SELECT sum(s0 * x) / sum(s0) AS mu0, sum(s1 * x) / sum(s1) AS mu1 FROM
 
 _BODY = {
     "silver_refine": (RAW, "SELECT id, t_us, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, depth, mag, net FROM clean"),
-    "silver_dedup_latest": (RAW, "SELECT id, mag, updated_us FROM clean"),
+    "silver_dedup_latest": (RAW, "SELECT id, mag, coalesce(updated_us, -1) AS updated_us FROM clean"),
     "silver_order": (CAT, "SELECT id, row_number() OVER (ORDER BY t_us, id) AS ord FROM cat"),
     "fmd": (CAT + ", b AS (SELECT CAST(round_even(mag / 0.1e0, 0) AS BIGINT) AS bin, count(*) AS n FROM cat GROUP BY 1), d AS (SELECT unnest(generate_series((SELECT min(bin) FROM b), (SELECT max(bin) FROM b))) AS bin), j AS (SELECT bin, coalesce(n, 0) AS n FROM d LEFT JOIN b USING (bin))", "SELECT bin, round(bin * 0.1e0, 4) AS center, n, CAST(sum(n) OVER (ORDER BY bin DESC) AS BIGINT) AS n_cumulative FROM j"),
     "mc_maxc": (CAT + ", b AS (SELECT region, CAST(round_even(mag / 0.1e0, 0) AS BIGINT) AS bin, count(*) AS n FROM cat GROUP BY 1, 2)", "SELECT region, round(round(bin * 0.1e0, 4) + 0.2e0, 6) AS mc FROM b QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, bin) = 1"),

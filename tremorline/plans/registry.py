@@ -62,7 +62,7 @@ def q_silver_refine(spark, sf_dir):
 @query
 def q_silver_dedup_latest(spark, sf_dir):
     s = silver.latest(silver.typed(raw(spark, sf_dir)).dropna(subset=list(model.NOT_NULL)))
-    return s.select("id", "mag", us("updated").alias("updated_us"))
+    return s.select("id", "mag", F.coalesce(us("updated"), F.lit(-1)).alias("updated_us"))
 
 
 @query
