@@ -160,7 +160,7 @@ def search_blocks(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D,
                     allowed = gap > 0 if reach is None else (gap > 0) & (far <= reach[None, :n])
                     years = gap / 1e6 / model.SECONDS_PER_YEAR
                     r = np.maximum(far, r_min)
-                    eta = np.where(allowed, years * r**d * w[None, :n], np.inf)
+                    eta = np.where(allowed, years * (r * np.sqrt(r) if d == 1.5 else r**d) * w[None, :n], np.inf)  # a root is cheaper than a power
                     best = eta.argmin(axis=1)
                     k = np.arange(len(j))
                     found["eta"][mine[lo : lo + rows]], found["p"][mine[lo : lo + rows]] = eta[k, best], o[best]
