@@ -77,3 +77,31 @@ def test_held_out_labels_are_not_read(spark):
     flip = [(i, 1 - y if zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, _, y in rows]
     a, b = (sorted((r.doc_id, r.score) for r in X.judge(docs.drop("toxic"), spark.createDataFrame(lab, "doc_id long, toxic int")).collect()) for lab in ([(i, y) for i, _, y in rows], flip))
     assert a == b
+
+
+def test_thresholds_cover_all_labels_at_their_mix(spark):
+    rows = [(i, t, y, r) for i, t, y in corpus(900, 8) for r in [zlib.crc32(b"flip%d" % i) % 3 == 0]]
+    labelled = [(i, t, y if not r else 0) for i, t, y, r in rows]  # a third of the toxic texts passes for clean
+    docs = spark.createDataFrame([x[:2] for x in labelled], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in labelled], "doc_id long, toxic int")
+    bounds = {"rows": 120, "most_bytes": 1 << 20}  # fewer than there are labels
+    usable = X.usable_labels(labels)
+    used = {r[0] for r in X.sample(docs, usable, *bounds.values())}
+    free = [r for r in labelled if zlib.crc32(b"%d" % r[0]) % 5]
+    model = X.fit(docs, labels, **bounds)
+    scorer, counts = X.Scorer(model), np.zeros((len(X.LANGUAGES), 2, X.STEPS))
+    for i, t, y in free:
+        if i not in used:
+            p, language = scorer.look(X.words(t))
+            counts[X.LANGUAGES.index(language), y, min(int(p * X.STEPS), X.STEPS - 1)] += 1
+    assert len(used) == 120 and counts.sum() == len(free) - 120
+    whole = np.array([sum(y == k for _, _, y in free) for k in (0, 1)])
+    assert model.thresholds == X.cuts(counts, whole)
+    assert X.cuts(counts, whole * 7) == model.thresholds
+
+
+def test_cuts_weigh_the_mix():
+    counts = np.zeros((len(X.LANGUAGES), 2, X.STEPS))
+    counts[:, 0, 100], counts[:, 0, 3000], counts[:, 1, 3000], counts[:, 1, 4000] = 50, 10, 20, 30
+    low, high = (X.cuts(counts, np.array(w))["en"] * X.STEPS for w in ((240, 200), (2400, 200)))
+    assert 100 < low <= 3000 < high <= 4000

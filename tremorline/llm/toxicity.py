@@ -3,14 +3,16 @@
 Words become sums of hashed embeddings (of the word and of its prefixes), filters
 of several widths slide over them, each filter's strongest place in the whole text
 is kept (max pooling), and a logistic layer gives a probability.  Thresholds are
-calibrated by language on rows kept out of the fit; the language is guessed from
+calibrated by language on all labelled rows outside the held-out fold that the fit
+did not see, at the mix of labels that the table has; the language is guessed from
 the text's own function words, never read from a column.  The score maps the
 language's threshold to 0.5.
 
 Training takes a bounded sample of labelled rows (``train_rows``, at most
-``train_bytes`` of text, in the order of a hash of the id) on the driver; scoring
-takes every whole text, in segments that overlap by the widest filter, so memory is
-bounded however long a text is.
+``train_bytes`` of text, in the order of a hash of the id) on the driver, from four
+fifths of them.  Scoring takes every whole text, in segments that overlap by the
+widest filter, so memory is bounded however long a text is; the thresholds come from
+a histogram of the same scores, joined to the labels.
 
 Defined results: null text counts as empty; empty texts get the score of no word;
 rows without a label, with a null id or label don't train; of several labels of an
@@ -27,7 +29,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +44,8 @@ PREFIXES = (4, 5, 6)
 TRAIN_ROWS = 12_000
 TRAIN_BYTES = 96 << 20
 SEGMENT = 1 << 15
+#: Steps of the probability in the histograms that thresholds come from.
+STEPS = 4096
 ROWS_KEPT = 200_000
 WORD = re.compile(r"[^\W_]+")
 
@@ -243,30 +247,43 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = 6, least_st
     return m
 
 
+def cuts(counts: np.ndarray, whole: np.ndarray | None = None, least: int = 20) -> dict[str, float]:
+    """By language, the threshold with the most right answers; too few toxic rows: the common one.
+
+    ``counts`` has rows by language, label and step of the probability; each label's are
+    weighed so that their mix is that of ``whole``, the rows by label of the whole table.
+    """
+    weight = np.ones(2) if whole is None else whole / np.maximum(counts.sum(axis=(0, 2)), 1)
+
+    def best(own):
+        clean, toxic = own * weight[:, None]
+        # cut k: those from step k on are called toxic
+        right = np.concatenate([[0], np.cumsum(clean)]) + np.concatenate([np.cumsum(toxic[::-1])[::-1], [0]])
+        tops = np.flatnonzero(right >= right.max() * (1 - 1e-9))
+        return float(np.clip(tops[len(tops) // 2] / STEPS, 0.02, 0.98))
+
+    common = best(counts.sum(axis=0))
+    return {x: best(own) if own[1].sum() >= least else common for x, own in zip(LANGUAGES, counts, strict=True)}
+
+
 def calibrate(model: Model, texts: list[str | None], labels: np.ndarray, least: int = 20) -> None:
-    """By language, the threshold with the most right answers; too few toxic rows: the common one."""
-    scorer = Scorer(model)
-    seen = [scorer.look(words(t)) for t in texts]
-    p, lang = np.array([x[0] for x in seen]), np.array([x[1] for x in seen])
-
-    def best(p, y):
-        order = np.argsort(p)
-        p, y = p[order], y[order]
-        # cut k: those from k on are called toxic
-        right = np.concatenate([[0], np.cumsum(1 - y)]) + np.concatenate([np.cumsum(y[::-1])[::-1], [0]])
-        tops = np.flatnonzero(right == right.max())
-        k = int(tops[len(tops) // 2])
-        low, high = (p[k - 1] if k else 0.0), (p[k] if k < len(p) else 1.0)
-        return float(np.clip((low + high) / 2, 0.02, 0.98))
-
-    common = best(p, labels) if len(p) else 0.5
-    model.thresholds = {x: best(p[lang == x], labels[lang == x]) if labels[lang == x].sum() >= least else common for x in LANGUAGES}
-
-
-def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> list[tuple[int, str, int]]:
-    """At most ``rows`` labelled rows outside the held-out fold, half of each label if there are enough, bounded in bytes."""
+    """Thresholds from texts at hand."""
+    scorer, counts = Scorer(model), np.zeros((len(LANGUAGES), 2, STEPS))
+    for t, y in zip(texts, labels, strict=True):
+        p, language = scorer.look(words(t))
+        counts[LANGUAGES.index(language), int(y), min(int(p * STEPS), STEPS - 1)] += 1
+    model.thresholds = cuts(counts, least=least)
+
+
+def usable_labels(labels: DataFrame) -> DataFrame:
+    """(label_id, toxic) by id, outside the held-out fold."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    usable = known.where(F.crc32(F.col("label_id").cast("string")) % FOLDS != 0)
+    return known.where(F.crc32(F.col("label_id").cast("string")) % FOLDS != 0)
+
+
+def sample(docs: DataFrame, usable: DataFrame, rows: int, most_bytes: int) -> list[tuple[int, str, int]]:
+    """At most ``rows`` of four fifths of the usable labelled rows, half of each label if there are enough, bounded in bytes."""
+    usable = usable.where(F.crc32(F.concat(F.lit("calibrate"), F.col("label_id").cast("string"))) % 5 != 0)
     picked = [r for y in (1, 0) for r in usable.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id", F.lit(3)), "label_id").limit(rows // 2 if y else rows).collect()]
     toxic = [r for r in picked if r.toxic]
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in toxic + [r for r in picked if not r.toxic][: rows - len(toxic)]], "label_id long, toxic int")
@@ -280,47 +297,74 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int, most_bytes: int) -> li
     return sorted(out, key=lambda r: (zlib.crc32(b"order%d" % r[0]), r[0], r[1] or ""))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
-    """Trains on four fifths of the sample and calibrates on the rest."""
-    got = sample(docs, labels, rows, most_bytes)
+def learn(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[Model, DataFrame]:
+    """The model, and the columns ``keep`` of all documents with what it sees in them, written once."""
+    usable = shared.materialize(usable_labels(labels), "toxicity-labels")
+    got = sample(docs, usable, rows, most_bytes)
     y = np.array([r[2] for r in got], dtype=np.float32)
-    texts = [r[1] for r in got]
-    held = np.array([zlib.crc32(b"calibrate%d" % r[0]) % 5 == 0 for r in got], dtype=bool)
-    if not len(got) or y[~held].min(initial=1) == y[~held].max(initial=0):
+    if not got or y.min() == y.max():
         model = new_model(np.random.default_rng(0))
         model.empty = True
-        return model
-    model = train([t for t, h in zip(texts, held, strict=True) if not h], y[~held])
-    calibrate(model, [t for t, h in zip(texts, held, strict=True) if h], y[held])
-    return model
+        return model, docs.select(*(F.col(f"`{c}`") for c in keep), F.lit(0.0).alias(_P), F.lit(LANGUAGES[0]).alias(_L))
+    model = train([r[1] for r in got], y)
+    seen = shared.materialize(look_documents(docs, model, keep), "toxicity-seen")
+    by_id = seen.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min(F.struct(F.xxhash64(_P, _L), F.col(_P).alias("p"), F.col(_L).alias("language"))).alias("s"))
+    trained = docs.sparkSession.createDataFrame([(i,) for i in sorted({r[0] for r in got})], "label_id long")
+    known = by_id.join(usable, "label_id").join(F.broadcast(trained.withColumn("trained", F.lit(True))), "label_id", "left")
+    step = F.least(F.floor(F.col("s.p") * STEPS), F.lit(STEPS - 1)).cast("int")
+    counts, whole = np.zeros((len(LANGUAGES), 2, STEPS)), np.zeros(2)
+    # at most a row for each language, label, step and kind of use
+    for r in known.groupBy(F.col("s.language").alias("language"), "toxic", step.alias("step"), F.coalesce("trained", F.lit(False)).alias("trained")).agg(F.count("*").alias("n")).collect():
+        whole[r.toxic] += r.n
+        if not r.trained:
+            counts[LANGUAGES.index(r.language), r.toxic, r.step] += r.n
+    model.thresholds = cuts(counts, whole)
+    return model, seen
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Trains on a sample and calibrates on all other labelled rows."""
+    return learn(docs, labels, ["doc_id"], rows, most_bytes)[0]
 
 
-def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Adds the score to the columns of docs."""
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {name!r} exists already")
+_P, _L = "toxicity: probability before calibration", "toxicity: language"
+
+
+def look_documents(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns ``keep`` of docs, the probability before calibration and the language guessed."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: BUCKETS x DIM floats
-    at = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    at, kept = docs.columns.index(text), [docs.columns.index(c) for c in keep]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(_P, T.DoubleType()), T.StructField(_L, T.StringType())])
 
     def run(batches):
         scorer = Scorer(shipped.value)
         for batch in shared.slices(batches):
-            scores = [scorer.score(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+            found = [scorer.look(words(t.as_py())) for t in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def calibrated(model: Model) -> Column:
+    """Scorer.score() of what look_documents() found."""
+    if model.empty:
+        return F.lit(0.0)
+    p, score = F.col(_P), F.lit(None).cast("double")
+    for language, t in model.thresholds.items():
+        own = F.when(p < t, 0.5 * p / t).otherwise(0.5 + 0.5 * (p - t) / (1 - t))
+        score = F.when(F.col(_L) == language, own).otherwise(score)
+    return score
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    model = fit(docs, labels)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    model, seen = learn(own, labels, ["doc_id"])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0, F.lit(False))
-    return score_documents(own, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return seen.select("doc_id", held.alias("held_out"), calibrated(model).alias("score")).select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't judged toxic, with their columns."""
-    name = "toxicity score of the document"
-    return score_documents(docs, fit(docs, labels), name=name).where(F.col(name) < 0.5).drop(name)
+    model, seen = learn(docs, labels, docs.columns)
+    return seen.where(calibrated(model) < 0.5).drop(_P, _L)
