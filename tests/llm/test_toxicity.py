@@ -105,3 +105,23 @@ def test_cuts_weigh_the_mix():
     counts[:, 0, 100], counts[:, 0, 3000], counts[:, 1, 3000], counts[:, 1, 4000] = 50, 10, 20, 30
     low, high = (X.cuts(counts, np.array(w))["en"] * X.STEPS for w in ((240, 200), (2400, 200)))
     assert 100 < low <= 3000 < high <= 4000
+
+
+def test_long_and_repeated_texts_leave_room(spark):
+    rows = corpus(300, 9)
+    first = [(i, ("la " * 40_000) + t) for i, t, _ in rows if i in (1, 4, 8, 13)]  # the first files hold texts beyond the bound
+    hot = [(2, t) for _, t, _ in corpus(400, 10)]
+    rest = [(i, t) for i, t, _ in rows if i not in (1, 2, 4, 8, 13)]
+    docs = spark.createDataFrame(first, "doc_id long, text string").unionAll(spark.createDataFrame(hot + rest, "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    usable = X.usable_labels(labels)
+    got = X.sample(docs, usable, 1000, 100_000)
+    fold = {i for i, _, _ in rows if zlib.crc32(b"%d" % i) % 5 and zlib.crc32(b"calibrate%d" % i) % 5}
+    assert {r[0] for r in got} == fold - {1, 4, 8, 13} and len(got) == len({r[0] for r in got})
+    assert not X.fit(docs, labels, 1000, 100_000).empty
+    for most in (5000, 1):
+        got = X.sample(docs, usable, 1000, most)
+        assert {r[2] for r in got} == {0, 1}
+        assert most == 1 or sum(len(t.encode()) for _, t, _ in got) <= most
+    few = X.sample(docs, usable, 40, 100_000)
+    assert sum(r[2] for r in few) == 20 and len(few) == 40

@@ -9,14 +9,14 @@ the text's own function words, never read from a column.  The score maps the
 language's threshold to 0.5.
 
 Training takes a bounded sample of labelled rows (``train_rows``, at most
-``train_bytes`` of text, in the order of a hash of the id) on the driver, from four
-fifths of them.  Scoring takes every whole text, in segments that overlap by the
+``train_bytes`` of text, in the order of a hash of the id, passing over what doesn't
+fit) on the driver, from four fifths of them.  Scoring takes every whole text, in segments that overlap by the
 widest filter, so memory is bounded however long a text is; the thresholds come from
 a histogram of the same scores, joined to the labels.
 
 Defined results: null text counts as empty; empty texts get the score of no word;
 rows without a label, with a null id or label don't train; of several labels of an
-id the largest counts; without labels of both kinds every score is 0; repeated rows
+id the largest counts, of several texts the shortest trains; without labels of both kinds every score is 0; repeated rows
 get equal scores.
 """
 
@@ -281,20 +281,38 @@ def usable_labels(labels: DataFrame) -> DataFrame:
     return known.where(F.crc32(F.col("label_id").cast("string")) % FOLDS != 0)
 
 
+def choose(sized: DataFrame, rows: int, most_bytes: int) -> dict[int, tuple[int, int, int]]:
+    """(toxic, size, hash of the text) by id: at most ``rows`` and ``most_bytes`` in hash order; a text that doesn't fit is passed over.
+
+    Toxic ones take half of both at most.  If no text of a label fits, its shortest one goes in.
+    """
+    out, left = {}, most_bytes
+    for y in (1, 0):
+        own, most, room = sized.where(F.col("toxic") == y), rows // 2 if y else rows - len(out), left // 2 if y else left
+        before = len(out)
+        for r in own.where(F.col("size") <= room).orderBy(F.xxhash64("label_id", F.lit(3)), "label_id").limit(most).collect():
+            if r.size <= room:
+                out[r.label_id] = (y, r.size, r.text_hash)
+                room, left = room - r.size, left - r.size
+        if len(out) == before:
+            for r in own.orderBy("size", "label_id").limit(1).collect():
+                out[r.label_id] = (y, r.size, r.text_hash)
+                left = max(0, left - r.size)
+    return out
+
+
 def sample(docs: DataFrame, usable: DataFrame, rows: int, most_bytes: int) -> list[tuple[int, str, int]]:
-    """At most ``rows`` of four fifths of the usable labelled rows, half of each label if there are enough, bounded in bytes."""
+    """The rows of choose() among four fifths of the usable labelled ids that have a document; an id's shortest text stands for it."""
     usable = usable.where(F.crc32(F.concat(F.lit("calibrate"), F.col("label_id").cast("string"))) % 5 != 0)
-    picked = [r for y in (1, 0) for r in usable.where(F.col("toxic") == y).orderBy(F.xxhash64("label_id", F.lit(3)), "label_id").limit(rows // 2 if y else rows).collect()]
-    toxic = [r for r in picked if r.toxic]
-    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in toxic + [r for r in picked if not r.toxic][: rows - len(toxic)]], "label_id long, toxic int")
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    out, size = [], 0
-    for r in joined.select("doc_id", "text", "toxic").toLocalIterator():
-        size += len(r.text or "")
-        if size > most_bytes:
-            break
-        out.append((r.doc_id, r.text, r.toxic))
-    return sorted(out, key=lambda r: (zlib.crc32(b"order%d" % r[0]), r[0], r[1] or ""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    # one row for each id before the join, so that a repeated id meets its label once
+    shortest = own.groupBy("label_id").agg(F.min(F.struct("size", "text_hash")).alias("s")).select("label_id", "s.size", "s.text_hash")
+    chosen = choose(shared.materialize(shortest.join(usable, "label_id"), "toxicity-sizes"), rows, most_bytes)
+    wanted = docs.sparkSession.createDataFrame([(i, *x) for i, x in chosen.items()], "label_id long, toxic int, size long, text_hash long")
+    texts = own.join(F.broadcast(wanted), ["label_id", "size", "text_hash"]).groupBy("label_id", "toxic").agg(F.any_value("text").alias("text"))
+    out = [(r.label_id, r.text, r.toxic) for r in texts.toLocalIterator()]
+    return sorted(out, key=lambda r: (zlib.crc32(b"order%d" % r[0]), r[0]))
 
 
 def learn(docs: DataFrame, labels: DataFrame, keep: list[str], rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> tuple[Model, DataFrame]:
