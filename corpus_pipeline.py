@@ -19,7 +19,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return line_dedup.deduplicate(docs, min_words=line_dedup.LEAST_WORDS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,30 @@ def test_native(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     plan = L.report(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop"))
+
+
+def short_brute(rows, least):
+    lines = [(d, p, line, norm(line).split()) for d, text in sorted(rows) for p, line in enumerate(text.split("\n"))]
+    lines = [x for x in lines if len(norm(x[2])) >= 20]
+    return {(d, p) for i, (d, p, _, w) in enumerate(lines) if any(o == w or min(len(o), len(w)) >= least and near(w, o) for *_, o in lines[:i])}
+
+
+def test_short_lines_as_brute_force(spark):
+    rnd = random.Random(5)
+    vocab = ["alphabetical", "betamethasone", "gammaglobulin", "deltoid", "epsilons", "zetas", "etas"]
+    rows = [(d, "\n".join(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 10))) for _ in range(3))) for d in range(70)]
+    for line in [row[1].split("\n")[0].split() for row in rows[:30]]:
+        at = rnd.randrange(len(line))
+        rows.append((len(rows), " ".join(line[:at] + rnd.choice([[], ["new"], [line[at], "new"]]) + line[at + 1 :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (2, 4, 8):
+        want = short_brute(rows, least)
+        assert {(r.d, r.pos) for r in L.dropped(df, min_words=least).collect()} == want
+    assert len(short_brute(rows, 2)) > len(short_brute(rows, 8)) + 10
+
+
+def test_query_compares_short_lines(spark, tmp_path):
+    from tremorline.llm import queries
+
+    spark.createDataFrame([(1, "the same short heading here"), (2, "the same short heading there"), (3, "one two three four five six seven"), (4, "one two three four five six seven eight")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}

@@ -4,7 +4,7 @@ Two lines are near if one word's insertion, deletion or substitution turns one i
 the other; lines are compared lower-cased, with runs of spaces, tabs and carriage returns as single spaces.
 A line goes if an earlier line, by (document id, place), equals it or is near it;
 lines under ``min_chars`` characters always stay, and those under ``min_words`` words
-are compared for equality only.  All of this is DataFrame code; no Python runs on
+(2 at least, as an edit leaves nothing of a single word) are compared for equality only.  All of this is DataFrame code; no Python runs on
 the executors.
 
 * Every line emits hashes of about its first and its last half of words.  Near lines
@@ -37,6 +37,8 @@ from . import shared
 
 MIN_CHARS = 20
 MIN_WORDS = 8
+#: The least min_words: of every line with more than one word something is left by an edit.
+LEAST_WORDS = 2
 #: Bits of the broadcast bitmaps: at most 2 MB.
 BITS = 1 << 24
 _LAST = 0x7FFFFFFFFFFFFFFF
@@ -68,25 +70,26 @@ def _n_words(norm: str = "norm") -> Column:
     return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
 
 
-#: The lengths of the hashed parts are multiples of this many words.
+#: The lengths of the hashed parts are multiples of this many words, in lines of twice as many at least.
 STEP = 4
 
 
 def _halves(lines: DataFrame, min_words: int) -> DataFrame:
     """Adds a, z, a2, z2: hashes of the first and last m words, null where not needed.
 
-    m is the greatest multiple of STEP within half the words n.  One edit leaves m words
-    alone at one of the ends, and the other line's m is the same unless n + 1 reaches
-    the next multiple; such lines emit that one, too.
+    m is the greatest multiple of STEP (in shorter lines, of 1) within half the words n.
+    One edit leaves m words alone at one of the ends, and the other line's m is the same
+    unless n + 1 reaches the next multiple; such lines emit that one, too.
     """
-    m = F.floor(F.col("n") / (2 * STEP)).cast("int") * STEP
+    step = F.when(F.col("n") >= 2 * STEP, STEP).otherwise(1)
+    m = F.floor(F.col("n") / (2 * step)).cast("int") * step
 
     def part(m: Column, sign: int, when: Column) -> Column:
         return F.when(when, F.xxhash64(F.call_function("substring_index", F.col("norm"), F.lit(" "), m * sign), m, F.lit(sign)))
 
     long = (F.col("n") >= min_words) & (m > 0)
-    more = (F.col("n") >= min_words) & (F.col("n") % (2 * STEP) == 2 * STEP - 1)
-    return lines.select("*", _n_words().alias("n")).select("*", part(m, 1, long).alias("a"), part(m, -1, long).alias("z"), part(m + STEP, 1, more).alias("a2"), part(m + STEP, -1, more).alias("z2"))
+    more = (F.col("n") >= min_words) & (F.col("n") % (2 * step) == 2 * step - 1)
+    return lines.select("*", _n_words().alias("n")).select("*", part(m, 1, long).alias("a"), part(m, -1, long).alias("z"), part(m + step, 1, more).alias("a2"), part(m + step, -1, more).alias("z2"))
 
 
 def bitmap(values: DataFrame) -> DataFrame:
@@ -170,8 +173,8 @@ def hashed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_c
 
 def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, pos) of the line places that go."""
-    if min_words < 2 * STEP:
-        raise ValueError(f"min_words must be {2 * STEP} at least")
+    if min_words < LEAST_WORDS:
+        raise ValueError(f"min_words must be {LEAST_WORDS} at least")
     lines = hashed_lines(docs, key, text, min_chars, min_words)
     near = near_lines(docs, lines, key, text, min_chars, min_words)
     places = lines.select("h", "g", "d", "t", "pos")
@@ -200,6 +203,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
     return marked.select(*(F.col("line dedup: kept").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every document."""
-    return mark(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).alias("n_lines"), F.col("line dedup: removed").alias("n_removed"), F.col("line dedup: kept").alias("text"))
+    return mark(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), min_words=min_words).select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).alias("n_lines"), F.col("line dedup: removed").alias("n_removed"), F.col("line dedup: kept").alias("text"))

@@ -51,7 +51,7 @@ def op6_media_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(read_table(spark, sf_dir, "documents"))
+    return line_dedup.report(read_table(spark, sf_dir, "documents"), min_words=line_dedup.LEAST_WORDS)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
