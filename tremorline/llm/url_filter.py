@@ -9,7 +9,7 @@ URLs (by hash) fit the models; the other half calibrates the threshold, the one
 with the best sum of the two rates of right answers.
 
 Characters are mapped to 33 symbols, so the models have at most 33**4 rows whatever
-the corpus; the counts cover all labelled URLs, and every URL is scored.  DataFrame
+the corpus; the counts cover the fitting half of the labelled URLs, and every URL is scored.  DataFrame
 code only.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and
