@@ -9,23 +9,28 @@ the executors.
 
 * Every line emits hashes of about its first and its last half of words.  Near lines
   share at least one of these, so lines that share none with a different line drop out
-  (pre-aggregated as least and largest line hash by key).
-* The remaining distinct lines emit their deletion neighbourhood as hashed keys: the
-  line without its j-th word, and the line itself at each boundary, named by length,
-  place and the hashes of what stands before and after.  Prefix hashes come from
-  running aggregates, so a long line costs its length and not its square.
+  (pre-aggregated as least and largest line hash by key, then a semi join).
+* Of the others, the text of each distinct line is fetched from its first place.  They
+  emit their deletion neighbourhood as hashed keys: the line without its j-th word, and
+  the line itself at each boundary, named by length, place and the hashes of what stands
+  before and after.  Lines that share their first m words differ behind these, so only
+  places there are emitted; likewise for the last m words.  In lines of over ``LONG``
+  words the hashes come from running aggregates, so a long line costs its length and
+  not its square.
 * Lines with an equal key are within the edit bound by construction.  For each key
   the earliest line is found by aggregation, and the others are joined to it, so rows
   grow with the lines and not with their pairs.  The texts of a line and its earliest
   partner are then compared to verify the edit distance exactly.
 
-What drops rows before a shuffle is a bitmap of fixed size (``BITS``), broadcast;
-its false positives are harmless and it only ever lets more rows through.
+All filters are semi joins on keys that were aggregated before: nothing is broadcast by
+this module, no structure has a size of its own, and adaptive execution can split what
+is hot.  Texts are shuffled twice: to fetch the lines in question, and to leave out
+those that go.
 
 Defined results: null texts stay null; a null document id counts as the last one;
 rows that share id and text count as one document and get equal results; an empty
-table gives an empty table; a document that loses all lines keeps an empty text;
-extra columns stay as they are.
+table gives an empty table; a document that loses all lines keeps an empty text; a line
+may be as long as its document; extra columns stay as they are.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ MIN_CHARS = 20
 MIN_WORDS = 8
 #: The least min_words: of every line with more than one word something is left by an edit.
 LEAST_WORDS = 2
-#: Bits of the broadcast bitmaps: at most 2 MB.
-BITS = 1 << 24
+#: Words up to which each place of a line is hashed by itself.
+LONG = 256
 _LAST = 0x7FFFFFFFFFFFFFFF
 _D, _T, _GONE = "line dedup: document", "line dedup: text hash", "line dedup: places"
 
@@ -75,7 +80,7 @@ STEP = 4
 
 
 def _halves(lines: DataFrame, min_words: int) -> DataFrame:
-    """Adds a, z, a2, z2: hashes of the first and last m words, null where not needed.
+    """Adds m, a, z, a2, z2: hashes of the first and last m words, null where not needed.
 
     m is the greatest multiple of STEP (in shorter lines, of 1) within half the words n.
     One edit leaves m words alone at one of the ends, and the other line's m is the same
@@ -89,74 +94,90 @@ def _halves(lines: DataFrame, min_words: int) -> DataFrame:
 
     long = (F.col("n") >= min_words) & (m > 0)
     more = (F.col("n") >= min_words) & (F.col("n") % (2 * step) == 2 * step - 1)
-    return lines.select("*", _n_words().alias("n")).select("*", part(m, 1, long).alias("a"), part(m, -1, long).alias("z"), part(m + step, 1, more).alias("a2"), part(m + step, -1, more).alias("z2"))
+    return lines.select("*", _n_words().alias("n")).select("*", m.alias("m"), part(m, 1, long).alias("a"), part(m, -1, long).alias("z"), part(m + step, 1, more).alias("a2"), part(m + step, -1, more).alias("z2"))
 
 
-def bitmap(values: DataFrame) -> DataFrame:
-    """A bitmap of hashed values (one column ``x``): at most BITS / 32768 rows of 4096 bytes."""
-    bit = F.pmod("x", F.lit(BITS)) + 1
-    return values.where("x is not null").select(bit.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+def hashed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+    """(h, g, d, t, pos, m, a, z, a2, z2) of the lines that take part, written once."""
+    return shared.materialize(_halves(_lines(docs, key, text, min_chars), min_words).select("h", "g", "d", "t", "pos", "m", "a", "z", "a2", "z2"), "lines")
 
 
-def in_bitmap(df: DataFrame, bits: DataFrame, values: list[Column]) -> DataFrame:
-    """Rows of which some value is in the bitmap (or looks like it)."""
-    columns, found = df.columns, F.lit(False)
-    for i, value in enumerate(values):
-        bit = F.pmod(value, F.lit(BITS)) + 1
-        own = F.broadcast(bits.select(F.col("bucket").alias(f"bucket {i}"), F.col("bits").alias(f"bits {i}")))
-        df = df.join(own, F.bitmap_bucket_number(bit) == own[f"bucket {i}"], "left")
-        place = F.bitmap_bit_position(bit)
-        byte = F.conv(F.hex(F.substring(F.col(f"bits {i}"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        found = found | F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
-    return df.where(found).select(*columns)
+def _shared_halves(lines: DataFrame) -> DataFrame:
+    """(h, g, ma, mz): of each line that shares a half with a different line, the least number of first and of last words shared."""
+    more = F.col("m") + F.when(F.col("m") >= STEP, STEP).otherwise(1)
+    ends = [F.struct(F.col("a").alias("x"), F.col("m").alias("s")), F.struct(F.col("z").alias("x"), (-F.col("m")).alias("s"))]
+    ends += [F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), (more * sign).alias("s"))) for x, sign in (("a2", 1), ("z2", -1))]
+    halves = lines.where("a is not null").select("h", "g", F.explode(F.array_compact(F.array(*ends))).alias("e")).select("h", "g", "e.x", "e.s")
+    several = halves.groupBy("x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("x")
+    return halves.join(several, "x", "left_semi").groupBy("h", "g").agg(F.min(F.when(F.col("s") > 0, F.col("s"))).alias("ma"), F.min(F.when(F.col("s") < 0, -F.col("s"))).alias("mz"))
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h, g): the distinct lines that are near an earlier, different line; ``lines`` is hashed_lines()."""
-    ends = ("a", "z", "a2", "z2")
-    halves = lines.where("a is not null").select("h", F.explode(F.array_compact(F.array(*ends))).alias("x"))
-    several = halves.groupBy("x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("x")
-    bits = shared.materialize(bitmap(several), "line-halves")
-    shares = shared.materialize(in_bitmap(lines.where("a is not null").select("h", "t", *ends), bits, [F.col(x) for x in ends]).select("h", "t"), "lines-sharing")
-    some_lines, some_docs = (shared.materialize(bitmap(shares.select(F.col(x).alias("x"))), "lines-sharing") for x in ("h", "t"))
-    order = F.struct("d", "t", "pos")
-    picked = in_bitmap(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), some_docs, [F.xxhash64("text")])
-    left = in_bitmap(_lines(picked, "doc_id", "text", min_chars), some_lines, [F.col("h")]).groupBy("h", "g").agg(F.min(order).alias("first"), F.any_value("norm").alias("norm"))
-    left = shared.materialize(_halves(left, min_words).where("a is not null"), "lines-left")
-    # what the bitmaps let through by mistake goes here: no half in common with another line
-    met = left.select("h", F.explode(F.array_compact(F.array(*ends))).alias("x"))
-    again = met.groupBy("x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("x")
-    true = met.join(again, "x", "left_semi").select("h").distinct()
-    texts = shared.materialize(left.join(true, "h", "left_semi").select("h", "g", "first", "norm", "n"), "lines-left")
+def in_question(lines: DataFrame) -> DataFrame:
+    """(h, g, d, t, pos, d_min, ma, mz): places of lines that repeat (d_min: their least document id) or share a half."""
+    repeated = lines.groupBy("h", "g").agg(F.count("*").alias("n"), F.min("d").alias("d_min")).where("n > 1")
+    marks = repeated.select("h", "g", "d_min", F.lit(None).cast("int").alias("ma"), F.lit(None).cast("int").alias("mz")).unionAll(_shared_halves(lines).select("h", "g", F.lit(None).cast("long"), "ma", "mz"))
+    marks = marks.groupBy("h", "g").agg(F.max("d_min").alias("d_min"), F.max("ma").alias("ma"), F.max("mz").alias("mz"))
+    return shared.materialize(lines.select("h", "g", "d", "t", "pos").join(marks, ["h", "g"]), "lines-in-question")
+
+
+def _texts(docs: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
+    """(h, g, first, ma, mz, norm, n) of the distinct lines that share a half, each from its first place."""
+    firsts = places.where("ma is not null or mz is not null").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first"), F.max("ma").alias("ma"), F.max("mz").alias("mz"))
+    # a document's list is no longer than its lines
+    wanted = firsts.groupBy("first.d", "first.t").agg(F.collect_list(F.struct("h", "g", "first", "ma", "mz")).alias("wanted"))
+    d, t = _keys(docs, key, text)
+    found = docs.select(d.alias("d"), t.alias("t"), docs[text].alias("text")).join(wanted, ["d", "t"])
+    lines = found.select(F.split(normalize(F.col("text")), "\n").alias("lines"), "wanted")
+    each = lines.select(F.explode(F.transform("wanted", lambda w: F.struct(w.alias("w"), F.get("lines", w["first"]["pos"]).alias("norm")))).alias("e")).select("e.w.*", "e.norm")
+    return shared.materialize(each.dropDuplicates(["h", "g"]).select("*", _n_words().alias("n")), "line-texts")  # repeated rows are one document
+
+
+def _variants(texts: DataFrame) -> DataFrame:
+    """(h, g, x, p, q): the deletion neighbourhood as keys x, with the words before and after the place.
+
+    Lines of LONG + 1 words go both ways, so that near lines always meet in one of them.
+    """
+    lo, hi = F.when(F.col("mz").isNull(), F.col("ma")).otherwise(0), F.when(F.col("ma").isNull(), F.col("n") - F.col("mz")).otherwise(F.col("n"))
+    own = texts.select("h", "g", "norm", "n", lo.alias("lo"), hi.alias("hi"))
+    cut = lambda size, place, before, behind: F.xxhash64(size, place, before, behind)
+
+    def hashes(sign: int, words) -> Column:
+        return F.transform(F.sequence("lo", "hi"), lambda j: F.xxhash64(F.call_function("substring_index", F.col("norm"), F.lit(" "), words(j) * sign)))
+
+    ends = own.where(F.col("n") <= LONG + 1).select("h", "g", "n", "lo", "hi", hashes(1, lambda j: j).alias("upto"), hashes(-1, lambda j: F.col("n") - j).alias("after"))
+    at = lambda name, j: F.get(name, j - F.col("lo"))
+    whole = F.transform(F.sequence("lo", "hi"), lambda j: F.struct(cut(F.col("n"), j, at("upto", j), at("after", j)).alias("x"), j.alias("p"), (F.col("n") - j).alias("q")))
+    less = F.transform(F.sequence(F.col("lo") + 1, F.col("hi")), lambda j: F.struct(cut(F.col("n") - 1, j - 1, at("upto", j - 1), at("after", j)).alias("x"), (j - 1).alias("p"), (F.col("n") - j).alias("q")))
+    short = ends.select("h", "g", F.explode(F.concat(whole, less)).alias("v")).select("h", "g", "v.x", "v.p", "v.q")
 
     line, by_place = "partition by h, g", "partition by h, g order by j"
     # dealt by line before its words are taken apart, so the windows below need no shuffle of words
-    words = texts.repartition("h", "g").select("h", "g", "n", F.posexplode(F.split("norm", " ")).alias("j", "w")).select("h", "g", "n", (F.col("j") + 1).alias("j"), F.xxhash64("w", "j").alias("a"), F.xxhash64("w", F.col("n") - F.col("j")).alias("z"))
+    words = own.where(F.col("n") > LONG).repartition("h", "g").select("h", "g", "n", "lo", "hi", F.posexplode(F.split("norm", " ")).alias("j", "w"))
+    words = words.select("h", "g", "n", "lo", "hi", (F.col("j") + 1).alias("j"), F.xxhash64("w", "j").alias("a"), F.xxhash64("w", F.col("n") - F.col("j")).alias("z"))
     runs = words.select(
-        "h", "g", "n", "j",
+        "h", "g", "n", "lo", "hi", "j",
         F.expr(f"bit_xor(a) over ({by_place} rows unbounded preceding)").alias("upto"),
         F.col("a"),
         F.expr(f"bit_xor(z) over ({line})").alias("all_z"),
         F.expr(f"bit_xor(z) over ({by_place} rows unbounded preceding)").alias("z_upto"),
     )
     after = F.col("all_z").bitwiseXOR(F.col("z_upto"))
-    cut = lambda size, place, before, behind: F.xxhash64(size, place, before, behind)
-    variants = runs.select(
-        "h",
-        "g",
-        F.explode(
-            F.array_compact(
-                F.array(
-                    F.struct(cut(F.col("n") - 1, F.col("j") - 1, F.col("upto").bitwiseXOR(F.col("a")), after).alias("x"), (F.col("j") - 1).alias("p"), (F.col("n") - F.col("j")).alias("q")),
-                    F.struct(cut(F.col("n"), F.col("j"), F.col("upto"), after).alias("x"), F.col("j").alias("p"), (F.col("n") - F.col("j")).alias("q")),
-                    F.when(F.col("j") == 1, F.struct(cut(F.col("n"), F.lit(0), F.lit(0).cast("long"), F.col("all_z")).alias("x"), F.lit(0).alias("p"), F.col("n").alias("q"))),
-                )
-            )
-        ).alias("v"),
-    ).select("h", "g", "v.x", "v.p", "v.q")
+    runs = runs.where("j >= lo and j <= hi")  # the windows need all words, the keys don't
+    every = F.array(
+        F.struct(cut(F.col("n") - 1, F.col("j") - 1, F.col("upto").bitwiseXOR(F.col("a")), after).alias("x"), (F.col("j") - 1).alias("p"), (F.col("n") - F.col("j")).alias("q")),
+        F.struct(cut(F.col("n"), F.col("j"), F.col("upto"), after).alias("x"), F.col("j").alias("p"), (F.col("n") - F.col("j")).alias("q")),
+        F.when(F.col("j") == 1, F.struct(cut(F.col("n"), F.lit(0), F.lit(0).cast("long"), F.col("all_z")).alias("x"), F.lit(0).alias("p"), F.col("n").alias("q"))),
+    )
+    long = runs.select("h", "g", F.explode(F.array_compact(every)).alias("v")).select("h", "g", "v.x", "v.p", "v.q")
+    return short.unionAll(long)
+
+
+def near_lines(docs: DataFrame, places: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(h, g): the distinct lines that are near an earlier, different line; ``places`` is in_question()."""
+    texts = _texts(docs, places, key, text)
+    variants = _variants(texts)
     met = variants.groupBy("x").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("x")
-    bits = shared.materialize(bitmap(met), "line-variants")
-    own = shared.materialize(in_bitmap(variants, bits, [F.col("x")]).join(texts.select("h", "g", "first"), ["h", "g"]), "line-variants-met")
+    own = shared.materialize(variants.join(met, "x", "left_semi").join(texts.select("h", "g", "first"), ["h", "g"]), "line-variants-met")
     earliest = own.groupBy("x").agg(F.min("first").alias("least"))
     pairs = own.join(earliest, "x").where("least < first").select("h", "g", "least", "p", "q").distinct()
     partner = texts.select(F.col("first").alias("least"), F.col("norm").alias("other"))
@@ -166,25 +187,18 @@ def near_lines(docs: DataFrame, lines: DataFrame, key: str = "doc_id", text: str
     return seen.where(f"{same} and {sizes}").select("h", "g").distinct()
 
 
-def hashed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h, g, d, t, pos, a, z, a2, z2) of the lines that take part, written once."""
-    return shared.materialize(_halves(_lines(docs, key, text, min_chars), min_words).select("h", "g", "d", "t", "pos", "a", "z", "a2", "z2"), "lines")
-
-
 def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, pos) of the line places that go."""
     if min_words < LEAST_WORDS:
         raise ValueError(f"min_words must be {LEAST_WORDS} at least")
-    lines = hashed_lines(docs, key, text, min_chars, min_words)
-    near = near_lines(docs, lines, key, text, min_chars, min_words)
-    places = lines.select("h", "g", "d", "t", "pos")
-    repeated = places.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    # tables on one side of a join, so that the other side's hot lines can be split
-    listed = shared.materialize(near.select("h", "g", F.lit(True).alias("near")).unionAll(repeated.select("h", "g", F.lit(False))).groupBy("h", "g").agg(F.max("near").alias("near")), "lines-listed")
-    some = shared.materialize(places.join(listed, ["h", "g"]), "lines-in-question")
-    first = shared.materialize(some.where("not near").groupBy("h", "g").agg(F.min(F.struct("d", "t", "pos")).alias("first")), "lines-first")
-    later = some.where("not near").join(first, ["h", "g"]).where("struct(d, t, pos) <> first")
-    return some.where("near").select("d", "t", "pos").unionAll(later.select("d", "t", "pos"))
+    places = in_question(hashed_lines(docs, key, text, min_chars, min_words))
+    near = near_lines(docs, places, key, text).withColumn("near", F.lit(True))
+    judged = shared.materialize(places.join(near, ["h", "g"], "left").where("near or d_min is not null").select("h", "g", "d", "t", "pos", "d_min", "near"), "lines-judged")
+    # all places of a near line go; of a repeated one, those in later documents, and in the first document all but the first
+    tied = judged.where("near is null and d = d_min")
+    first = tied.groupBy("h", "g").agg(F.min(F.struct("t", "pos")).alias("first"))
+    later = tied.join(first, ["h", "g"]).where("struct(t, pos) <> first")
+    return judged.where("near or d > d_min").select("d", "t", "pos").unionAll(later.select("d", "t", "pos"))
 
 
 def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
@@ -192,7 +206,7 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: in
     gone = dropped(docs, key, text, min_chars, min_words).groupBy(F.col("d").alias(_D), F.col("t").alias(_T)).agg(F.collect_set("pos").alias(_GONE))
     d, t = _keys(docs, key, text)
     lines = F.split(docs[text], "\n")
-    joined = docs.join(gone.hint("shuffle_hash"), (d == gone[_D]) & (t == gone[_T]), "left")
+    joined = docs.join(gone, (d == gone[_D]) & (t == gone[_T]), "left")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE)), lambda i: F.get(lines, i))
     return joined.select(*(docs[f"`{c}`"] for c in docs.columns), F.when(F.col(_GONE).isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias("line dedup: kept"), F.coalesce(F.size(_GONE), F.lit(0)).alias("line dedup: removed"))
 
@@ -205,4 +219,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_ch
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_removed, text) of every document."""
-    return mark(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), min_words=min_words).select("doc_id", F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))), F.lit(0)).alias("n_lines"), F.col("line dedup: removed").alias("n_removed"), F.col("line dedup: kept").alias("text"))
+    marked = mark(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), min_words=min_words)
+    n_lines = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    return marked.select("doc_id", F.coalesce(n_lines, F.lit(0)).alias("n_lines"), F.col("line dedup: removed").alias("n_removed"), F.col("line dedup: kept").alias("text"))
