@@ -40,6 +40,27 @@ def test_digests_at_any_budget(spark):
         assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(rows)
 
 
+def test_large_conversations_get_the_same_windows(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA)
+    for budget, history, limit in ((2048, 256, 768), (120, 40, 60)):
+        want = sorted(map(str, C.windows(df, budget, history, limit).collect()))
+        for most_turns, most_bytes in ((0, 0), (6, 1 << 20), (100, 300)):
+            assert sorted(map(str, C.windows(df, budget, history, limit, most_turns, most_bytes).collect())) == want
+            got = C.window_digests(df, budget, history, limit, most_turns, most_bytes).collect()
+            assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(corpus())
+
+
+def test_text_is_shuffled_once(spark):
+    plan = C.window_digests(spark.createDataFrame(corpus(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_hot_null_conversation(spark):
+    rows = [(None, None, "assistant", f"text {i % 7}", None) for i in range(300)] + [(None, 5, "user", "same", None)] * 200 + [(1, 1, "user", "x", None)]
+    got = C.window_digests(spark.createDataFrame(rows, SCHEMA), most_turns=100).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(rows)
+
+
 def test_windows(spark):
     df = spark.createDataFrame(corpus(), SCHEMA)
     found = sorted(C.windows(df, 120, 40, 60).collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.window))
