@@ -44,8 +44,8 @@ MIN_CHARS = 20
 MIN_WORDS = 8
 #: The least min_words: of every line with more than one word something is left by an edit.
 LEAST_WORDS = 2
-#: Words up to which each place of a line is hashed by itself.
-LONG = 256
+#: Words up to which each place of a line is hashed by itself; about there that costs what sorting the words does.
+LONG = 1024
 _LAST = 0x7FFFFFFFFFFFFFFF
 _D, _T, _GONE = "line dedup: document", "line dedup: text hash", "line dedup: places"
 
