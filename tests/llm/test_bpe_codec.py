@@ -64,3 +64,34 @@ def test_table(spark):
     with pytest.raises(ValueError):
         B.encode_documents(df.withColumn("IDS", df.doc_id), PATH)
     assert B.encode_documents(df.limit(0), PATH).count() == 0
+
+
+def test_every_word_of_documents_goes_through_the_transducer(monkeypatch):
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    own = B.Codec(PATH)
+    merged = []
+    monkeypatch.setattr(own.table, "merge", lambda ids, merge=own.table.merge: merged.append(len(ids)) or merge(ids))
+    seen = set()
+    for t in texts:
+        assert own.encode(t) == LIB.encode(t, add_special_tokens=False).ids
+        seen |= {w for chunk in own.words(t) for w in own._normal(chunk)}
+    # each merge is the transducer's, at a word's end or when it settles; no word is left out
+    assert own.machine.words >= len(seen) > 1000 and own.machine.words <= len(merged)
+    assert own.machine.peak <= 2 * own.machine.limit and own.machine.held == []
+    # nothing of a word is stable before the lookahead is known
+    assert max(map(len, seen)) < own.table.lookahead
+
+
+def test_segments_and_buffers_are_bounded():
+    own, rnd = B.Codec(PATH), random.Random(8)
+    text = " ".join("".join(rnd.choice("abehinorst\n") for _ in range(rnd.randint(1, 12))) for _ in range(60000)) + " " + "the" * 70000
+    parts = list(own.segments(text))
+    assert "".join(parts) == text and max(map(len, parts[:-2])) <= B.SEGMENT + 1 and len(parts) > 5
+    assert own.encode(text) == LIB.encode(text, add_special_tokens=False).ids
+    assert B.SEGMENT < len("the" * 70000) and own.machine.peak <= 2 * own.machine.limit
+    machine, out = own.decoder(), []
+    for raw in own.pieces(text):
+        out.append(machine.feed(raw))
+    assert "".join(out) + machine.end() == LIB.decode(own.encode(text), skip_special_tokens=False)

@@ -5,13 +5,20 @@ place depends on a bounded stretch of text to its right only.  From the merge
 list we compute that stretch (``sufficient_lookahead``): once so many symbols
 behind a token are known, no later text can change it, so it is emitted and its
 symbols leave the buffer.  Memory per word is therefore constant however long
-the word is.  Decoding is an incremental byte-to-text state machine.
+the word is.  Every word goes through the transducer; a bounded memo keeps its results
+for white-space-delimited chunks that come again.  Decoding is an incremental
+byte-to-text state machine.
+
+A text is taken in segments of about ``SEGMENT`` characters, cut at spaces, and its ids
+leave by segment: besides the text itself and what a caller asks to keep, memory doesn't
+grow with the text.
 
 Tokenizer files of the "BPE with word ends" and "byte-level BPE" kinds are
 read; normalisation and the cut into words are the file's own components.
 
 Defined results: null text counts as empty and gives no ids; a null id list
-decodes as empty; repeated rows give repeated results; extra columns pass
+decodes as empty; an empty table gives an empty table; repeated rows give repeated
+results, so ties can't matter; texts and words may have any length; extra columns pass
 through ``encode_documents`` untouched unless they bear an output name, in
 which case a ValueError says so.
 """
@@ -34,8 +41,10 @@ from . import shared
 
 #: Entries of the memo of white-space-delimited chunks; it is emptied when full.
 MEMO_ENTRIES = 300_000
-#: Chunks longer than this are streamed and not kept in the memo.
+#: Chunks longer than this aren't kept in the memo.
 MEMO_CHARS = 128
+#: Characters of a text that are encoded at once.
+SEGMENT = 1 << 16
 #: Characters for which str.split() sees white space and the tokenizer doesn't.
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 #: The rank of pairs that never merge.
@@ -118,12 +127,18 @@ class MergeTable:
 
 
 class WordTransducer:
-    """Takes a word's symbols in pieces of any size and emits stable tokens."""
+    """Takes words' symbols in pieces of any size and emits tokens once they are stable.
+
+    Nothing can be stable before lookahead symbols and the longest token are known;
+    that much is held back, and as much again, so that settling is worth its merge.
+    ``words`` counts the words ended, ``peak`` the most symbols held.
+    """
 
-    def __init__(self, table: MergeTable, buffer: int | None = None):
+    def __init__(self, table: MergeTable):
         self.table = table
-        self.limit = max(buffer or 0, 4 * (table.lookahead + 1) + max(table.width.values()))
+        self.limit = 2 * (table.lookahead + max(table.width.values()))
         self.held: list[int] = []
+        self.words = self.peak = 0
 
     def feed(self, symbols: list[int]) -> list[int]:
         """Symbols that the word's end surely doesn't follow directly yet."""
@@ -131,6 +146,7 @@ class WordTransducer:
         for start in range(0, len(symbols), self.limit):
             self.held += symbols[start : start + self.limit]
             if len(self.held) > self.limit:
+                self.peak = max(self.peak, len(self.held))
                 out += self._stable()
         return out
 
@@ -146,7 +162,10 @@ class WordTransducer:
         return tokens[:settled]
 
     def end(self, last: list[int] = ()) -> list[int]:
+        """The word's last symbols; all that is left of it becomes stable."""
         self.held += last
+        self.words += 1
+        self.peak = max(self.peak, len(self.held))
         tokens, self.held = self.table.merge(self.held), []
         return tokens
 
@@ -181,6 +200,7 @@ class Codec:
         self.final_byte = [self.final.get(by_byte[b]) for b in range(256)]
         #: Runs of Latin-1 letters are single words if each such letter is one, as the cut is by classes.
         self.plain = bool(self.suffix) and all(self._normal(chr(c)) == [bytes(chr(c).lower(), "utf-8")] for c in range(256) if chr(c).isalpha())
+        self.machine = WordTransducer(self.table)
         self.memo = _Memo(self)
         names = {i: s for s, i in (model["vocab"] | self.special).items()}
         if self.spec_decoder is None:
@@ -200,7 +220,8 @@ class Codec:
     def _letters(self, word: str) -> list[int]:
         """Tokens of a run of Latin-1 letters."""
         data = word.lower().encode()
-        return self.table.merge([*map(self.inner_byte.__getitem__, data[:-1]), self.final_byte[data[-1]]])
+        out = self.machine.feed([*map(self.inner_byte.__getitem__, data[:-1])])
+        return out + self.machine.end([self.final_byte[data[-1]]])
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in NOT_SPACE):
@@ -209,13 +230,31 @@ class Codec:
             return [w for w in re.split(r"[^\S\x1c-\x1f]+", text) if w]
         return text.split()
 
+    def segments(self, text: str) -> Iterator[str]:
+        """The text in parts of about SEGMENT characters, cut at spaces or line ends."""
+        at = 0
+        while len(text) - at > SEGMENT:
+            end = at + SEGMENT
+            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            if cut <= at:
+                cut = min((i for i in (text.find(" ", end), text.find("\n", end)) if i >= 0), default=len(text))
+            yield text[at:cut]
+            at = cut
+        yield text[at:] if at else text
+
+    def pieces(self, text: str | None) -> Iterator[bytes]:
+        """The ids of a text as little-endian unsigned 32-bit integers, by segment."""
+        if not text:
+            return
+        if not self.suffix:
+            yield from (self._pack(part) for part in self.stream([text]))
+            return
+        for segment in self.segments(text):
+            yield b"".join(map(self.memo.__getitem__, self.words(segment)))
+
     def encode_bytes(self, text: str | None) -> bytes:
         """All ids of a text as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.suffix:
-            return b"".join(map(self.memo.__getitem__, self.words(text)))
-        return b"".join(self._pack(part) for part in self.stream([text]))
+        return b"".join(self.pieces(text))
 
     def encode(self, text: str | None) -> list[int]:
         raw = self.encode_bytes(text)
@@ -233,10 +272,7 @@ class Codec:
                     yield from self._word(word)
 
     def _word(self, word: str) -> Iterator[list[int]]:
-        if len(word) <= MEMO_CHARS:
-            yield self.table.merge([*map(self.inner.__getitem__, word[:-1]), self.final[word[-1]]])
-            return
-        machine = WordTransducer(self.table)
+        machine = self.machine
         for start in range(0, len(word) - 1, machine.limit):
             if out := machine.feed([*map(self.inner.__getitem__, word[start : min(start + machine.limit, len(word) - 1)])]):
                 yield out
@@ -262,16 +298,31 @@ class Codec:
 
     # decoding
 
+    def decoder(self) -> TextDecoder:
+        return TextDecoder(self)
+
     def decode(self, raw: bytes) -> str:
         """The text of ids given as little-endian unsigned 32-bit integers."""
-        machine = Utf8Machine()
-        out = []
-        for start in range(0, len(raw), 1 << 16):
-            part = raw[start : start + (1 << 16)]
-            ids = struct.unpack(f"<{len(part) // 4}I", part)
-            out.append(machine.feed(self.between * bool(start) + self.between.join(map(self.surface.__getitem__, ids))))
-        out.append(machine.end())
-        return "".join(out)
+        machine = self.decoder()
+        return "".join([*(machine.feed(raw[start : start + (1 << 16)]) for start in range(0, len(raw), 1 << 16)), machine.end()])
+
+
+class TextDecoder:
+    """Packed ids in pieces to text; holds back the bytes of an unfinished character only."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.machine, self.begun = codec, Utf8Machine(), False
+
+    def feed(self, raw: bytes) -> str:
+        if not raw:
+            return ""
+        between = self.codec.between
+        data = between.join(map(self.codec.surface.__getitem__, struct.unpack(f"<{len(raw) // 4}I", raw)))
+        data, self.begun = (between + data if self.begun else data), True
+        return self.machine.feed(data)
+
+    def end(self) -> str:
+        return self.machine.end()
 
 
 class Utf8Machine:
@@ -368,10 +419,15 @@ def digest_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
         for batch in shared.slices(batches):
             counts, ids, decoded = [], [], []
             for value in batch.column(1):
-                raw = own.encode_bytes(value.as_py())
-                counts.append(len(raw) // 4)
-                ids.append(hashlib.sha256(raw).hexdigest())
-                decoded.append(hashlib.sha256(own.decode(raw).encode("utf-8")).hexdigest())
+                size, all_ids, text, machine = 0, hashlib.sha256(), hashlib.sha256(), own.decoder()
+                for raw in own.pieces(value.as_py()):
+                    size += len(raw) // 4
+                    all_ids.update(raw)
+                    text.update(machine.feed(raw).encode("utf-8"))
+                text.update(machine.end().encode("utf-8"))
+                counts.append(size)
+                ids.append(all_ids.hexdigest())
+                decoded.append(text.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
