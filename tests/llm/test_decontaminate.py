@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from tremorline.llm import decontaminate as D
 
 
@@ -54,12 +56,54 @@ def test_as_brute_force():
 
 def test_blocks_find_all_within_radius():
     rnd = random.Random(3)
-    index = D.Items([(i, " ".join(str(rnd.random()) for _ in range(9))) for i in range(50)])
+    index = D.Items([(i, " ".join(str(rnd.random()) for _ in range(9 + i % 2))) for i in range(50)])
     for _ in range(300):
-        f = index.prints[rnd.randrange(50)]
+        f = int(index.prints[rnd.randrange(50)])
         for b in rnd.sample(range(64), rnd.randint(0, 24)):
             f ^= 1 << b
-        assert index.within(f) == {n for n, p in enumerate(index.prints) if (p ^ f).bit_count() <= 20}
+        for g in (0, 1):
+            at, item = index.near(np.array([f, 0], dtype=np.uint64), np.array([g, g]))
+            want = {n for n, p in enumerate(index.prints.tolist()) if (p ^ f).bit_count() <= 20 and index.group[n] == g}
+            assert set(item[at == 0].tolist()) == want
+
+
+def edited(words, rnd, vocab):
+    words = list(words)
+    for _ in range(rnd.randint(0, max(1, len(words) // 40))):
+        at = rnd.randrange(len(words))
+        words[at : at + 1] = rnd.choice([[], [rnd.choice(vocab)], [words[at], rnd.choice(vocab)]])
+    return words
+
+
+def test_recall_of_the_fingerprints():
+    rnd = random.Random(11)
+    vocab = [a + b for a in ("th", "er", "in", "on", "st", "qu") for b in ("a", "e", "ing", "s", "t", "re")]
+    say = lambda n: [rnd.choice(vocab) for _ in range(n)]
+    items = [(i, " ".join(say(rnd.randint(20, 200)))) for i in range(60)]
+    docs = [(d, " ".join([*say(rnd.randint(0, 40)), *edited(rnd.choice(items)[1].split(), rnd, vocab), *say(rnd.randint(0, 40))])) for d in range(400)]
+    index = D.Items(items)
+    every = D.Items(items, radius=64)  # every item of the window's size
+    found = {(d, n) for d, t in docs for n, *_ in index.matches(t)}
+    want = {(d, n) for d, t in docs for n, *_ in every.matches(t)}
+    assert found <= want and len(want) > 300 and len(found) >= 0.99 * len(want)
+    assert {(d, items[n][0]) for d, n in want if d < 40} == brute(docs[:40], items)
+    some = [s for _, t in docs for _, _, _, s, _ in every.matches(t)]
+    assert min(some) < 0.85 and max(some) == 1
+
+
+def test_long_documents_and_full_files():
+    import tracemalloc
+
+    rnd = random.Random(6)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(30, 90)))) for i in range(1000)]
+    tracemalloc.start()
+    index = D.Items(items)
+    assert tracemalloc.get_traced_memory()[0] < 1000 * 16_000 + 2_000_000
+    tracemalloc.stop()
+    text = " ".join([items[3][1], *(rnd.choice(vocab) for _ in range(40000)), items[7][1], items[7][1], items[999][1]])
+    assert {n: s for n, _, _, s, _ in index.matches(text)} == {3: 1, 7: 1, 999: 1}
+    assert {n for n, *_ in index.matches(" ".join(t for _, t in items))} == set(range(1000))
 
 
 def test_tables(spark):
@@ -73,4 +117,14 @@ def test_tables(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in docs} - {d for d, _ in want})
     assert D.contaminations(df, bench.limit(0)).count() == 0 and D.clean(df, bench.limit(0)).count() == df.count()
     assert D.contaminations(df.limit(0), bench).count() == 0
-    assert [len(b) for b in D.item_blocks(bench, 200)] != [len(items)]
+
+
+def test_many_files_and_extra_columns(spark, monkeypatch):
+    docs, items = planted(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    monkeypatch.setattr(D, "item_files", lambda b, files=D.item_files: files(b, 800, 3))
+    assert len(D.item_files(bench)) > D.KEPT
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in D.contaminations(df, bench).collect()} == want
+    assert D.clean(df, bench).count() == len(docs) - len({d for d, _ in want})

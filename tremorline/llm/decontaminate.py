@@ -4,22 +4,31 @@ A document is contaminated by a benchmark item if some window of it, as many wor
 long as the item, has a weighted shingle similarity of at least 0.8 with it: the sum
 of the smaller multiplicities of the five-word shingles over the sum of the larger.
 
-Windows are laid where a document has a shingle of an item, so that item and window
-are aligned there; a window without any shared shingle has similarity 0.  Each window
-gets a SimHash fingerprint.  The fingerprints of the items are indexed by
-``radius + 1`` blocks of bits: any two within the radius agree on a whole block, so
-looking all blocks up finds every item within the radius; the exact similarity then
-decides.  The radius (20 of 64 bits) is three standard deviations beyond the mean
-distance at similarity 0.8.
-
-The items are read in blocks of bounded size and the documents pass by each block
-once, so neither side has to fit anywhere and nothing is shuffled.
+* Item-sized windows slide over the document word by word.  A window whose similarity
+  with every item must be too small gets no fingerprint: of its a shingles and an item's
+  b, at least (a + b) * 0.8 / 1.8 have to be shingles of the benchmark.  That bound is
+  exact and doesn't say which item is meant.
+* The other windows get SimHash fingerprints from rolling counts of bits.
+* Which items a window is compared with comes from the fingerprints alone: the items of
+  the window's size are indexed by ``BLOCKS`` blocks of bits, each under all values that
+  differ in at most radius // BLOCKS bits.  Two fingerprints within the radius agree that
+  far on a block, so one look at each block finds every item within the radius.
+* The exact similarity decides.
+
+The radius (20 of 64 bits) is three standard deviations beyond the mean distance at
+similarity 0.8; SimHash can't guarantee more.
+
+The items are written to the shared folder in files of bounded size.  Workers read them
+there, one after the other, and keep the last ones between tasks; the documents are read
+once, nothing is broadcast or shuffled and no text passes the driver.
 
 Words are runs of letters, digits and underscores, lower-cased.  Defined results:
 items without words (null, empty) match nothing; an item of fewer than five words is
 one shingle of all its words; a document shorter than the item is one window; null
 texts match nothing; null document or item ids are carried along; repeated rows give
-repeated results.
+repeated results; of windows with equal similarity the first is reported; empty tables
+on either side give no match; a document may have any length, as windows are laid in
+stretches of ``PIECE`` words; columns of any name are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -27,6 +36,8 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +51,14 @@ from . import shared
 WIDTH = 5
 SIMILARITY = 0.8
 RADIUS = 20
-#: Bytes of benchmark text that are searched for in one pass.
-BLOCK_BYTES = 16 << 20
+#: Blocks of a fingerprint's bits.
+BLOCKS = 6
+#: Bytes and items of the benchmark in one file, about; an indexed item takes 11 kB.
+BLOCK_BYTES, BLOCK_ITEMS = 4 << 20, 10_000
+#: Files whose items a worker keeps, and bytes of documents that it takes at once if there are more.
+KEPT, CHUNK_BYTES = 2, 32 << 20
+#: Windows that are laid at once.
+PIECE = 1 << 14
 WORD = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,39 +98,69 @@ def similarity(a: Counter, b: Counter) -> float:
     return both / (sum(a.values()) + sum(b.values()) - both) if both else 0.0
 
 
+def _close_values(bits: int, flips: int) -> np.ndarray:
+    """All values of so many bits with at most ``flips`` of them set."""
+    return np.array([sum(1 << i for i in c) for n in range(min(flips, bits) + 1) for c in combinations(range(bits), n)], dtype=np.int64)
+
+
 class Items:
-    """A block of benchmark items with their shingle postings and fingerprint index."""
+    """Items of one file: their words, shingles and fingerprints, indexed by blocks of bits.
+
+    ``items`` are (id, words); a group holds the items of equal length.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int = WIDTH, radius: int = RADIUS, least: float = SIMILARITY):
         self.radius, self.least = radius, least
-        self.items = [(key, tokens) for key, tokens in ((k, words(t)) for k, t in items) if tokens]
-        vocabulary = sorted({w for _, tokens in self.items for w in tokens})
+        split = [(key, tokens) for key, tokens in ((k, words(t)) for k, t in items) if tokens]
+        self.items = [(key, len(tokens)) for key, tokens in split]
+        vocabulary = sorted({w for _, tokens in split for w in tokens})
         self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}
         self.hashes = np.concatenate([np.zeros(1, dtype=np.uint64), word_hashes(vocabulary)])
-        self.sizes = [len(t) for _, t in self.items]
-        self.widths = [min(width, n) for n in self.sizes]
-        self.shingles = []
-        self.prints = []
-        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(int(a), (1 << int(b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.index: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for n, (_, tokens) in enumerate(self.items):
-            own = shingle_hashes(word_hashes(tokens), self.widths[n])
-            for offset, s in enumerate(own.tolist()):
-                self.postings[self.widths[n]][s].append((n, offset))
-            self.shingles.append(Counter(own.tolist()))
-            self.prints.append(simhash(own))
-            for b, (shift, mask) in enumerate(self.blocks):
-                self.index[b, self.prints[-1] >> shift & mask].append(n)
-        self.known = {w: np.array(sorted(p), dtype=np.uint64) for w, p in self.postings.items()}
-
-    def within(self, fingerprint: int) -> set[int]:
-        """All items whose fingerprint is within the radius."""
-        found: set[int] = set()
-        for b, (shift, mask) in enumerate(self.blocks):
-            found.update(self.index.get((b, fingerprint >> shift & mask), ()))
-        return {n for n in found if (self.prints[n] ^ fingerprint).bit_count() <= self.radius}
+        sizes = sorted({n for _, n in self.items})
+        self.sizes, of_size = np.array(sizes, dtype=np.int64), {n: g for g, n in enumerate(sizes)}
+        self.widths = np.minimum(self.sizes, width)
+        self.group = np.array([of_size[n] for _, n in self.items], dtype=np.int64)
+        self.shingles, self.counts, prints, known = [], [], [], defaultdict(list)
+        for _, tokens in split:
+            own = shingle_hashes(self.hashes[[self.vocabulary[w] for w in tokens]], min(width, len(tokens)))
+            prints.append(simhash(own))
+            unique, counts = np.unique(own, return_counts=True)
+            self.shingles.append(unique)
+            self.counts.append(counts)
+            known[min(width, len(tokens))].append(unique)
+        self.prints = np.array(prints, dtype=np.uint64)
+        self.known = {w: np.unique(np.concatenate(x)) for w, x in known.items()}
+        self.blocks = []  # of each: first bit, bits, sorted keys (group and value), the items of each key
+        cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
+        for first, end in zip(cuts, cuts[1:], strict=False):
+            bits = int(end - first)
+            value = (self.prints >> np.uint64(first)).astype(np.int64) & ((1 << bits) - 1)
+            close = _close_values(bits, radius // BLOCKS)
+            keys = ((self.group[:, None] << bits) | (value[:, None] ^ close[None, :])).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.blocks.append((np.uint64(first), bits, keys[order].astype(np.int64 if len(sizes) << bits >= 1 << 31 else np.int32), (order // max(1, len(close))).astype(np.int32)))
+
+    def near(self, prints: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, item): all items of the groups whose fingerprint is within the radius."""
+        found = []
+        for first, bits, keys, items in self.blocks:
+            value = ((groups << bits) | ((prints >> first).astype(np.int64) & ((1 << bits) - 1))).astype(keys.dtype)
+            lo = np.searchsorted(keys, value, "left")
+            n = np.searchsorted(keys, value, "right") - lo
+            at = np.repeat(np.arange(len(prints)), n)
+            found.append(at * len(self.items) + items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(at))])
+        pairs = np.unique(np.concatenate(found))
+        at, item = pairs // max(1, len(self.items)), pairs % max(1, len(self.items))
+        close = np.bitwise_count(prints[at] ^ self.prints[item]) <= self.radius
+        return at[close], item[close]
+
+    def similarity(self, shingles: np.ndarray, item: int) -> float:
+        """Weighted Jaccard similarity of a window's shingles with an item's."""
+        unique, counts = np.unique(shingles, return_counts=True)
+        own, n = self.shingles[item], self.counts[item]
+        at = np.minimum(np.searchsorted(own, unique), len(own) - 1)
+        both = int(np.minimum(counts, n[at])[own[at] == unique].sum())
+        return both / (len(shingles) + int(n.sum()) - both) if both else 0.0
 
     def matches(self, text: str | None) -> Iterator[tuple[int, int, int, float, int]]:
         """(item, first word, words, similarity, differing bits) of the best window of each item found."""
@@ -122,41 +169,68 @@ class Items:
             return
         get = self.vocabulary.get
         ids = np.array([get(w, 0) for w in tokens], dtype=np.int64)
-        windows: set[tuple[int, int]] = set()  # (words, first word)
+        inside = np.concatenate([[0], np.cumsum(ids > 0)])
+        best: dict[int, tuple[float, int, int, int]] = {}
         for width, known in self.known.items():
-            n = len(tokens) - width + 1
-            if n <= 0:
-                continue
-            inside = np.concatenate([[0], np.cumsum(ids > 0)])
-            places = np.flatnonzero(inside[width:] - inside[:-width] == width)
+            places = np.flatnonzero(inside[width:] - inside[:-width] == width) if len(tokens) >= width else ()
             if not len(places):
                 continue
             hashes = _at(self.hashes[ids], places, width)
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            for p, s in zip(places[known[at] == hashes].tolist(), hashes[known[at] == hashes].tolist(), strict=True):
-                for item, offset in self.postings[width][s]:
-                    size = min(self.sizes[item], len(tokens))
-                    windows.add((size, min(max(p - offset, 0), len(tokens) - size)))
-        if not windows:
-            return
-        best: dict[int, tuple[float, int, int, int]] = {}
-        for size, first in sorted(windows):
-            hashes = word_hashes(tokens[first : first + size])
-            by_width = {}
-            for width in set(self.widths):
-                shingles = shingle_hashes(hashes, min(width, size))
-                by_width[width] = (simhash(shingles), shingles)
-            for width, (fingerprint, shingles) in by_width.items():
-                counted = None
-                for item in self.within(fingerprint):
-                    if self.widths[item] != width or min(self.sizes[item], len(tokens)) != size:
-                        continue
-                    counted = counted or Counter(shingles.tolist())
-                    if (s := similarity(counted, self.shingles[item])) >= self.least and s > best.get(item, (0,))[0]:
-                        best[item] = (s, first, size, (fingerprint ^ self.prints[item]).bit_count())
+            hits = places[known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes]
+            if len(hits):
+                self._best_windows(tokens, width, hits, best)
         for item, (s, first, size, bits) in sorted(best.items()):
             yield item, first, size, s, bits
 
+    def _best_windows(self, tokens: list[str], width: int, hits: np.ndarray, best: dict[int, tuple[float, int, int, int]]) -> None:
+        """``hits``: the places of shingles of this width that some item has."""
+        groups = np.flatnonzero(self.widths == width)
+        size = np.minimum(self.sizes[groups], len(tokens))
+        own, theirs = size - width + 1, self.sizes[groups] - width + 1
+        need = np.ceil(self.least / (1 + self.least) * (own + theirs) - 1e-9).astype(np.int64)
+        possible = need <= own
+        if not possible.any():
+            return
+        groups, size, own, need = groups[possible], size[possible], own[possible], need[possible]
+        widest = int(own.max())
+        upto = np.zeros(len(tokens) - width + 2, dtype=np.int64)
+        upto[hits + 1] = 1
+        np.cumsum(upto, out=upto)
+        # no window reaches from one stretch into the next
+        for stretch in np.split(hits, np.flatnonzero(np.diff(hits) > widest) + 1):
+            if len(stretch) < need.min():
+                continue
+            start, end = max(0, int(stretch[0]) - widest + 1), int(stretch[-1]) + 1
+            for lo in range(start, end, PIECE):
+                hi = min(lo + PIECE, end)
+                laid = []
+                for g, n, a, least in zip(groups.tolist(), size.tolist(), own.tolist(), need.tolist(), strict=True):
+                    last = min(hi, len(tokens) - n + 1)
+                    if last > lo:
+                        dense = lo + np.flatnonzero(upto[lo + a : last + a] - upto[lo:last] >= least)
+                        if len(dense):
+                            laid.append((g, n, a, dense))
+                if laid:
+                    self._compare(tokens[lo : hi + widest + width - 2], lo, width, laid, best)
+
+    def _compare(self, tokens: list[str], lo: int, width: int, laid: list[tuple[int, int, int, np.ndarray]], best: dict[int, tuple[float, int, int, int]]) -> None:
+        """Fingerprints of the windows laid, (group, words, shingles, first words), and their items."""
+        shingles = shingle_hashes(word_hashes(tokens), width)
+        bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        rolling = np.zeros((len(shingles) + 1, 64), dtype=np.int32)
+        np.cumsum(bits, axis=0, out=rolling[1:])
+        prints = [np.packbits(2 * (rolling[at - lo + a] - rolling[at - lo]) > a, axis=1, bitorder="little").view("<u8").ravel() for _, _, a, at in laid]
+        counts = [len(at) for *_, at in laid]
+        window, item = self.near(np.concatenate(prints), np.repeat([g for g, *_ in laid], counts))
+        prints, firsts = np.concatenate(prints), np.concatenate([at for *_, at in laid])
+        of = np.repeat(np.arange(len(laid)), counts)
+        for w, i in zip(window.tolist(), item.tolist(), strict=True):
+            _, n, a, _ = laid[of[w]]
+            first = int(firsts[w])
+            s = self.similarity(shingles[first - lo : first - lo + a], i)
+            if s >= self.least and (i not in best or (s, -first) > (best[i][0], -best[i][1])):
+                best[i] = (s, first, n, int(prints[w] ^ self.prints[i]).bit_count())
+
 
 def _at(hashes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     """shingle_hashes at some places only."""
@@ -167,18 +241,44 @@ def _at(hashes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def item_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in blocks of at most ``most`` bytes (or one item), one partition at a time on the driver."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).toLocalIterator():
-        n = len(r.text or "")
-        if block and size + n > most:
-            yield block
-            block, size = [], 0
-        block.append((r.item_id, r.text))
-        size += n
-    if block:
-        yield block
+def item_files(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES, most_items: int = BLOCK_ITEMS) -> list[str]:
+    """Writes the items below the shared folder, about so many to a file; no text passes the driver."""
+    spark = benchmark.sparkSession
+    own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    sums = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    if not sums.n:
+        return []
+    path = shared.scratch(spark, "benchmark")
+    own.repartition(max(1, -(-sums.b // most_bytes), -(-sums.n // most_items))).write.parquet(path)
+    return sorted(spark.read.schema(own.schema).parquet(path).inputFiles())
+
+
+@lru_cache(maxsize=KEPT)
+def items_of(file: str, width: int, radius: int, least: float) -> Items:
+    """The items of one file; a worker keeps the last ones."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(file)
+    with store.open_input_file(path) as source:
+        table = pq.read_table(source, columns=["item_id", "text"])
+    return Items(list(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)), width, radius, least)
+
+
+def _chunks(batches, files: list[str], at: int):
+    """Slices of the batches; larger ones where items have to be read anew for each."""
+    if len(files) <= KEPT:
+        yield from shared.slices(batches)
+        return
+    held, size = [], 0
+    for part in shared.slices(batches):
+        held.append(part)
+        size += part.column(at).nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 MATCH = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("item_id", T.LongType()), ("first_word", T.LongType()), ("n_words", T.LongType()), ("similarity", T.DoubleType()), ("differing_bits", T.IntegerType()))])
@@ -186,33 +286,29 @@ MATCH = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()),
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity, differing_bits): each item's best window in each document."""
-    spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = None
-    for block in item_blocks(benchmark):
-        shipped = spark.sparkContext.broadcast(block)  # bounded by BLOCK_BYTES
+    files = item_files(benchmark)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
 
-        def run(batches, shipped=shipped):
-            items = Items(shipped.value, width, radius, least)
-            for batch in shared.slices(batches):
-                rows = [(key, items.items[n][0], first, size, s, bits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for n, first, size, s, bits in items.matches(text.as_py())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()), strict=True)], names=MATCH.names)
+    def run(batches):
+        for batch in _chunks(batches, files, 1):
+            rows = []
+            for file in files:
+                items = items_of(file, width, radius, least)
+                rows += [(key, items.items[n][0], first, size, s, bits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for n, first, size, s, bits in items.matches(text.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names=MATCH.names)
 
-        found = own.mapInArrow(run, MATCH)
-        out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], MATCH) if out is None else out
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, MATCH)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents that no item contaminates, with their columns."""
-    at = docs.columns.index(text)
-    for block in item_blocks(benchmark):
-        shipped = docs.sparkSession.sparkContext.broadcast(block)
+    files, at = item_files(benchmark), docs.columns.index(text)
 
-        def run(batches, shipped=shipped):
-            items = Items(shipped.value, width, radius, least)
-            for batch in shared.slices(batches):
-                yield batch.filter(pa.array([next(items.matches(t.as_py()), None) is None for t in batch.column(at)], pa.bool_()))
+    def run(batches):
+        for batch in _chunks(batches, files, at):
+            for file in files:
+                items = items_of(file, width, radius, least)
+                batch = batch.filter(pa.array([next(items.matches(t.as_py()), None) is None for t in batch.column(at)], pa.bool_()))
+            yield batch
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
