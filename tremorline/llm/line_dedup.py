@@ -205,10 +205,14 @@ def mark(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: in
     """docs with two more columns: the kept text and the number of removed lines."""
     gone = dropped(docs, key, text, min_chars, min_words).groupBy(F.col("d").alias(_D), F.col("t").alias(_T)).agg(F.collect_set("pos").alias(_GONE))
     d, t = _keys(docs, key, text)
-    lines = F.split(docs[text], "\n")
     joined = docs.join(gone, (d == gone[_D]) & (t == gone[_T]), "left")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE)), lambda i: F.get(lines, i))
-    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), F.when(F.col(_GONE).isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias("line dedup: kept"), F.coalesce(F.size(_GONE), F.lit(0)).alias("line dedup: removed"))
+
+    def left(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_GONE)), lambda i: F.get(lines, i)), "\n")
+
+    # the text is split once, as the only entry of an array whose entry the inner function sees
+    kept = F.get(F.transform(F.array(F.split(docs[text], "\n")), left), 0)
+    return joined.select(*(docs[f"`{c}`"] for c in docs.columns), F.when(F.col(_GONE).isNull(), docs[text]).otherwise(kept).alias("line dedup: kept"), F.coalesce(F.size(_GONE), F.lit(0)).alias("line dedup: removed"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
