@@ -40,6 +40,44 @@ def test_repeated_and_null_ids(spark):
     assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
 
 
+def test_shards_follow_the_bytes(spark):
+    def shards(n):
+        df = spark.createDataFrame([(i, "word " * 20) for i in range(n)], "doc_id long, text string")
+        rows = O.write_shards(df, PATH, shared.scratch(spark, "t"), shard_bytes=2000).orderBy("shard").collect()
+        assert sum(r.n_docs for r in rows) == n and [r.start for r in rows] == [sum(x.n_tokens for x in rows[:i]) for i in range(len(rows))]
+        assert max(r.n_docs for r in rows) < 40
+        return len(rows)
+
+    few, many = shards(200), shards(2000)
+    assert 9 * few <= many <= 11 * few
+
+
+def test_null_ids_are_dealt_over_their_share_of_shards(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(i, "x y z") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = O.write_shards(df, PATH, shared.scratch(spark, "t"), shard_bytes=1500)
+    got = sorted(map(tuple, O.read_shards(manifest).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 300 + list(range(300)) and got[0][1] == 0
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:]))
+    assert sorted(r[2:] for r in got) == sorted(r[2:] for r in expected(rows))
+    sizes = [r.n_docs for r in manifest.orderBy("shard").collect()]
+    assert len(sizes) > 15 and max(sizes) < 80
+    only = O.write_shards(df.where("doc_id is null"), PATH, shared.scratch(spark, "t"), shard_bytes=1500)
+    assert only.count() > 8 and O.read_shards(only).count() == 300
+
+
+def test_sizes_beyond_the_format():
+    writer = O.ShardWriter(io.BytesIO())
+    with pytest.raises(ValueError):
+        writer.add(1, b"", 1 << 32, 0)
+
+
+def test_extra_and_long(spark):
+    df = spark.createDataFrame([(1, "word " * 200000, 5, "a"), (1, "word " * 200000, 5, "a"), (2, "b", None, None)], "doc_id long, text string, start int, frame string")
+    got = sorted(map(tuple, O.write_and_read(df, PATH).collect()), key=lambda r: r[1])
+    assert [r[:3] for r in got] == [(1, 0, 200001), (1, 200001, 200001), (2, 400002, 2)]
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

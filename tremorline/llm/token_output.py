@@ -15,12 +15,16 @@ documents asked for, and no others; any seekable-zstandard reader can read the
 file.  Shards follow each other in document order.
 
 The texts are encoded where they are read, so only compressed frames are
-shuffled; they are dealt to shards by quantiles of the document id.  Where one id
-fills whole shards, its rows are dealt among them by a hash of their ids.
+shuffled.  The number of shards follows from the bytes of all texts; documents are dealt
+to them by quantiles of the document id.  Where one id fills whole shards, and for rows
+without an id, which get their share of shards before all others, rows are dealt by a
+hash of their ids.
 
 Defined results: null text counts as empty (the end id only); null document ids
 come first; rows with equal ids follow each other by a hash of their tokens, in a
-fixed order; an empty table gives no shard.
+fixed order, so repeated rows give repeated results; an empty table gives no shard; a
+text may be as long as a row may, as its ids must take less than 4 GiB, the format's
+limit for a frame (an error says so); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +52,10 @@ SEEK_MAGIC = 0x8F92EAB1
 
 END_ID = 1
 LEVEL = 3
-#: Compressed bytes that a shard aims at.
-SHARD_BYTES = 64 << 20
+#: Bytes that a shard aims at, and what a document is taken to add to it: a share of its text's bytes, and its frame's and tables' own.
+SHARD_BYTES, FRAME_SHARE, FRAME_BYTES = 128 << 20, 0.6, 48
+#: The format's limit for sizes.
+LIMIT = 1 << 32
 MEMO_ENTRIES = 400_000
 MEMO_CHARS = 12
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -78,6 +84,8 @@ class ShardWriter:
         self.sink, self.entries, self.keys, self.tokens = sink, bytearray(), bytearray(), 0
 
     def add(self, key: int | None, packed: bytes, raw_size: int, check: int) -> None:
+        if max(len(packed), raw_size) >= LIMIT or len(self.entries) + 64 >= LIMIT:
+            raise ValueError("a frame or the seek table exceeds the format's 4 GiB")
         self.sink.write(packed)
         self.entries += struct.pack("<III", len(packed), raw_size, check)
         self.keys += struct.pack("<Bq", key is None, key or 0)
@@ -139,6 +147,18 @@ class Shard:
 # encoding with the library
 
 
+#: Texts by which a tokenizer file is probed: whether white space of any kind ends words whatever stands beside it.
+PROBES = [
+    "a <|endoftext|>Bé, 1\n\tc",
+    "  two  spaces\r\n\r\nand\u00a0others\u2003here\u3000too\u2028x\u0085y ",
+    "don't we'LL 12 345.6 , . ;; !? (a) [b] {c} <d> <| |> \"e\" 'f' «g» – — …",
+    "漢字 かな 한글 ไทย عربي עברית ελ ΣΑΣ İ ı ß ŉ ǆ ﬁ ½ ² Ⅷ ٣",
+    "e\u0301 \u0301e 🙂 🙂🏽 👩‍👩‍👧 \u200b a\u200db \ufeff z\ufe0f",
+    "<|startoftext|> <|endoftext|> <|endoftext|><|startoftext|> x<|endoftext|>y < | endoftext | >",
+    "\x00 \x01a \x7f b\x00c _ __ a_b A1b2 -1 +2 1e5 http://x.y/z?q=1&r#s a@b.c",
+]
+
+
 class _Encoder(dict):
     """Packed ids by white-space-delimited chunk, from the tokenizers library; bounded.
 
@@ -165,8 +185,7 @@ class _Encoder(dict):
         probes = ["".join(letters), *letters, "Word", "ÉTÉ", "straße"]
         self.letters = all(self._word(w.lower()) == self._whole(w) for w in probes)
         self.signs = {s: self._whole(s) for s in ".,;:!?" if self._whole("ab" + s) == self._whole("ab") + self._whole(s)}
-        probe = "a <|endoftext|>Bé, 1\n\tc"
-        self.by_chunk = self._whole(probe) == b"".join(map(self._whole, probe.split()))
+        self.by_chunk = all(self._whole(probe) == b"".join(map(self._whole, probe.split())) for probe in PROBES)
 
     def _whole(self, text: str) -> bytes:
         ids = self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -218,18 +237,28 @@ def _open(path: str, mode: str):
     return store.open_input_file(at) if mode == "r" else store.open_output_stream(at, buffer_size=1 << 20)
 
 
-def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
+def shards_for(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, int]:
+    """How many shards documents (doc_id, text) get, and how many of these are for rows without an id."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) * FRAME_SHARE + FRAME_BYTES
+    r = docs.agg(F.coalesce(F.sum(size), F.lit(0.0)).alias("all"), F.coalesce(F.sum(F.when(F.col("doc_id").isNull(), size)), F.lit(0.0)).alias("null")).first()
+    nulls = -int(-r["null"] // shard_bytes)
+    return nulls + max(-int(-(r["all"] - r["null"]) // shard_bytes), int(nulls == 0 or r["all"] > r["null"])), nulls
+
+
+def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, key: str = "doc_id", text: str = "text", shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Writes all documents below folder; returns (shard, file, n_docs, n_tokens, start), one row a shard.
 
+    ``shards`` sets the number of shards that documents with an id get; without it that follows from ``shard_bytes``.
     A task writes under a name of its own and only then renames, so that repeated or
     speculative tasks leave whole files.  ``start`` is the number of ids in earlier shards.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards or max(tasks, 1)
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [0.5], 20 * shards).alias("b")).first().b or []
-    edges = np.array(bounds[: shards - 1], dtype=np.int64)
+    total, nulls = shards_for(docs, shard_bytes)
+    total = nulls + shards if shards else total
+    cuts = max(total - nulls, 1)
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)] or [0.5], max(20 * min(cuts, 5000), 4 * cuts)).alias("b")).first().b or []
+    edges = np.array(bounds[: cuts - 1], dtype=np.int64)
 
     def encode(batches):
         own = encoder(path)
@@ -242,7 +271,9 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
                 values = np.array(keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), dtype=np.int64)
                 hashes = np.array([xxhash.xxh64_intdigest(r, 7) >> 1 for r in raws], dtype=np.int64)
                 low, high = np.searchsorted(edges, values, "left"), np.searchsorted(edges, values, "right")
-                shard = low + hashes % np.maximum(high - low, 1)
+                shard = nulls + low + hashes % np.maximum(high - low, 1)
+                if nulls:
+                    shard = np.where(keys.is_null().to_numpy(zero_copy_only=False), hashes % nulls, shard)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard, pa.int32()), keys, pa.array(hashes), pa.array([frame(r) for r in raws], pa.binary()), pa.array([len(r) for r in raws], pa.int64()), pa.array([checksum(r) for r in raws], pa.int64())],
                     names=["shard", "doc_id", "order", "frame", "size", "check"],
@@ -281,7 +312,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(hadoop)
     frames = docs.mapInArrow(encode, "shard int, doc_id long, order long, frame binary, size long, check long")
-    dealt = frames.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "order", "frame")
+    dealt = frames.repartitionById(max(total, 1), F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "order", "frame")
     manifest = dealt.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long").toArrow().sort_by("shard")  # one row a shard
     counts = manifest.column("n_tokens").to_numpy()
     starts = np.concatenate([[0], np.cumsum(counts)[:-1]]) if len(counts) else counts
