@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tremorline.llm import url_filter as U
 
 
@@ -22,32 +24,34 @@ def rule(host, path):
 def brute(rows):
     urls = {u: rule(*parts(u)) for _, u in rows if u is not None}
     fold = {u: hashlib.md5(u.encode()).hexdigest()[0] < "8" for u in urls}
+    k = U.ORDER
 
     def text(u):
-        s = (u.split("://", 1)[1] if "://" in u else u).translate(str.maketrans(U._UPPER + "123456789", U._LOWER + "0" * 9))
-        return "^^^" + re.sub(r"[^a-z0./\-]", "_", s) + "$"
-
-    counts = {v: defaultdict(Counter) for v in ("allow", "block")}
-    for u, (_, v) in urls.items():
-        if v and fold[u]:
-            s = text(u)
-            for i in range(3, len(s)):
-                for k in range(4):
-                    counts[v][s[i - k : i]][s[i]] += 1
-
-    def p(v, context, c):
-        lower = 1 / 33 if not context else None
-        seen = counts[v][context]
-        if lower is None:
-            lower = p(v, context[1:], c)
+        return U.BEFORE * k + (u.split("://", 1)[1] if "://" in u else u).translate(str.maketrans(U._UPPER, U._LOWER)) + U.AFTER
+
+    def fitted(chosen):
+        counts = {v: defaultdict(Counter) for v in ("allow", "block")}
+        for u, (_, v) in urls.items():
+            if v and chosen(u):
+                s = text(u)
+                for i in range(k, len(s)):
+                    for n in range(k + 1):
+                        counts[v][s[i - n : i]][s[i]] += 1
+        return counts
+
+    def p(counts, context, c):
+        seen = counts[context]
+        lower = p(counts, context[1:], c) if context else 1 / U.ALPHABET
         n = sum(seen.values())
         return lower if not n else (seen[c] + len(seen) * lower) / (n + len(seen))
 
-    def score(u):
+    half, whole = fitted(lambda u: fold[u]), fitted(lambda u: True)
+
+    def score(u, counts):
         s = text(u)
-        return sum(math.log(p("allow", s[i - 3 : i], s[i])) - math.log(p("block", s[i - 3 : i], s[i])) for i in range(3, len(s))) / (len(s) - 3)
+        return sum(math.log(p(counts["allow"], s[i - k : i], s[i])) - math.log(p(counts["block"], s[i - k : i], s[i])) for i in range(k, len(s))) / (len(s) - k)
 
-    held = [(math.floor(max(-20, min(20, score(u))) * 100), v) for u, (_, v) in urls.items() if v and not fold[u]]
+    held = [(math.floor(max(-20, min(20, score(u, half))) * 100), v) for u, (_, v) in urls.items() if v and not fold[u]]
     na, nr = sum(v == "allow" for _, v in held), sum(v == "block" for _, v in held)
     if {v for u, (_, v) in urls.items() if v and fold[u]} != {"allow", "block"}:
         return {r: (*parts(u), *((rule(*parts(u))) if rule(*parts(u))[0] else (None, "allow"))) for r, u in rows}
@@ -60,7 +64,7 @@ def brute(rows):
     for r, u in rows:
         h, q = parts(u)
         name, v = rule(h, q)
-        out[r] = (h, q, name, v or ("allow" if (score(u) if u is not None else 0) >= cut else "block"))
+        out[r] = (h, q, name, v or ("allow" if (score(u, whole) if u is not None else 0) >= cut else "block"))
     return out
 
 
@@ -81,6 +85,30 @@ def test_as_brute_force(spark):
     assert got(spark, data) == brute(data)
 
 
+def test_joined_as_broadcast(spark, monkeypatch):
+    data = rows(200, 3)
+    want = got(spark, data)
+    monkeypatch.setattr(U, "MOST_BROADCAST", 0)
+    assert got(spark, data) == want == brute(data)
+
+
+def test_contexts_grow_with_the_corpus(spark):
+    def size(n):
+        df = spark.createDataFrame([(f"http://x{i * 7919 % 10007}.org/é{i}%2F{i * 31}", i % 2) for i in range(n)], "url string, label int")
+        flags = [F.lit(1).cast("long").alias(x) for x in U.SETS]
+        return U._grams(df.select(U.symbols(F.col("url")).alias("s"), *flags), *U.SETS).select("g").distinct().count()
+
+    assert size(2000) > 3 * size(200)
+    a, b = (spark.range(1).select(U.symbols(F.lit(f"http://e.org/{x}"))).first()[0] for x in ("en/1", "en/2"))
+    assert a != b
+
+
+def test_long_urls(spark):
+    data = [*rows(60, 4), (1000, "http://x.net/" + "a/é" * 20000), (1001, "http://y.com/fr/" + "z" * 30000)]
+    out = got(spark, data)
+    assert len(out) == len({r for r, _ in data}) and out[1001][2:] == ("com/fr/", "allow") and len(out[1000][1]) == 60001
+
+
 def test_without_labels(spark):
     data = [(1, "http://x.net/a"), (2, None), (None, "http://y.net/"), (3, "http://z.com/fr/")]
     assert got(spark, data) == brute(data)

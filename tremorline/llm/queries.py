@@ -63,7 +63,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "similarity")  # what the texts themselves say; SQL has no such fingerprints
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -80,6 +81,115 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
+def _url_sql() -> str:
+    """Rules, counts of five characters, the four Witten-Bell models level by level, threshold and verdicts."""
+    sets = ("ah", "rh", "a", "r")
+    levels = []
+    for n in range(4, 0, -1):
+        levels.append(f"c{n} as (select substr(g, 2, {n}) as g, {', '.join(f'sum({x}) as {x}' for x in sets)} from c{n + 1} group by 1)")
+    for n in range(1, 6):
+        lower = {x: "1 / 256e0" if n == 1 else f"l.{x}" for x in sets}
+        mixed = ", ".join(f"case when n{x} = 0 then {lower[x]} else (q.{x} + k{x} * ({lower[x]})) / (n{x} + k{x}) end as {x}" for x in sets)
+        totals = ", ".join(f"sum({x}) over w as n{x}, count(*) filter ({x} > 0) over w as k{x}" for x in sets)
+        join = "" if n == 1 else f" join m{n - 1} l on l.g = substr(q.g, 2, {n - 1})"
+        levels.append(f"m{n} as (select q.g, {mixed} from (select *, {totals} from c{n} window w as (partition by substr(g, 1, {n - 1}))) q{join})")
+    return (
+        r"""
+with u as (
+  select page_id, url, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as rest from pages
+), h as (
+  select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u
+), ruled as (
+  select *, case
+      when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+      when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+      when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+      when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+      when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
+  from h
+), urls as (
+  select distinct url, case when rule in ('org/', 'com/fr/') then 1 when rule is not null then 0 end as label, substr(md5(url), 1, 1) < '8' as fold,
+    repeat(chr(2), 4) || translate(coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else url end, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || chr(3) as s
+  from ruled where url is not null
+), grams as (
+  select url, label, fold, substr(s, i, 5) as g from (select *, unnest(generate_series(1, length(s) - 4)) as i from urls)
+), c5 as (
+  select g, count(*) filter (fold and label = 1) as ah, count(*) filter (fold and label = 0) as rh, count(*) filter (label = 1) as a, count(*) filter (label = 0) as r from grams group by g
+), """
+        + ", ".join(levels)
+        + r""", scored as (
+  select url, label, avg(case when label is null then ln(a) - ln(r) else ln(ah) - ln(rh) end) as score from grams join m5 using (g) where label is null or not fold group by url, label
+), steps as (
+  select floor(greatest(-20, least(20, score)) * 100)::int as step, sum(label) as a, count(*) as n from scored where label is not null group by 1
+), cuts as (
+  select step, coalesce(sum(a) over w, 0) as ba, coalesce(sum(n - a) over w, 0) as br, sum(a) over () as ta, sum(n - a) over () as tr
+  from steps window w as (order by step rows between unbounded preceding and 1 preceding)
+), cut as (
+  select coalesce((select step / 100e0 from cuts where ta > 0 and tr > 0 order by (ta - ba) * tr + br * ta desc, abs(step), step limit 1), 0e0) as t
+), kinds as (
+  select count(distinct label) = 2 as both_kinds from urls where fold and label is not null
+)
+select page_id, host, path, rule, case
+    when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
+    when not (select both_kinds from kinds) or coalesce(score, 0e0) >= (select t from cut) then 'allow' else 'block' end as verdict
+from ruled left join (select url as scored_url, score from scored where label is null) on url = scored_url
+"""
+    )
+
+
+LINE_SQL = r"""
+with l as (
+  select doc_id, i - 1 as pos, string_split(text, chr(10))[i] as raw, trim(regexp_replace(lower(string_split(text, chr(10))[i]), '[ \t\r]+', ' ', 'g'), ' ') as s
+  from (select doc_id, text, unnest(generate_series(1, len(string_split(text, chr(10))))) as i from documents where text is not null)
+), part as (
+  select * from l where length(s) >= 20
+), firsts as (
+  select s, min({'d': coalesce(doc_id, 9223372036854775807), 'p': pos}) as f, string_split(s, ' ') as w from part group by s
+), cut as (
+  select f, j, len(w) as n, array_to_string(list_concat(w[1:j - 1], w[j + 1:]), ' ') as v from (select f, w, unnest(generate_series(1, len(w))) as j from firsts where len(w) >= 2)
+), replaced as (
+  select f from (select f, min(f) over (partition by n, j, v) as least from cut) where least < f
+), both_kinds as (
+  select f, v, n - 1 as n, true as shorter from cut union all select f, s, len(w), false from firsts where len(w) >= 2
+), longer as (
+  select f from (select f, shorter, min(f) filter (not shorter) over k as line, min(f) filter (shorter) over k as variant from both_kinds window k as (partition by n, v)) where line < f and shorter or variant < f and not shorter
+), near as (
+  select f from replaced union select f from longer
+), judged as (
+  select doc_id, pos, raw, coalesce({'d': coalesce(doc_id, 9223372036854775807), 'p': pos} <> f or f in (select f from near), false) as gone from l left join firsts using (s)
+), kept as (
+  select doc_id, count(*)::int as n_lines, count_if(gone)::int as n_removed, coalesce(string_agg(raw, chr(10) order by pos) filter (not gone), '') as text from judged group by doc_id
+)
+select * from kept union all select doc_id, 0, 0, null from documents where text is null
+"""
+
+ITEM_SQL = r"""
+with items as (
+  select item_id, row_number() over () as i, w, len(w) as n, least(5, len(w)) as k from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from benchmark where text is not null) where len(w) > 0
+), theirs as (
+  select i, s, count(*) as c from (select i, array_to_string(w[p:p + k - 1], ' ') as s from (select i, w, k, unnest(generate_series(1, n - k + 1)) as p from items)) group by i, s
+), docs as (
+  select doc_id, row_number() over () as r, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents where text is not null
+), ours as (
+  select r, k, p, array_to_string(w[p:p + k - 1], ' ') as s from (select r, w, k, unnest(generate_series(1, len(w) - k + 1)) as p from docs, (select distinct k from items))
+), hits as (
+  select distinct o.r, o.p, t.i from ours o join theirs t using (s) join items on items.i = t.i and items.k = o.k
+), laid as (
+  select distinct r, i, k, n, size, size - k + 1 as a, unnest(generate_series(greatest(1, p - (size - k)), least(p, total - size + 1))) as first
+  from (select h.r, h.i, h.p, t.k, t.n, len(d.w) as total, least(t.n, len(d.w)) as size from hits h join items t on t.i = h.i join docs d on d.r = h.r)
+), shared as (
+  select l.r, l.i, l.n, l.k, l.size, l.a, l.first, o.s, count(*) as c from laid l join ours o on o.r = l.r and o.k = l.k and o.p between l.first and l.first + l.a - 1 group by all
+), sums as (
+  select r, i, size, first, sum(least(shared.c, theirs.c)) as both_have, any_value(a + n - k + 1) as all_have from shared join theirs using (i, s) group by r, i, size, first
+), scored as (
+  select *, both_have::double / (all_have - both_have) as similarity from sums
+), best as (
+  select * from scored where similarity >= 0.8e0 qualify row_number() over (partition by r, i order by similarity desc, first) = 1
+)
+select doc_id, item_id, (first - 1)::bigint as first_word, size::bigint as n_words, similarity from best join docs using (r) join items using (i)
+"""
+
+
 #: Queries that DuckDB can express.
 ORACLES: dict[str, str] = {
     "op3_chat_format": r"""
@@ -113,57 +223,7 @@ with t as (
 select whole.conv_id, n::bigint as n_turns, sha256(turns) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, chars::bigint as formatted_chars
 from whole join sizes on whole.conv_id is not distinct from sizes.conv_id
 """,
-    "op8_url_filter": r"""
-with u as (
-  select page_id, url, coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end, '') as rest from pages
-), h as (
-  select page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u
-), ruled as (
-  select *, case
-      when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
-      when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
-      when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
-      when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
-      when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule
-  from h
-), urls as (
-  select distinct url, case when rule in ('org/', 'com/fr/') then 1 when rule is not null then 0 end as label, substr(md5(url), 1, 1) < '8' as fold,
-    '^^^' || regexp_replace(translate(coalesce(case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else url end, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[^a-z0./\-]', '_', 'g') || '$' as s
-  from ruled where url is not null
-), grams as (
-  select url, label, fold, substr(s, i, 4) as g from (select *, unnest(generate_series(1, length(s) - 3)) as i from urls)
-), c4 as (
-  select g, count(*) filter (fold and label = 1) as a, count(*) filter (fold and label = 0) as r from grams group by g
-), c3 as (select substr(g, 2, 3) as g, sum(a) as a, sum(r) as r from c4 group by 1
-), c2 as (select substr(g, 2, 2) as g, sum(a) as a, sum(r) as r from c3 group by 1
-), c1 as (select substr(g, 2, 1) as g, sum(a) as a, sum(r) as r from c2 group by 1
-), m1 as (
-  select g, case when na = 0 then 1 / 33e0 else (a + ta * (1 / 33e0)) / (na + ta) end as pa, case when nr = 0 then 1 / 33e0 else (r + tr * (1 / 33e0)) / (nr + tr) end as pr
-  from (select *, sum(a) over w as na, sum(r) over w as nr, count(*) filter (a > 0) over w as ta, count(*) filter (r > 0) over w as tr from c1 window w as ())
-), m2 as (
-  select x.g, case when na = 0 then l.pa else (a + ta * l.pa) / (na + ta) end as pa, case when nr = 0 then l.pr else (r + tr * l.pr) / (nr + tr) end as pr
-  from (select *, sum(a) over w as na, sum(r) over w as nr, count(*) filter (a > 0) over w as ta, count(*) filter (r > 0) over w as tr from c2 window w as (partition by substr(g, 1, 1))) x join m1 l on l.g = substr(x.g, 2, 1)
-), m3 as (
-  select x.g, case when na = 0 then l.pa else (a + ta * l.pa) / (na + ta) end as pa, case when nr = 0 then l.pr else (r + tr * l.pr) / (nr + tr) end as pr
-  from (select *, sum(a) over w as na, sum(r) over w as nr, count(*) filter (a > 0) over w as ta, count(*) filter (r > 0) over w as tr from c3 window w as (partition by substr(g, 1, 2))) x join m2 l on l.g = substr(x.g, 2, 2)
-), m4 as (
-  select x.g, case when na = 0 then l.pa else (a + ta * l.pa) / (na + ta) end as pa, case when nr = 0 then l.pr else (r + tr * l.pr) / (nr + tr) end as pr
-  from (select *, sum(a) over w as na, sum(r) over w as nr, count(*) filter (a > 0) over w as ta, count(*) filter (r > 0) over w as tr from c4 window w as (partition by substr(g, 1, 3))) x join m3 l on l.g = substr(x.g, 2, 3)
-), scored as (
-  select url, label, fold, avg(ln(pa) - ln(pr)) as score from grams join m4 using (g) group by url, label, fold
-), steps as (
-  select floor(greatest(-20, least(20, score)) * 100)::int as step, sum(label) as a, count(*) as n from scored where not fold and label is not null group by 1
-), cuts as (
-  select step, coalesce(sum(a) over w, 0) as ba, coalesce(sum(n - a) over w, 0) as br, sum(a) over () as ta, sum(n - a) over () as tr
-  from steps window w as (order by step rows between unbounded preceding and 1 preceding)
-), cut as (
-  select coalesce((select step / 100e0 from cuts where ta > 0 and tr > 0 order by (ta - ba) * tr + br * ta desc, abs(step), step limit 1), 0e0) as t
-), kinds as (
-  select count(distinct label) = 2 as both_kinds from urls where fold and label is not null
-)
-select page_id, host, path, rule, case
-    when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block'
-    when not (select both_kinds from kinds) or coalesce(score, 0e0) >= (select t from cut) then 'allow' else 'block' end as verdict
-from ruled left join (select url as scored_url, score from scored where label is null) on url = scored_url
-""",
+    "op8_url_filter": _url_sql(),
+    "op7_line_dedup": LINE_SQL,
+    "op10_decontaminate": ITEM_SQL,
 }
