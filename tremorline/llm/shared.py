@@ -1,8 +1,8 @@
 """Shared folders, written tables and small column helpers of the text operators.
 
 Everything that has to outlive an executor is written below the folder that the
-cluster names in ``spark.checkpoint.dir``; where that is unset (tests), a folder
-of our own is made the checkpoint folder.
+cluster names in ``spark.checkpoint.dir``; where that is unset and all runs in one
+process (tests), a folder of our own is made the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tremorline-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

@@ -18,7 +18,9 @@ has to fit anywhere.
 Defined results: null and empty texts have no words and fingerprint zero, and are
 linked like others; a null document id takes part and never names a component
 unless all ids of its component are null (then the component is null); repeated
-rows are kept.
+rows are kept, and of a component the rows with the least id stay; an empty
+table gives an empty table; a text may have any length, as bits are counted in blocks;
+extra columns are kept by ``deduplicate`` and ignored by ``components``.
 """
 
 from __future__ import annotations

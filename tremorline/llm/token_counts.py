@@ -12,7 +12,10 @@ piece of the vocabulary holds side by side.  Counts of short pieces are kept in
 bounded memo.
 
 Defined results: null text counts as empty, with 0 bytes and 0 tokens; repeated
-rows give repeated results; an output name that exists already is a ValueError.
+rows give repeated results; null ids and extra columns are carried along if they are
+kept; an empty table gives an empty table; a text may have any length, as it is counted
+in pieces and only a run without such a cut is merged at once; an output name that
+exists already is a ValueError.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ a histogram of the same scores, joined to the labels.
 Defined results: null text counts as empty; empty texts get the score of no word;
 rows without a label, with a null id or label don't train; of several labels of an
 id the largest counts, of several texts the shortest trains; without labels of both kinds every score is 0; repeated rows
-get equal scores.
+get equal scores; a text without any function word counts as the first language, English, as do ties between languages;
+an empty table gives an empty table; a text may have any length; extra columns are kept by ``reject`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
