@@ -2,7 +2,7 @@
 
 The service answers with comma-separated text and refuses more than a fixed number of
 events per request, so the window is halved until each slice fits; nothing is ever
-truncated.  A client is anything with ``count(params)`` and ``query(params)``; the
+truncated.  A client is anything with ``count(request)`` and ``query(request)``; the
 default one speaks HTTP, tests inject their own by ``module:name``.
 """
 
@@ -19,64 +19,101 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
+from http import HTTPStatus
 
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import model
 
-SERVICE_LIMIT = 20000
-ATTEMPTS, BACKOFF_BASE_S, BACKOFF_MOST_S, TIMEOUT_S = 5, 2.0, 30.0, 180
+#: What the service takes, and how patient a client is.
+SERVICE_LIMIT, TIMEOUT_S = 20000, 180
+ATTEMPTS, BACKOFF_BASE_S, BACKOFF_MOST_S = 5, 2.0, 30.0
 BOX = ("minlatitude", "maxlatitude", "minlongitude", "maxlongitude")
 
 
-def request_params(starttime, endtime, minmagnitude=0, eventtype="earthquake", box: dict | None = None, fmt: str | None = None) -> dict:
-    """What the service filters by; edges that are null stay out."""
-    params = {"starttime": starttime, "endtime": endtime, "eventtype": eventtype, "minmagnitude": minmagnitude}
-    params |= {k: v for k, v in (box or {}).items() if v is not None}
-    return params | ({} if fmt is None else {"format": fmt})
+@dataclass(frozen=True)
+class Request:
+    """One question to the service; knows how the service wants it written."""
 
+    starttime: str
+    endtime: str
+    minmagnitude: float = 0
+    eventtype: str = "earthquake"
+    box: dict = field(default_factory=dict)
 
-def is_transient(error: Exception) -> bool:
-    """Worth another try: no connection, a timeout, 429 or a failure of the server."""
-    if isinstance(error, urllib.error.HTTPError):
-        return error.code == 429 or error.code >= 500
-    if isinstance(error, (ConnectionError, TimeoutError, urllib.error.URLError)):
-        return True
-    code = str(error).split(":")[0].strip()
-    return code.isdigit() and (code == "429" or int(code) >= 500)
-
-
-def with_retries(call: Callable, attempts: int = ATTEMPTS, sleep: Callable[[float], None] = time.sleep):
-    for n in range(attempts):
-        try:
-            return call()
-        except Exception as error:
-            if n + 1 == attempts or not is_transient(error):
-                raise
-            most = min(BACKOFF_BASE_S * 2**n, BACKOFF_MOST_S)
-            sleep(random.uniform(most / 2, most))
+    @classmethod
+    def of(cls, options: dict) -> Request:
+        """From a source's options, which are text; edges of the box that are missing or empty stay out."""
+        given = {k: v for k, v in options.items() if v not in (None, "")}
+        window = (moment(given[k]).isoformat() for k in ("starttime", "endtime"))
+        return cls(*window, float(given.get("minmagnitude", cls.minmagnitude)), given.get("eventtype", cls.eventtype), {k: given[k] for k in BOX if k in given})
+
+    def between(self, start: dt.datetime, end: dt.datetime) -> Request:
+        return replace(self, starttime=start.isoformat(), endtime=end.isoformat())
+
+    def encoded(self, **more: str) -> dict:
+        """The service's own parameters."""
+        own = {name: getattr(self, name) for name in ("starttime", "endtime", "eventtype", "minmagnitude")}
+        return own | {edge: value for edge, value in self.box.items() if value is not None} | more
+
+    def url(self, base: str, service: str, **more: str) -> str:
+        return f"{base}/{service}?{urllib.parse.urlencode(self.encoded(**more))}"
+
+
+def is_transient(error: BaseException) -> bool:
+    """Whether asking again may help: the service is overloaded or failing, or wasn't reached."""
+    match error:
+        case urllib.error.HTTPError(code=code):
+            return code == HTTPStatus.TOO_MANY_REQUESTS or code >= HTTPStatus.INTERNAL_SERVER_ERROR
+        case OSError():
+            return isinstance(error, (TimeoutError, ConnectionError, urllib.error.URLError))
+    return False
+
+
+@dataclass(frozen=True)
+class Patience:
+    """How often to ask, and how long to wait in between: doubling, half of each wait at random."""
+
+    attempts: int = ATTEMPTS
+    first_s: float = BACKOFF_BASE_S
+    most_s: float = BACKOFF_MOST_S
+
+    def waits(self) -> Iterator[float]:
+        for doubling in range(self.attempts - 1):
+            yield min(self.first_s * 2**doubling, self.most_s) * (0.5 + 0.5 * random.random())
+
+    def ask(self, call: Callable, sleep: Callable[[float], None] = time.sleep):
+        waits = self.waits()
+        while True:
+            try:
+                return call()
+            except Exception as error:
+                wait = next(waits, None) if is_transient(error) else None
+                if wait is None:
+                    raise
+                sleep(wait)
 
 
 class HttpClient:
     """The service at a base address with ``count`` and ``query`` below it."""
 
-    def __init__(self, base: str, timeout: float = TIMEOUT_S, attempts: int = ATTEMPTS):
-        self.base, self.timeout, self.attempts = base.rstrip("/"), timeout, attempts
-
-    def _get(self, name: str, params: dict) -> bytes:
-        url = f"{self.base}/{name}?{urllib.parse.urlencode(params)}"
+    def __init__(self, base: str, timeout: float = TIMEOUT_S, patience: Patience = Patience()):
+        self.base, self.timeout, self.patience = base.rstrip("/"), timeout, patience
 
+    def _get(self, url: str) -> bytes:
         def call():
             with urllib.request.urlopen(url, timeout=self.timeout) as answer:
                 return answer.read()
 
-        return with_retries(call, self.attempts)
+        return self.patience.ask(call)
 
-    def count(self, params: dict) -> int:
-        return int(json.loads(self._get("count", params | {"format": "geojson"}))["count"])
+    def count(self, request: Request) -> int:
+        return int(json.loads(self._get(request.url(self.base, "count", format="geojson")))["count"])
 
-    def query(self, params: dict) -> bytes:
-        return self._get("query", params)
+    def query(self, request: Request) -> bytes:
+        return self._get(request.url(self.base, "query", format="csv"))
 
 
 def moment(text) -> dt.datetime:
@@ -101,21 +138,17 @@ def plan_slices(count: Callable[[dt.datetime, dt.datetime], int], start: dt.date
 
 
 def plan(client, options: dict) -> list[tuple[dt.datetime, dt.datetime, int]]:
-    start, end = moment(options["starttime"]), moment(options["endtime"])
+    """The slices to ask for; an empty window, an empty answer and more events than the limit are errors."""
+    request = Request.of(options)
+    start, end, most = moment(request.starttime), moment(request.endtime), int(options.get("limit") or 0)
     if end <= start:
         raise ValueError(f"the window is empty or reversed: {start} to {end}")
-    box = {k: options[k] for k in BOX if options.get(k) not in (None, "")}
-    magnitude, kind, most = float(options.get("minmagnitude") or 0), options.get("eventtype") or "earthquake", int(options.get("limit") or 0)
-
-    def count(a, b) -> int:
-        return client.count(request_params(a.isoformat(), b.isoformat(), magnitude, kind, box))
-
-    total = count(start, end)
+    total = client.count(request)
     if not total:
-        raise ValueError(f"no event between {start} and {end} with magnitude {magnitude} or more")
+        raise ValueError(f"no event between {start} and {end} with magnitude {request.minmagnitude} or more")
     if most and total > most:
         raise ValueError(f"{total} events match and the limit is {most}; nothing is truncated: raise the limit or narrow the query")
-    return plan_slices(count, start, end, total, int(options.get("service_limit") or SERVICE_LIMIT))
+    return plan_slices(lambda a, b: client.count(request.between(a, b)), start, end, total, int(options.get("service_limit") or SERVICE_LIMIT))
 
 
 def rows(body: bytes) -> Iterator[dict]:
@@ -131,13 +164,15 @@ def concatenate(bodies: list[bytes]) -> bytes:
 
 
 class Slice(InputPartition):
-    def __init__(self, start: str, end: str):
-        self.start, self.end = start, end
+    def __init__(self, request: Request):
+        self.request = request
 
 
 class FdsnReader(DataSourceReader):
+    """Asks for slices of the window that the options name."""
+
     def __init__(self, options: dict, names: list[str]):
-        self.own, self.names = options, names
+        self.own, self.names = dict(options), names
 
     def _client(self):
         if spec := self.own.get("client"):
@@ -146,17 +181,49 @@ class FdsnReader(DataSourceReader):
         return HttpClient(self.own["url"])
 
     def partitions(self):
-        return [Slice(a.isoformat(), b.isoformat()) for a, b, _ in plan(self._client(), self.own)]
+        request, client = Request.of(self.own), self._client()
+        if self._pushed_empty(request, client):
+            return []
+        return [Slice(request.between(a, b)) for a, b, _ in plan(client, self.own)]
+
+    def _pushed_empty(self, request: Request, client) -> bool:
+        """Nothing to ask for because of filters: an empty table and not an error."""
+        if not self.own.get("narrowed"):
+            return False
+        return moment(request.endtime) <= moment(request.starttime) or not client.count(request)
 
     def read(self, partition):
-        box = {k: self.own[k] for k in BOX if self.own.get(k) not in (None, "")}
-        params = request_params(partition.start, partition.end, float(self.own.get("minmagnitude") or 0), self.own.get("eventtype") or "earthquake", box, "csv")
-        for r in rows(self._client().query(params)):
+        for r in rows(self._client().query(partition.request)):
             yield tuple(r.get(n) for n in self.names)
 
 
+class NarrowingReader(FdsnReader):
+    """What filters say of time and type narrows the request, and Spark still applies them."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            self._narrow(f)
+            yield f  # the service's bounds are inclusive and its answer is text, so Spark filters again
+
+    def _narrow(self, f) -> None:
+        column, value = getattr(f, "attribute", None), getattr(f, "value", None)
+        if column == ("time",) and isinstance(f, (ds.GreaterThan, ds.GreaterThanOrEqual, ds.LessThan, ds.LessThanOrEqual)):
+            edge, tighter = ("starttime", max) if isinstance(f, (ds.GreaterThan, ds.GreaterThanOrEqual)) else ("endtime", min)
+            try:
+                bound = moment(value)
+            except ValueError:
+                return  # text that is no time orders as text
+            self.own |= {edge: tighter(moment(self.own[edge]), bound).isoformat(), "narrowed": True}
+        elif column == ("type",) and isinstance(f, ds.EqualTo) and not self.own.get("eventtype"):
+            self.own |= {"eventtype": str(value), "narrowed": True}
+
+
 class FdsnSource(DataSource):
-    """``spark.read.format("fdsn").option("url", ...).option("starttime", ...)...load()``: all columns are text."""
+    """``spark.read.format("fdsn").option("url", ...).option("starttime", ...)...load()``: all columns are text.
+
+    With the option ``pushfilters`` filters reach the service; Spark asks for
+    ``spark.sql.python.filterPushdown.enabled`` then.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -167,4 +234,6 @@ class FdsnSource(DataSource):
         return ", ".join(f"`{n}` string" for n in names)
 
     def reader(self, schema):
-        return FdsnReader({k.lower(): v for k, v in self.options.items()}, schema.fieldNames())
+        options = {k.lower(): v for k, v in self.options.items()}
+        kind = NarrowingReader if str(options.get("pushfilters")).lower() == "true" else FdsnReader
+        return kind(options, schema.fieldNames())
