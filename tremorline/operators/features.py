@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import geo
 from .completeness import trim_to_mc
+from .neighbors import deal_crowded, parts_for_pairs
 from .ordering import numbered
 
 log = logging.getLogger(__name__)
@@ -34,12 +35,11 @@ def prior_seismicity(summary: DataFrame, catalog: DataFrame, mc: float | Column
     own = summary.select(*(F.col(c).alias(f"m_{c}") for c in by), F.col("cluster_id"), F.col("mainshock_id"), F.unix_micros("mainshock_time").alias("_t0"), F.radians("mainshock_lat").alias("_lat0"), F.radians("mainshock_lon").alias("_lon0"), grid.cell(F.col("mainshock_lat"), F.col("mainshock_lon")).alias("_c0")).withColumns({"_band0": F.col("_c0.band"), "_cell0": F.col("_c0.cell")})
     complete = trim_to_mc(catalog, mc) if mc is not None else catalog
     events = complete.select(*(F.col(c).alias(f"e_{c}") for c in by), "id", "mag", F.unix_micros("time").alias("_t"), F.radians("latitude").alias("_lat"), F.radians("longitude").alias("_lon"), F.explode(grid.around(F.col("latitude"), F.col("longitude"))).alias("_c")).withColumns({"_band": F.col("_c.band"), "_cell": F.col("_c.cell")})
-    # the work is in the pairs, not in the bytes: a fixed number of parts, which aren't coalesced by size
-    spark = summary.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    events = events.repartition(parts, *(f"e_{c}" for c in by), "_band", "_cell")
-    sides = own.repartition(parts, *(f"m_{c}" for c in by), "_band0", "_cell0")
-    on = [F.col(f"m_{c}") == F.col(f"e_{c}") for c in by] + [F.col("_band0") == F.col("_band"), F.col("_cell0") == F.col("_cell"), F.col("_t") < F.col("_t0"), F.col("id") != F.col("mainshock_id")]
+    keys = (*by, "_band", "_cell")
+    own_side = own.select("*", *(F.col(f"m_{c}").alias(f"c_{c}") for c in by), F.col("_band0").alias("c__band"), F.col("_cell0").alias("c__cell"))
+    event_side = events.select("*", *(F.col(f"e_{c}").alias(f"p_{c}") for c in by), F.col("_band").alias("p__band"), F.col("_cell").alias("p__cell"))
+    sides, events = (x.repartition(parts_for_pairs(summary), *(prefix + k for k in (*keys, "_salt"))) for x, prefix in zip(deal_crowded(own_side, event_side, keys, "cluster_id"), ("c_", "p_"), strict=True))
+    on = [F.col(f"p_{k}") == F.col(f"c_{k}") for k in (*keys, "_salt")] + [F.col("_t") < F.col("_t0"), F.col("id") != F.col("mainshock_id")]
     near = sides.join(events, on).where(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_lat0"), F.col("_lon0")) <= reach)
     age = (F.col("_t0") / F.lit(1e6) - F.col("_t") / F.lit(1e6)) / F.lit(86400.0)
     longest = max(model.PRIOR_WINDOWS_DAYS)
