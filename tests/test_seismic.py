@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremorline import model
 from tremorline.functions import geo, stats
-from tremorline.operators import completeness, features, forest, horizons, mixture, neighbors, nulls, quality, regions, silver
+from tremorline.operators import completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, silver
 
 SCHEMA = "id string, time timestamp, latitude double, longitude double, depth double, mag double"
 T0 = dt.datetime(2020, 1, 1, tzinfo=dt.UTC)
@@ -320,6 +320,15 @@ def test_regions(spark, tmp_path):
         regions.combine({"x": make("1"), "y": make("1")})
     with pytest.raises(ValueError):
         regions.combine({"x": make("1"), "y": make("2").withColumn("more", F.lit(1))})
+    with pytest.raises(regions.BadRegions) as all_at_once:
+        regions.validate([region("a", 0, 95, 0, 10), region("a", 50, 60, 5, 20), {"name": "c"}, region("d", 1, 2, 170, -170, endtime="1990-01-01")])
+    assert len(all_at_once.value.breaches) == 6
+    with pytest.raises(regions.BadRegions):
+        regions.combine({})
+    wide = regions.combine({"x": make("1"), "y": make("2").select("n_aftershocks", "mainshock_id", "cluster_id")}, schema=make("1").withColumn("n_aftershocks", F.col("n_aftershocks").cast("long")).schema)
+    assert wide.schema["n_aftershocks"].dataType.simpleString() == "bigint" and sorted(r.cluster_id for r in wide.collect()) == ["1", "2"]
+    text = spark.createDataFrame([("1", "5", "5"), ("2", "NA", "5"), ("3", "-50", "100")], "id string, latitude string, longitude string")
+    assert [r.region for r in regions.assign(text, [region("a", 0, 10, 0, 10), region("b", -60, -40, 90, 110)]).orderBy("id").collect()] == ["a", None, "b"]
     path = tmp_path / "r.yaml"
     path.write_text('{"regions": [%s]}' % __import__("json").dumps(region("a", 0, 10, 0, 10)))
     assert regions.load(path)[0]["name"] == "a"
@@ -375,3 +384,74 @@ def test_names():
     assert model.RunParams().data_name() == "earthquake_starttime=2016-01-01_endtime=2026-01-01_minmagnitude=3.5_bbox=-55,-21,-74,-53"
     assert model.RunParams(minmagnitude=3).data_name() == model.RunParams(minmagnitude=3.0).data_name() and model.RunParams(maxlatitude=None).bbox is None
     assert model.regions_tag(regions.REGIONS).startswith("5regions-") and model.regions_tag(regions.REGIONS) != model.regions_tag(regions.REGIONS[:4])
+
+
+def test_tiles_find_the_same_parents():
+    rng = np.random.default_rng(3)
+    for n, reach in ((300, None), (300, 120.0), (40, 1e5)):
+        us = np.sort(rng.integers(0, 40, n) * 3_600_000_000 * 24)  # many equal times
+        lat, lon = np.radians(rng.normal(-30, 0.5, n)), np.radians(rng.choice([-70, 179.9, -179.9], n) + rng.normal(0, 0.3, n))
+        lat[5:9], lon[5:9] = lat[5], lon[5]  # equal places
+        side = neighbors.Side(np.arange(1, n + 1), lat, lon, us, 10 ** -np.round(rng.uniform(3, 6, n), 1), np.full(n, np.nan if reach is None else reach))
+        for d in (1.5, 1.2):
+            at = np.sort(rng.choice(n, n - 3, replace=False))
+            eta, place, *_ = neighbors.best_parents(side, at, d, 0.01, rows=16, tile=32)
+            for j, e, p in zip(at, eta, place):
+                i = np.arange(j)
+                exact = side.exact(np.full(j, j), i, d, 0.01)[0] if j else np.array([np.inf])
+                assert (e == exact.min() and p == exact.argmin()) if np.isfinite(exact.min()) else (p == -1 and np.isinf(e))
+
+
+def test_memory_of_tiles_does_not_grow_with_the_catalog():
+    import tracemalloc
+
+    peaks = []
+    for n in (20_000, 200_000):
+        rng = np.random.default_rng(1)
+        side = neighbors.Side(np.arange(1, n + 1), rng.normal(-0.5, 0.01, n), rng.normal(-1.2, 0.01, n), np.sort(rng.integers(0, 10**15, n)), np.full(n, 1e-4), np.full(n, np.nan))
+        at = np.arange(n - 256, n)
+        tracemalloc.start()
+        neighbors.best_parents(side, at, 1.5, 0.01)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0] < 100e6
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    rows = [(f"e{i}", float(i), 4 + i % 7 / 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, s double, mag double").select("id", F.timestamp_seconds("s").alias("time"), F.lit(-30.0).alias("latitude"), (F.lit(-70.0) + F.col("s") / 1e5).alias("longitude"), "mag")
+    policy = model.RadiusPolicy("fixed", 50.0)
+    key = lambda strategy: sorted((r.id, r.parent_id, round(r.log10_eta, 9) if r.log10_eta else None) for r in neighbors.nearest_neighbor(df, None, policy=policy, strategy=strategy).collect())
+    want = key("theta")
+    monkeypatch.setattr(neighbors.deal_crowded, "__defaults__", ("c_", "p_", 16))
+    assert key("grid") == want and key("blocks") == want
+    children = spark.range(100).select(F.lit(1).alias("c_k"), F.col("id").alias("c_ord"))
+    parents = spark.range(5).select(F.lit(1).alias("p_k"), "id")
+    left, right = neighbors.deal_crowded(children, parents, ("k",), "c_ord", most=16)
+    assert max(r["count"] for r in left.groupBy("c__salt").count().collect()) < 40 and right.count() == 35
+
+
+def test_choice_follows_the_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(f"e{i}", float(i), float(a), float(b), 4.0) for i, (a, b) in enumerate(zip(rng.uniform(-80, 80, 3000), rng.uniform(-180, 180, 3000)))]
+    df = spark.createDataFrame(rows, "id string, s double, latitude double, longitude double, mag double").withColumn("time", F.timestamp_seconds("s"))
+    monkeypatch.setattr(neighbors, "FEW_EVENTS", 100)
+    chosen = lambda km: neighbors.choose(neighbors.prepare(df, policy=model.RadiusPolicy("fixed", km)), 3000, km)
+    assert [chosen(50.0), chosen(2500.0)] == ["grid", "blocks"] and neighbors.choose(df, 3000, None) == "blocks" and neighbors.choose(df, 10**7, None) == "bounded"
+    events = neighbors.prepare(df, policy=model.RadiusPolicy("fixed", 500.0))
+    assert neighbors.grid_pairs(events, 500.0) < 3000 * 3000 / 5
+
+
+def test_exact_quantiles_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 500), rng.normal(size=500).round(2))] + [(None, 1.0), (7, 2.5), (8, None)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    shares = (0.0, 0.25, 0.5, 0.9, 1.0)
+    for by in ((), ("g",)):
+        few, many = (sorted(map(str, ordering.quantiles(df, "v", shares, by, most).select(*by, *(F.round(f"q{i}", 9) for i in range(5))).collect())) for most in (10**6, 0))
+        assert few == many and len(few) == (5 if by else 1)
+    assert ordering.quantiles(df.limit(0), "v", (0.5,)).first().q0 is None
+    values = df.where("g = 1").select("v")
+    got = mixture.fit_distributed(values.unionAll(values.selectExpr("v + 9")), "v")
+    want = mixture.fit(np.array([r.v for r in values.collect()] + [r.v + 9 for r in values.collect()]))
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want if k != "log_likelihood")

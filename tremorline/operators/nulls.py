@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +13,12 @@ from .. import model
 from ..functions import stats
 from . import mixture as mix
 from .neighbors import nearest_neighbor
-from .ordering import numbered
+from .ordering import numbered, quantiles
 from .silver import with_order
 
 log = logging.getLogger(__name__)
 
-#: Events up to which the driver draws numpy's permutations.
+#: Events up to which the driver draws numpy's permutations, 28 bytes each.
 NUMPY_EVENTS = 5_000_000
 
 
@@ -41,17 +42,16 @@ def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng:
         times = numbered(drawn.select("repetition", "_a", F.col("ord").alias("_was"), F.col("time").alias("_time")), ("_a", "_was"), ("repetition",)).drop("_a", "_was")
         mags = numbered(drawn.select("repetition", "_b", F.col("ord").alias("_was"), F.col("mag").alias("_mag")), ("_b", "_was"), ("repetition",)).drop("_b", "_was")
     elif rng == "numpy":
+        from ..storage import written
+
         n = own.count()
         if n > NUMPY_EVENTS:
             raise ValueError(f"numpy's permutations are drawn for {NUMPY_EVENTS} events at most")
-        g, rows = np.random.default_rng(seed), []
-        for r in range(repetitions):
-            a, b = g.permutation(n), g.permutation(n)
-            rows.append((np.full(n, r), np.arange(1, n + 1), a + 1, b + 1))
-        import pandas as pd
-
-        frame = pd.DataFrame({k: np.concatenate([x[i] for x in rows]) for i, k in enumerate(("repetition", "ord", "_a", "_b"))})
-        places = spark.createDataFrame(frame, "repetition int, ord long, _a long, _b long")
+        g, places = np.random.default_rng(seed), None
+        for r in range(repetitions):  # one stream for all, one repetition on the driver at a time
+            drawn = pa.table({"repetition": np.full(n, r, dtype=np.int32), "ord": np.arange(1, n + 1), "_a": g.permutation(n) + 1, "_b": g.permutation(n) + 1})
+            one = written(spark.createDataFrame(drawn), "permutations")
+            places = one if places is None else places.unionAll(one)
         each = places.join(own, "ord")
         times = places.join(own.select(F.col("ord").alias("_a"), F.col("time").alias("_time")), "_a").select("repetition", "ord", "_time")
         mags = places.join(own.select(F.col("ord").alias("_b"), F.col("mag").alias("_mag")), "_b").select("repetition", "ord", "_mag")
@@ -73,7 +73,9 @@ def contrast(paired: DataFrame, null: DataFrame, log10_eta0: float, by: tuple =
     """(by, fraction observed, fraction of the null, excess, ratio, medians)."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.where("log10_eta is not null").groupBy(*by).agg(F.avg((F.col("log10_eta") < log10_eta0).cast("double")).alias(f"fraction_below_threshold_{name}"), F.percentile("log10_eta", 0.5).alias(f"median_{name}"))
+        shares = df.where("log10_eta is not null").groupBy(*by).agg(F.avg((F.col("log10_eta") < log10_eta0).cast("double")).alias(f"fraction_below_threshold_{name}"))
+        medians = quantiles(df, "log10_eta", (0.5,), by).withColumnRenamed("q0", f"median_{name}")
+        return shares.join(medians, list(by)) if by else shares.join(medians, F.lit(True))  # one row on each side
 
     observed, shuffled = side(paired, "observed"), side(null, "null")
     joined = observed.join(shuffled, list(by)) if by else observed.join(shuffled, F.lit(True))  # one row on each side

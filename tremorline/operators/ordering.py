@@ -30,3 +30,29 @@ def numbered(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = (), na
         same = same & F.col(c).eqNullSafe(F.col(f"_by {c}"))
     joined = placed.join(starts, same)
     return joined.select(*(F.col(f"`{c}`") for c in df.columns if c != name), (row - F.col("_first") + F.col("_start") + 1).alias(name))
+
+
+#: Values up to which one task may hold a group's distinct values.
+TASK_VALUES = 1_000_000
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = (), most: int = TASK_VALUES) -> DataFrame:
+    """(by, q0, q1, ...): exact quantiles with linear interpolation, nulls left out; without values they are null.
+
+    Up to ``most`` values go through Spark's aggregate, which gathers a group's values in
+    one task.  More are numbered by ranges, and only the two places next to each quantile
+    are looked up.
+    """
+    own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    if own.count() <= most:
+        return own.groupBy(*by).agg(*(F.percentile("_v", q).alias(f"q{i}") for i, q in enumerate(shares)))
+    placed = numbered(own, ("_v",), by, "_place")
+    sizes = placed.groupBy(*by).agg(F.max("_place").alias("_n"))
+    rank = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares]
+    ends = [F.struct(F.lit(i).alias("i"), (F.floor(r) + up + 1).alias("_place"), (F.lit(1.0) - r + F.floor(r) if not up else r - F.floor(r)).alias("share")) for i, r in enumerate(rank) for up in (0, 1)]
+    wanted = sizes.select(*by, F.explode(F.array(*ends)).alias("e")).select(*(F.col(c).alias(f"_by {c}") for c in by), "e.i", F.col("e._place").alias("_at"), "e.share").where("share > 0")
+    same = F.col("_place") == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by {c}"))
+    met = placed.join(F.broadcast(wanted) if not by else wanted, same)  # without groups: two rows a quantile
+    return met.groupBy(*by).agg(*(F.sum(F.when(F.col("i") == i, F.col("_v") * F.col("share"))).alias(f"q{i}") for i in range(len(shares))))

@@ -7,6 +7,7 @@ stage below it, so it shares no code with the operators.
 from __future__ import annotations
 
 from ..model import FRACTAL_D, RadiusPolicy
+from ..operators import mixture
 from ..operators.regions import REGIONS
 from .fixture import BBOX, CATALOG, ETA0, MC, MIXTURE, SEED
 
@@ -63,6 +64,43 @@ POSTERIOR = f"({PB} / greatest({PA} + {PB}, 1e-300))"
 FREE = RadiusPolicy()
 CAPPED = RadiusPolicy("fixed", 300.0)
 PAIRED = f"{COMPLETE}, {pairs(FREE)}"
+def _bell(x: str, mu: str, sigma: str) -> str:
+    return f"(exp(-0.5e0 * pow(({x} - {mu}) / {sigma}, 2e0)) / ({sigma} * sqrt(2e0 * pi())))"
+
+
+def _over(expression: str) -> str:
+    """The expression at each place i of the list of values."""
+    return f"list_transform(range(1, n + 1), lambda i: {expression})"
+
+
+#: Expectation maximisation as a recursion over one row of numbers and the list of values.
+FITTED = f"""{PAIRED}, vals AS (SELECT log10_eta AS x FROM paired WHERE log10_eta IS NOT NULL),
+lists AS (SELECT list(x ORDER BY x) AS v, count(*) AS n FROM vals),
+em AS (
+  SELECT 0 AS step, 0.5e0 AS w0, 0.5e0 AS w1, quantile_cont(x, 0.25) AS mu0, quantile_cont(x, 0.75) AS mu1,
+    greatest(stddev_pop(x) / 2, 1e-3) AS s0, greatest(stddev_pop(x) / 2, 1e-3) AS s1, CAST('-infinity' AS DOUBLE) AS ll, false AS done FROM vals
+  UNION ALL
+  SELECT step + 1, m0 / n, m1 / n, mu0, mu1,
+    greatest(sqrt(list_sum({_over("q0[i] * pow(v[i] - mu0, 2e0)")}) / m0), {f(mixture.SIGMA_FLOOR)}), greatest(sqrt(list_sum({_over("q1[i] * pow(v[i] - mu1, 2e0)")}) / m1), {f(mixture.SIGMA_FLOOR)}),
+    ll, abs(ll - last) < {f(mixture.TOLERANCE)}
+  FROM (SELECT *, list_sum({_over("q0[i] * v[i]")}) / m0 AS mu0, list_sum({_over("q1[i] * v[i]")}) / m1 AS mu1 FROM (
+    SELECT *, list_sum(q0) AS m0, list_sum(q1) AS m1 FROM (
+      SELECT step, last, v, n, {_over("d0[i] / t[i]")} AS q0, {_over("d1[i] / t[i]")} AS q1, list_sum({_over("ln(t[i])")}) AS ll FROM (
+        SELECT *, {_over(f"greatest(d0[i] + d1[i], {f(mixture.DENSITY_FLOOR)})")} AS t FROM (
+          SELECT step, ll AS last, v, n, {_over("w0 * " + _bell("v[i]", "mu0", "s0"))} AS d0, {_over("w1 * " + _bell("v[i]", "mu1", "s1"))} AS d1 FROM em, lists WHERE NOT done AND step < {mixture.MOST_STEPS})))))
+), last_step AS (SELECT * FROM em ORDER BY step DESC LIMIT 1
+), mix AS (
+  SELECT CASE WHEN mu0 <= mu1 THEN w0 ELSE w1 END AS wa, CASE WHEN mu0 <= mu1 THEN w1 ELSE w0 END AS wb, least(mu0, mu1) AS ma, greatest(mu0, mu1) AS mb,
+    CASE WHEN mu0 <= mu1 THEN s0 ELSE s1 END AS sa, CASE WHEN mu0 <= mu1 THEN s1 ELSE s0 END AS sb FROM last_step
+), points AS (
+  SELECT i, x, wa * {_bell("x", "ma", "sa")} - wb * {_bell("x", "mb", "sb")} AS y FROM (SELECT *, ma + (mb - ma) * i / 20000e0 AS x FROM mix, range(0, 20001) AS r(i))
+), turns AS (
+  SELECT x + (nx - x) * y / (y - ny) AS crossed FROM (SELECT *, lead(x) OVER (ORDER BY i) AS nx, lead(y) OVER (ORDER BY i) AS ny FROM points) WHERE sign(y) <> sign(ny) ORDER BY i LIMIT 1
+), cut AS (SELECT mix.*, coalesce((SELECT crossed FROM turns), (ma + mb) / 2) AS c FROM mix
+), tails AS (
+  SELECT any_value(c) AS c, sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5e0 * pow((c - ma) / sa * k / 2000, 2e0))) * any_value((c - ma) / sa) / 6000 / sqrt(2e0 * pi()) AS above,
+    sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5e0 * pow((c - mb) / sb * k / 2000, 2e0))) * any_value((c - mb) / sb) / 6000 / sqrt(2e0 * pi()) AS below
+  FROM cut, range(0, 2001) AS r(k))"""
 THINNED = f"""{PAIRED}, {lcg("drawn", "paired", str(SEED + 1), 3)}, thinned AS (
   SELECT *, CASE WHEN log10_eta IS NOT NULL THEN {POSTERIOR} ELSE 1e0 END AS p_background,
     log10_eta IS NOT NULL AND u / 2147483648e0 >= {POSTERIOR} AS is_aftershock, coalesce(log10_eta < {f(ETA0)}, false) AS is_aftershock_eta FROM drawn)"""
@@ -165,6 +203,14 @@ _BODY = {
     "rescaled_tr": (PAIRED, "SELECT id, round(log10(t_years * pow(pow(10e0, -1e0 * parent_mag), 0.5e0)), 6) AS log10_t, round(log10(pow(r_km, 1.5e0) * pow(pow(10e0, -1e0 * parent_mag), 0.5e0)), 6) AS log10_r FROM paired"),
     "eta_quantiles": (PAIRED, "SELECT round(quantile_cont(log10_eta, 0.25), 6) AS p25, round(quantile_cont(log10_eta, 0.5), 6) AS p50, round(quantile_cont(log10_eta, 0.75), 6) AS p75 FROM paired"),
     "eta_histogram": (PAIRED + ", e AS (SELECT min(log10_eta) AS lo, max(log10_eta) AS hi FROM paired), c AS (SELECT CAST(least(60, floor((log10_eta - lo) / (hi - lo) * 60) + 1) AS INT) AS bin, count(*) AS n FROM paired CROSS JOIN e WHERE log10_eta IS NOT NULL GROUP BY 1)", "SELECT CAST(b AS INT) AS bin, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(1, 60)) AS b) LEFT JOIN c ON b = bin"),
+    "fit_threshold": (
+        FITTED,
+        """SELECT round(cut.c, 4) AS log10_eta0, (SELECT n FROM lists) AS n_events, (SELECT count(*) FROM vals WHERE x < cut.c) AS n_below_threshold,
+          round(wa * (0.5e0 - above) + wb * (0.5e0 + below), 6) AS expected_classification_error, round(wa, 4) AS weight_aftershocks, round(wb, 4) AS weight_background,
+          round(ma, 4) AS mu_aftershocks, round(mb, 4) AS mu_background, round(sa, 4) AS sigma_aftershocks, round(sb, 4) AS sigma_background,
+          round((mb - ma) / sqrt((sa * sa + sb * sb) / 2), 3) AS separation_sigmas
+        FROM cut, tails""",
+    ),
     "em_step": (_EM, "SELECT count(*) AS n, round(sum(ln(total)), 6) AS log_likelihood, round(sum(s0), 6) AS mass0, round(sum(s1), 6) AS mass1, round(any_value(mu0), 6) AS mu0, round(any_value(mu1), 6) AS mu1, round(sqrt(sum(s0 * pow(x - mu0, 2e0)) / sum(s0)), 6) AS sigma0, round(sqrt(sum(s1 * pow(x - mu1, 2e0)) / sum(s1)), 6) AS sigma1 FROM shares CROSS JOIN means"),
     "posterior_background": (PAIRED, f"SELECT id, round({POSTERIOR}, 6) AS p_background FROM paired WHERE log10_eta IS NOT NULL"),
     "hard_threshold": (THINNED, "SELECT id, is_aftershock_eta FROM thinned"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import geo, stats
-from ..operators import completeness, features, forest, horizons, mixture, neighbors, nulls, quality, regions, scouting, silver
+from ..operators import completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, scouting, silver
 from . import fixture, oracles
 from .fixture import table
 
@@ -157,7 +157,8 @@ def q_rescaled_tr(spark, sf_dir):
 
 @query
 def q_eta_quantiles(spark, sf_dir):
-    return table(spark, sf_dir, "paired").agg(*(r6(F.percentile("log10_eta", q)).alias(f"p{round(q * 100)}") for q in (0.25, 0.5, 0.75)))
+    q = ordering.quantiles(table(spark, sf_dir, "paired"), "log10_eta", (0.25, 0.5, 0.75))
+    return q.select(r6("q0").alias("p25"), r6("q1").alias("p50"), r6("q2").alias("p75"))
 
 
 @query
