@@ -6,6 +6,8 @@ search for the same neighbours fifty times.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +82,19 @@ def _capped(spark, sf_dir):
 _MAKERS = {"complete": _complete, "paired": _paired, "thinned": _thinned, "events": _events, "summary": _summary, "features": _features, "horizons": _horizons, "null": _null, "capped": _capped}
 
 
+#: Seconds that each stage took, without the stages it builds on; for the benchmark.
+SECONDS: dict[str, float] = {}
+_OPEN: list[float] = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
+        began = time.time()
+        _OPEN.append(0.0)
         _TABLES[key] = written(_MAKERS[name](spark, sf_dir), f"fixture-{name}")
+        took, below = time.time() - began, _OPEN.pop()
+        SECONDS[name] = round(took - below, 3)
+        if _OPEN:
+            _OPEN[-1] += took
     return _TABLES[key]

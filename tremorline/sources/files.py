@@ -34,12 +34,24 @@ def as_text(table: DataFrame) -> DataFrame:
     return placed.select(*(column(f) for f in placed.schema.fields)).toDF(*table.columns)
 
 
+#: Rows up to which a table that people open is written as one part.
+SINGLE_ROWS = 500_000
+
+
 def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
-    """A folder of comma-separated parts; with ``single`` one part, for tables that people open."""
+    """A folder of comma-separated parts; with ``single`` one part if the rows, which are counted, are few enough."""
     text, conf = as_text(table), table.sparkSession.conf
+    single = single and table.count() <= SINGLE_ROWS
     before = conf.get("spark.sql.caseSensitive")
     try:
         conf.set("spark.sql.caseSensitive", "true")
         (text.coalesce(1) if single else text).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     finally:
         conf.set("spark.sql.caseSensitive", before)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A published table; its columns by their place, times as the text they were published as."""
+    kinds = [T.StringType() if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) else f.dataType for f in schema]
+    placed = T.StructType([T.StructField(f"c{i}", kind) for i, kind in enumerate(kinds)])
+    return spark.read.schema(placed).option("header", True).option("enforceSchema", True).csv(path).toDF(*schema.names)

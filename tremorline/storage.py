@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """spark.checkpoint.dir; where it is unset and all runs in one process (tests), a folder of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tremorline-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -29,7 +31,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 class Layers:
-    """Stage results by name below a root of any store, reused while newer than their inputs."""
+    """Stage results by name below a root of any store, reused while newer than their inputs.
+
+    A result without inputs is reused as long as it is there; ``force`` makes all anew.
+    """
 
     def __init__(self, spark: SparkSession, root: str, force: bool = False):
         self.spark, self.root, self.force = spark, root.rstrip("/"), force
@@ -65,6 +70,13 @@ class Layers:
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path), path
 
+    def json(self, layer: str, name: str, make, inputs: list[str] = ()) -> tuple[dict, str]:
+        """The same for a small result of the driver."""
+        path = self.path(layer, name)
+        if not self.fresh(path, inputs):
+            self.write_json(layer, name, make())
+        return self.read_json(path), path
+
     def write_json(self, layer: str, name: str, value: dict) -> str:
         path = self.path(layer, name)
         fs, hadoop = self._fs(path)
@@ -75,3 +87,13 @@ class Layers:
 
     def read_json(self, path: str) -> dict:
         return json.loads("\n".join(r.value for r in self.spark.read.text(path, wholetext=True).collect()))
+
+
+class Scratch:
+    """What stands in for Layers where nothing is to be kept: each result is made, and tables are written to the shared folder."""
+
+    def table(self, layer: str, name: str, make, inputs: list[str] = ()) -> tuple[DataFrame, str]:
+        return written(make(), layer), ""
+
+    def json(self, layer: str, name: str, make, inputs: list[str] = ()) -> tuple[dict, str]:
+        return make(), ""
