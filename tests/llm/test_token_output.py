@@ -5,6 +5,8 @@ import zlib
 import public_tokenizers
 import pytest
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tremorline.llm import shared
@@ -116,6 +118,23 @@ def test_wanted_documents(spark):
 
 def test_words_as_library():
     own = O.encoder(PATH)
-    assert own.by_chunk and own.letters and len(own.signs) == 6
-    texts = ["Straße, ÉTÉ. aª ºb µm ÿ", "x" * 300 + " don't I'll 'S", "naïve! a.b, .", "日本 語, é̀", "Σας, ς"]
+    assert own.by_chunk and own.letters
+    texts = ["Straße, ÉTÉ. aª ºb µm ÿ", "x" * 300 + " don't I'll 'S", "naïve! a.b, .", "日本 語, é̀", "Σας, ς", "A$$$ re%%% are.*** x--- y_ z.) q( _w e...... it's. o'.", "a<| b<|endoftext|> c|> d;;<|endoftext|>"]
     assert [own.encode(t) for t in texts] == [struct.pack(f"<{len(i)}I", *i) for i in (LIB.encode(t).ids for t in texts)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aBéßÿ.,;:!?$%*#&-_'\"()<|>/ 1²漢\n\x1c\u0301"), max_size=40))
+def test_any_signs_as_library(text):
+    assert O.encoder(PATH).encode(text) == struct.pack(f"<{len(i := LIB.encode(text, add_special_tokens=False).ids)}I", *i)
+
+
+def test_memo_keeps_what_comes_again(monkeypatch):
+    monkeypatch.setattr(O, "MEMO_ENTRIES", 20)
+    own = O._Encoder(PATH)
+    calls = []
+    monkeypatch.setattr(own, "make", lambda chunk, make=own.make: calls.append(chunk) or make(chunk))
+    text = " ".join(f"the {a}{b}" for a in "abcdefgh" for b in "abcdefgh")
+    ids = LIB.encode(text, add_special_tokens=False).ids
+    assert own.encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+    assert calls.count("the") == 1 and len(own) + len(own.older) <= 20

@@ -56,8 +56,11 @@ LEVEL = 3
 SHARD_BYTES, FRAME_SHARE, FRAME_BYTES = 128 << 20, 0.6, 48
 #: The format's limit for sizes.
 LIMIT = 1 << 32
-MEMO_ENTRIES = 400_000
+#: Entries of the memo of chunks (both halves), of which that of words has half as many, and the longest chunk kept.
+MEMO_ENTRIES = 800_000
 MEMO_CHARS = 12
+#: Signs that may form a word behind a run of letters; each run of them is probed before it is taken for one.
+SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
@@ -159,63 +162,95 @@ PROBES = [
 ]
 
 
-class _Encoder(dict):
+class _Memo(dict):
+    """What was looked up lately: when the younger half is full it becomes the older one, whose entries come back when they are met."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.half = entries // 2
+        self.older: dict[str, bytes] = {}
+
+    def keep(self, key: str, value: bytes) -> bytes:
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def make(self, key: str) -> bytes:
+        raise NotImplementedError
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        return self.keep(key, value) if len(key) <= MEMO_CHARS else value
+
+
+class _Words(_Memo):
+    """Packed ids of lower-case runs of Latin-1 letters, from the library's model."""
+
+    def __init__(self, model):
+        super().__init__(MEMO_ENTRIES // 2)
+        self.tokenize = model.tokenize
+        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = [b for b in range(256) if b not in printable]
+        self.byte_level = {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+    def make(self, key: str) -> bytes:
+        return pack([t.id for t in self.tokenize(key if key.isascii() else key.encode().decode("latin-1").translate(self.byte_level))])
+
+
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def pack(ids: list[int]) -> bytes:
+    return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Encoder(_Memo):
     """Packed ids by white-space-delimited chunk, from the tokenizers library; bounded.
 
     White space ends words, so chunks can be encoded each by itself.  A run of Latin-1
-    letters is one word, in lower case, and goes straight to the library's model; a sign
-    behind it is a word of its own.  All other chunks go through the whole tokenizer.
+    letters is one word, in lower case, and goes straight to the library's model; a run of
+    signs behind it is a word of its own.  All other chunks go through the whole tokenizer.
     The file is probed for these properties; without them whole texts are encoded.
     """
 
     def __init__(self, path: str):
-        super().__init__()
+        super().__init__(MEMO_ENTRIES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
         self.own.no_truncation()
         self.own.no_padding()
-        self.tokenize = self.own.model.tokenize
-        self.words: dict[str, bytes] = {}
-        printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-        hidden = [b for b in range(256) if b not in printable]
-        self.byte_level = {b: chr(256 + n) for n, b in enumerate(hidden)}
+        self.words = _Words(self.own.model)
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         probes = ["".join(letters), *letters, "Word", "ÉTÉ", "straße"]
-        self.letters = all(self._word(w.lower()) == self._whole(w) for w in probes)
-        self.signs = {s: self._whole(s) for s in ".,;:!?" if self._whole("ab" + s) == self._whole("ab") + self._whole(s)}
+        self.letters = all(self.words[w.lower()] == self._whole(w) for w in probes)
+        self.signs: dict[str, bytes | None] = {"": b""}
         self.by_chunk = all(self._whole(probe) == b"".join(map(self._whole, probe.split())) for probe in PROBES)
 
     def _whole(self, text: str) -> bytes:
-        ids = self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.byte_level))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, chunk: str) -> bytes:
-        body, sign = chunk, b""
-        if len(chunk) > 1 and chunk[-1] in self.signs:
-            body, sign = chunk[:-1], self.signs[chunk[-1]]
+        return pack(self.own.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _signs(self, run: str) -> bytes | None:
+        """The ids of signs behind letters; None if the run isn't a word of its own there."""
+        alone = self._whole(run)
+        known = all(self._whole(letters + run) == self._whole(letters) + alone for letters in ("ab", "Zé"))
+        if len(self.signs) < MEMO_ENTRIES and len(run) <= MEMO_CHARS:
+            self.signs[run] = alone if known else None
+        return alone if known else None
+
+    def make(self, chunk: str) -> bytes:
+        body = chunk.rstrip(SIGNS)
         if self.letters and body.isalpha() and (body.isascii() or max(body) <= "\xff"):
-            word = body.lower()
-            raw = self.words.get(word)
-            if raw is None:
-                raw = self._word(word)
-                if len(word) <= MEMO_CHARS:
-                    if len(self.words) >= MEMO_ENTRIES:
-                        self.words.clear()
-                    self.words[word] = raw
-            raw += sign
-        else:
-            raw = self._whole(chunk)
-        if len(chunk) <= MEMO_CHARS:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[chunk] = raw
-        return raw
+            run = chunk[len(body) :]
+            signs = self.signs[run] if run in self.signs else self._signs(run)
+            if signs is not None:
+                return self.words[body.lower()] + signs
+        return self._whole(chunk)
 
     def encode(self, text: str) -> bytes:
         """Packed ids of a text."""
