@@ -36,11 +36,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it again."""
+def materialize(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Cuts the lineage: writes df as a table in the shared folder, compressed at a zstandard level, and reads it again."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
