@@ -117,3 +117,21 @@ def test_query_compares_short_lines(spark, tmp_path):
 
     spark.createDataFrame([(1, "the same short heading here"), (2, "the same short heading there"), (3, "one two three four five six seven"), (4, "one two three four five six seven eight")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.n_removed for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_both_ways_of_hashing_meet(spark, monkeypatch):
+    rows = corpus(3)
+    want = brute(rows)
+    for long in (0, 9, 14):
+        monkeypatch.setattr(L, "LONG", long)
+        got = {r.doc_id: (r.text, r.n_removed) for r in L.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == {d: w for (d, _), w in zip(rows, want)}
+
+
+def test_hot_lines_and_templates(spark):
+    """One line in a third of the rows, one template whose lines differ in a word, and one repeated document."""
+    hot, template = "the same very common line of words", "item {} of the long list of items in stock"
+    rows = [(i, hot) for i in range(150)] + [(1000 + i, template.format(f"n{i}")) for i in range(150)] + [(5000, "a repeated document with one more line\n" + hot)] * 150
+    got = L.report(spark.createDataFrame(rows, "doc_id long, text string"), min_words=2).collect()
+    assert {r.doc_id for r in got if r.n_removed == 0} == {0, 1000} and len(got) == 450
+    assert all(r.n_removed == 1 and r.text == "a repeated document with one more line" for r in got if r.doc_id == 5000)

@@ -38,6 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -56,9 +57,11 @@ LEVEL = 3
 SHARD_BYTES, FRAME_SHARE, FRAME_BYTES = 128 << 20, 0.6, 48
 #: The format's limit for sizes.
 LIMIT = 1 << 32
-#: Entries of the memo of chunks (both halves), of which that of words has half as many, and the longest chunk kept.
+#: Entries of the memo of words (both halves), of which that of other chunks has an eighth, and the longest one kept.
 MEMO_ENTRIES = 800_000
 MEMO_CHARS = 12
+#: Characters of a text that are split at once, and bytes of texts that are encoded together.
+SEGMENT, PART_BYTES = 1 << 20, 4 << 20
 #: Signs that may form a word behind a run of letters; each run of them is probed before it is taken for one.
 SIGNS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 NOT_SPACE = "\x1c\x1d\x1e\x1f"
@@ -150,6 +153,9 @@ class Shard:
 # encoding with the library
 
 
+LETTERS = "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$"
+SIGNS_BEHIND = "(?s)^.*?([" + "".join("\\" + c for c in SIGNS) + "]*)$"
+
 #: Texts by which a tokenizer file is probed: whether white space of any kind ends words whatever stands beside it.
 PROBES = [
     "a <|endoftext|>Bé, 1\n\tc",
@@ -191,7 +197,7 @@ class _Words(_Memo):
     """Packed ids of lower-case runs of Latin-1 letters, from the library's model."""
 
     def __init__(self, model):
-        super().__init__(MEMO_ENTRIES // 2)
+        super().__init__(MEMO_ENTRIES)
         self.tokenize = model.tokenize
         printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         hidden = [b for b in range(256) if b not in printable]
@@ -218,7 +224,7 @@ class _Encoder(_Memo):
     """
 
     def __init__(self, path: str):
-        super().__init__(MEMO_ENTRIES)
+        super().__init__(MEMO_ENTRIES // 8)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -256,7 +262,53 @@ class _Encoder(_Memo):
         """Packed ids of a text."""
         if not self.by_chunk or any(c in text for c in NOT_SPACE):
             return self._whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(b"".join(map(self.__getitem__, part.split())) for part in segments(text))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of several texts: chunks that they share are looked up once."""
+        odd = pc.match_substring_regex(texts, f"[{NOT_SPACE}]")
+        odd = pc.or_(odd, pc.greater(pc.binary_length(texts), SEGMENT)).to_numpy(zero_copy_only=False) | (not self.by_chunk)
+        lists = pc.utf8_split_whitespace(pc.if_else(pa.array(odd), "", texts))
+        coded = lists.flatten().dictionary_encode()
+        pieces, first, second = self._pieces(coded.dictionary)
+        sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) // 4
+        ids, starts = np.frombuffer(b"".join(pieces), dtype="<u4"), np.cumsum(sizes) - sizes
+        at = coded.indices.to_numpy()
+        of = np.stack([first[at], second[at]], axis=1).ravel()
+        counts = sizes[of]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = ids[np.repeat(starts[of] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[2 * (lists.offsets.to_numpy() - lists.offsets[0].as_py())].tolist()
+        return [self.encode(text.as_py()) if o else ids[a:b].tobytes() for text, o, a, b in zip(texts, odd.tolist(), bounds, bounds[1:], strict=False)]
+
+    def _pieces(self, chunks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Packed ids of the words and runs of signs of different chunks, and which two of these make up each chunk."""
+        bodies = pc.utf8_rtrim(chunks, SIGNS)
+        plain = pc.match_substring_regex(bodies, LETTERS).to_numpy(zero_copy_only=False) & self.letters
+        runs = pc.replace_substring_regex(chunks, SIGNS_BEHIND, r"\1").dictionary_encode()
+        signs = [self.signs[r] if r in self.signs else self._signs(r) for r in runs.dictionary.to_pylist()]
+        run = runs.indices.to_numpy()
+        plain &= np.array([s is not None for s in signs], dtype=bool)[run] if len(run) else plain
+        words = pc.utf8_lower(bodies.filter(pa.array(plain))).dictionary_encode()
+        pieces = [*map(self.words.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()), *(s or b"" for s in signs), b""]
+        first, second = np.empty(len(chunks), dtype=np.int64), np.full(len(chunks), len(pieces) - 1)
+        first[plain], second[plain] = words.indices.to_numpy(), len(words.dictionary) + run[plain]
+        others = np.flatnonzero(~plain)
+        first[others] = len(pieces) + np.arange(len(others))
+        return pieces + [self[c] for c in chunks.take(pa.array(others)).to_pylist()], first, second
+
+
+def segments(text: str) -> Iterator[str]:
+    """The text in parts of about SEGMENT characters, cut at spaces or line ends."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        end = at + SEGMENT
+        cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+        if cut <= at:
+            cut = min((i for i in (text.find(" ", end), text.find("\n", end)) if i >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 @lru_cache(maxsize=2)
@@ -272,6 +324,16 @@ def _open(path: str, mode: str):
     return store.open_input_file(at) if mode == "r" else store.open_output_stream(at, buffer_size=1 << 20)
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about PART_BYTES in a column, of one row at least."""
+    lo = size = 0
+    for hi, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist(), 1):
+        size += n
+        if size >= PART_BYTES or hi == batch.num_rows:
+            yield batch.slice(lo, hi - lo)
+            lo, size = hi, 0
+
+
 def shards_for(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[int, int]:
     """How many shards documents (doc_id, text) get, and how many of these are for rows without an id."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)) * FRAME_SHARE + FRAME_BYTES
@@ -295,13 +357,13 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END_ID,
     bounds = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(1, cuts)] or [0.5], max(20 * min(cuts, 5000), 4 * cuts)).alias("b")).first().b or []
     edges = np.array(bounds[: cuts - 1], dtype=np.int64)
 
+    end = struct.pack("<I", end_id)
+
     def encode(batches):
         own = encoder(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                raws = [own.encode(t) + struct.pack("<I", end_id) for t in texts]
+            for part in parts(batch, 1):
+                raws = [raw + end for raw in own.encode_all(part.column(1).fill_null(""))]
                 keys = part.column(0)
                 values = np.array(keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), dtype=np.int64)
                 hashes = np.array([xxhash.xxh64_intdigest(r, 7) >> 1 for r in raws], dtype=np.int64)
