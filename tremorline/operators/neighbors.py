@@ -40,7 +40,7 @@ BROADCAST_EVENTS = 1_000_000
 #: Radii beyond this (km) make cells too large to be of use.
 GRID_KM = 3000.0
 #: Events up to which blocks are taken without an estimate; nanoseconds of a core for a pair of each form, as measured.
-FEW_EVENTS, GRID_NS, BLOCK_NS = 20_000, 150.0, 12.0
+FEW_EVENTS, GRID_NS, BLOCK_NS = 20_000, 1000.0, 15.0
 #: Children of a cell that go together; those of more crowded cells are dealt over several salts.
 CROWDED = 4096
 SEED_KM = 300.0
@@ -64,7 +64,10 @@ def prepare(catalog: DataFrame, by: tuple = (), b: float = model.B_VALUE, policy
 
 
 def _side(df: DataFrame, prefix: str, by: tuple, *more: str) -> DataFrame:
-    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in (*by, "ord", "_lat", "_lon", "_us", "_w", "_r", *more)))
+    """Columns behind a prefix, and the place as a unit vector."""
+    lat, lon = F.col("_lat"), F.col("_lon")
+    unit = {"_x": F.cos(lat) * F.cos(lon), "_y": F.cos(lat) * F.sin(lon), "_z": F.sin(lat)}
+    return df.select(*(F.col(c).alias(f"{prefix}{c}") for c in (*by, "ord", "_lat", "_lon", "_us", "_w", "_r", *more)), *(v.alias(prefix + k) for k, v in unit.items()))
 
 
 def _years(later: str, earlier: str) -> Column:
@@ -104,22 +107,29 @@ def _best(children: DataFrame, parents: DataFrame, on: list[Column], by: tuple,
 
     A minimum of structs would sort all pairs; so the pairs are met twice: once for the
     least eta of each child (a number, which hash aggregation keeps in place), once to
-    pick the parents that reach it, of which the first is taken.
+    pick the parents that reach it, of which the first is taken.  Both times the
+    distance comes from the chord of unit vectors, to some nine digits; what decides,
+    which are few pairs, is computed exactly.
     """
     keys = [f"c_{c}" for c in (*by, "ord")]
+    exact = geo.haversine_km(F.col("p__lat"), F.col("p__lon"), F.col("c__lat"), F.col("c__lon"))
+    dt = _years("c__us", "p__us")
+
+    def eta(distance: Column) -> Column:
+        return dt * power(F.greatest(distance, F.lit(float(r_min))), d) * F.col("p__w")
 
     def near(side: DataFrame) -> DataFrame:
+        chord = F.sqrt(sum(((F.col(f"p_{x}") - F.col(f"c_{x}")) * (F.col(f"p_{x}") - F.col(f"c_{x}")) for x in ("_x", "_y", "_z")), F.lit(0.0)))
         found = side.join(parents, [*on, F.col("p__us") < F.col("c__us")])
-        found = found.withColumn("_distance", geo.haversine_km(F.col("p__lat"), F.col("p__lon"), F.col("c__lat"), F.col("c__lon")))
+        found = found.withColumn("_far", F.lit(2 * model.EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), chord / 2)))
         if radius:
-            found = found.where("_distance <= p__r")
-        r = F.greatest(F.col("_distance"), F.lit(float(r_min)))
-        dt = _years("c__us", "p__us")
-        return found.select("*", dt.alias("_dt"), r.alias("_r"), (dt * power(r, d) * F.col("p__w")).alias("_eta"))
+            r = F.col("p__r")
+            found = found.where(F.when(F.col("_far") <= r * (1 - 1e-8), F.lit(True)).when(F.col("_far") > r * (1 + 1e-8) + 1e-6, F.lit(False)).otherwise(exact <= r))
+        return found.withColumn("_about", eta(F.col("_far")))
 
-    least = near(children).groupBy(*keys).agg(F.min("_eta").alias("_least")).select(*(F.col(k).alias(f"l_{k}") for k in keys), "_least")
+    least = near(children).groupBy(*keys).agg(F.min("_about").alias("_least")).select(*(F.col(k).alias(f"l_{k}") for k in keys), "_least")
     again = children.join(least, [children[k].eqNullSafe(least[f"l_{k}"]) for k in keys])
-    reached = near(again).where(F.col("_eta") <= F.col("_least") * (1 + 1e-12))
+    reached = near(again).where(F.col("_about") <= F.col("_least") * (1 + 1e-6)).select("*", exact.alias("_distance"), eta(exact).alias("_eta"), dt.alias("_dt")).withColumn("_r", F.greatest(F.col("_distance"), F.lit(float(r_min))))
     best = F.struct(F.col("_eta").alias("eta"), F.col("p_ord").alias("p_ord"), F.col("_dt").alias("t_years"), F.col("_r").alias("r_km"))
     return reached.groupBy(*(F.col(k).alias(c) for k, c in zip(keys, (*by, "ord"), strict=True))).agg(F.min(best).alias("best"))
 
