@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import bpe_codec, chat_format, decontaminate, line_dedup, media_audio, simhash_dedup, token_counts, token_output, toxicity, url_filter
-from .shared import read_table
+from . import bpe_codec, chat_format, decontaminate, importance_resampling, line_dedup, media_audio, sharding, simhash_dedup, token_counts, token_output, toxicity, url_filter
+from .shared import read_table, scratch
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -67,6 +67,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "first_word", "n_words", "similarity")  # what the texts themselves say; SQL has no such fingerprints
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: Shards of op12.
+SHARDS = 40
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digests(sharding.write(read_table(spark, sf_dir, "documents"), scratch(spark, "shards"), SHARDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
     "op1_token_output": op1_token_output,
@@ -79,8 +91,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_decontaminate": op10_decontaminate,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_sharding": op12_sharding,
 }
 
+
 def _url_sql() -> str:
     """Rules, counts of five characters, the four Witten-Bell models level by level, threshold and verdicts."""
     sets = ("ah", "rh", "a", "r")
@@ -189,6 +204,43 @@ with items as (
 select doc_id, item_id, (first - 1)::bigint as first_word, size::bigint as n_words, similarity from best join docs using (r) join items using (i)
 """
 
+#: The table of CRC-32 from its polynomial, and the checksum of x's bytes.
+CRC_TABLE = "select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"
+CRC_OF = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: ('0x' || h)::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+RESAMPLING_SQL = rf"""
+with crc as ({CRC_TABLE}), d as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), b as (
+  select regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), dw as (select r, unnest(w) as x from d), bw as (select unnest(w) as x from b
+), hashed as (
+  select x, {CRC_OF.format(x="x")} % 10000 as bucket from (select x from dw union select x from bw), crc
+), ds as (select bucket, count(*) as s from dw join hashed using (x) group by 1), bs as (select bucket, count(*) as t from bw join hashed using (x) group by 1
+), gains as (
+  select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from dw) + 10000)::double / ((coalesce(s, 0) + 1)::double * ((select count(*) from bw) + 10000)::double)))::bigint as gain
+  from ds full join bs using (bucket)
+), weights as (select r, sum(gain)::bigint as weight from dw join hashed using (x) join gains using (bucket) group by r
+), scored as (
+  select doc_id, r, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5e0) / 4294967296e0)))::bigint as score
+  from d left join weights using (r)
+), placed as (
+  select r, row_number() over (order by score desc, doc_id nulls first) as place, count(*) over () as n from scored where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when place <= 10 * n // 100 then place end as rank from scored left join placed using (r)
+"""
+
+SHARDING_SQL = rf"""
+with crc as ({CRC_TABLE}), d as (
+  select doc_id, text, octet_length(encode(coalesce(text, '')))::bigint + 16 as size from documents
+), p as (
+  select *, coalesce(sum(size) over (order by doc_id nulls first rows between unbounded preceding and 1 preceding), 0) as before, sum(size) over () as total from d
+), s as (
+  select *, (((2 * before + size) * 40) // (2 * total))::int as shard from p
+)
+select doc_id, size, ({CRC_OF.format(x="coalesce(text, '')")})::bigint as text_crc32, 'bytes' as law, shard, (row_number() over (partition by shard order by doc_id nulls first) - 1)::bigint as slot, null::int as grown_shard from s, crc
+"""
 
 #: Queries that DuckDB can express.
 ORACLES: dict[str, str] = {
@@ -226,4 +278,6 @@ from whole join sizes on whole.conv_id is not distinct from sizes.conv_id
     "op8_url_filter": _url_sql(),
     "op7_line_dedup": LINE_SQL,
     "op10_decontaminate": ITEM_SQL,
+    "op11_importance_resampling": RESAMPLING_SQL,
+    "op12_sharding": SHARDING_SQL,
 }
