@@ -31,6 +31,10 @@ OVERHEAD = 16
 ADDED = ("size", "shard", "slot")
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def packed(docs: DataFrame) -> Column:
     """A row of docs as one struct, with an underscore behind the names that are added here."""
     taken, fields = {c.lower() for c in docs.columns} | set(ADDED), []
@@ -39,7 +43,7 @@ def packed(docs: DataFrame) -> Column:
         while c.lower() in ADDED and name.lower() in taken:
             name += "_"
         taken.add(name.lower())
-        fields.append(F.col("`" + c.replace("`", "``") + "`").alias(name))
+        fields.append(quoted(c).alias(name))
     return F.struct(*fields)
 
 
@@ -93,7 +97,7 @@ def write(docs: DataFrame, path: str, shards: int, key: str = "doc_id", text: st
     """
     placed = place(docs, shards, key, text, overhead, parts)
     placed.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.schema(placed.schema).parquet(path)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path).select(*map(quoted, placed.columns))
 
 
 def digests(written: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
