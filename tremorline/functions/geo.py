@@ -21,8 +21,8 @@ def gardner_knopoff_km(mag: Column) -> Column:
 
 
 def border_distance_km(lat: Column, lon: Column, bbox: tuple) -> Column:
-    """Distance in km of a point in degrees to the nearest edge of (min lat, max lat, min lon, max lon)."""
-    south, north, west, east = (F.lit(float(e)) for e in bbox)
+    """Distance in km of a point in degrees to the nearest edge of (min lat, max lat, min lon, max lon), numbers or columns."""
+    south, north, west, east = (e if isinstance(e, Column) else F.lit(float(e)) for e in bbox)
 
     def parallel(edge: Column) -> Column:
         return F.lit(EARTH_RADIUS_KM) * F.abs(F.radians(lat - edge))

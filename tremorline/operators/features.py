@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import geo
+from ..storage import written
 from .completeness import trim_to_mc
 from .neighbors import deal_crowded, parts_for_pairs
 from .ordering import numbered
@@ -24,36 +25,81 @@ def utc_micros(moment) -> int:
     return round((t - dt.datetime(1970, 1, 1, tzinfo=dt.UTC)) / dt.timedelta(microseconds=1))
 
 
+DAY_US = 86_400_000_000
+#: Added to a look-back in microseconds; ages in days, as doubles, decide what is inside.
+SLACK_US = 1000
+
+
+def mainshocks(summary: DataFrame, grid: geo.Grid, starttime, by: tuple = ()) -> DataFrame:
+    """The mainshocks (c_...) with their moment, place, cell and the start of their catalog."""
+    start = F.unix_micros(starttime) if isinstance(starttime, Column) else F.lit(utc_micros(starttime))
+    at = summary.withColumn("_c", grid.cell(F.col("mainshock_lat"), F.col("mainshock_lon")))
+    return at.select(*(F.col(c).alias(f"c_{c}") for c in (*by, "cluster_id", "mainshock_id")), F.unix_micros("mainshock_time").alias("c_us"), F.radians("mainshock_lat").alias("c_lat"), F.radians("mainshock_lon").alias("c_lon"), F.col("_c.band").alias("c__band"), F.col("_c.cell").alias("c__cell"), start.alias("c_start"))
+
+
+def earlier_events(catalog: DataFrame, grid: geo.Grid, by: tuple = ()) -> DataFrame:
+    """The events (p_...), once in every cell that they can be near to."""
+    around = catalog.withColumn("_c", F.explode(grid.around(F.col("latitude"), F.col("longitude"))))
+    return around.select(*(F.col(c).alias(f"p_{c}") for c in (*by, "id", "mag")), F.unix_micros("time").alias("p_us"), F.radians("latitude").alias("p_lat"), F.radians("longitude").alias("p_lon"), F.col("_c.band").alias("p__band"), F.col("_c.cell").alias("p__cell"))
+
+
+def candidate_pairs(main: DataFrame, events: DataFrame, low_us: int, high_us: int, by: tuple = ()) -> DataFrame:
+    """Mainshocks with the events of their cells that are over ``low_us`` and at most ``high_us`` older.
+
+    Time goes by buckets as wide as the look-back, so a mainshock meets the events of two
+    buckets in its cells, whatever the catalog's age.
+    """
+    width = high_us - low_us
+    bucket = lambda us: F.floor(us / F.lit(width))
+    children = main.withColumn("c__bucket", F.explode(F.sequence(bucket(F.col("c_us") - high_us), bucket(F.col("c_us") - low_us))))
+    keys = (*by, "_band", "_cell", "_bucket")
+    sides = deal_crowded(children, events.withColumn("p__bucket", bucket(F.col("p_us"))), keys, "c_cluster_id")
+    children, parents = (x.repartition(parts_for_pairs(main), *(prefix + k for k in (*keys, "_salt"))) for x, prefix in zip(sides, ("c_", "p_"), strict=True))
+    gap = F.col("c_us") - F.col("p_us")
+    return children.join(parents, [*(F.col(f"p_{k}") == F.col(f"c_{k}") for k in (*keys, "_salt")), gap > low_us, gap <= high_us, F.col("p_id") != F.col("c_mainshock_id")])
+
+
 def prior_seismicity(summary: DataFrame, catalog: DataFrame, mc: float | Column | None, starttime, radius_km: float = model.PRIOR_RADIUS_KM, by: tuple = ()) -> DataFrame:
     """(by, cluster_id, n_prior_2d, n_prior_30d, n_prior_365d, prior_max_mag_365d, days_since_prior, prior_window_truncated).
 
     Complete events within the radius of the mainshock and strictly before it, itself
-    excluded; the windows include their far end.  An equi-join on cells of the sphere
-    finds the neighbours, and one aggregate serves all windows.
+    excluded; the windows include their far end.  An equi-join on cells of the sphere and
+    buckets of time finds the events of the longest window, and one aggregate serves all
+    windows.  The last event before has no such limit: only mainshocks without any in the window look
+    further back, each time twice as far, until one is found or the catalog begins.
     """
     grid, reach = geo.Grid(radius_km * (1 + 1e-6)), radius_km * (1 + 1e-9)
-    own = summary.select(*(F.col(c).alias(f"m_{c}") for c in by), F.col("cluster_id"), F.col("mainshock_id"), F.unix_micros("mainshock_time").alias("_t0"), F.radians("mainshock_lat").alias("_lat0"), F.radians("mainshock_lon").alias("_lon0"), grid.cell(F.col("mainshock_lat"), F.col("mainshock_lon")).alias("_c0")).withColumns({"_band0": F.col("_c0.band"), "_cell0": F.col("_c0.cell")})
     complete = trim_to_mc(catalog, mc) if mc is not None else catalog
-    events = complete.select(*(F.col(c).alias(f"e_{c}") for c in by), "id", "mag", F.unix_micros("time").alias("_t"), F.radians("latitude").alias("_lat"), F.radians("longitude").alias("_lon"), F.explode(grid.around(F.col("latitude"), F.col("longitude"))).alias("_c")).withColumns({"_band": F.col("_c.band"), "_cell": F.col("_c.cell")})
-    keys = (*by, "_band", "_cell")
-    own_side = own.select("*", *(F.col(f"m_{c}").alias(f"c_{c}") for c in by), F.col("_band0").alias("c__band"), F.col("_cell0").alias("c__cell"))
-    event_side = events.select("*", *(F.col(f"e_{c}").alias(f"p_{c}") for c in by), F.col("_band").alias("p__band"), F.col("_cell").alias("p__cell"))
-    sides, events = (x.repartition(parts_for_pairs(summary), *(prefix + k for k in (*keys, "_salt"))) for x, prefix in zip(deal_crowded(own_side, event_side, keys, "cluster_id"), ("c_", "p_"), strict=True))
-    on = [F.col(f"p_{k}") == F.col(f"c_{k}") for k in (*keys, "_salt")] + [F.col("_t") < F.col("_t0"), F.col("id") != F.col("mainshock_id")]
-    near = sides.join(events, on).where(geo.haversine_km(F.col("_lat"), F.col("_lon"), F.col("_lat0"), F.col("_lon0")) <= reach)
-    age = (F.col("_t0") / F.lit(1e6) - F.col("_t") / F.lit(1e6)) / F.lit(86400.0)
+    main, events = written(mainshocks(summary, grid, starttime, by), "prior-mainshocks"), written(earlier_events(complete, grid, by), "prior-events")
     longest = max(model.PRIOR_WINDOWS_DAYS)
-    keys = [*(f"m_{c}" for c in by), "cluster_id"]
-    found = near.groupBy(*keys).agg(*(F.count_if(age <= d).cast("int").alias(f"n_prior_{d}d") for d in model.PRIOR_WINDOWS_DAYS), F.max(F.when(age <= longest, F.col("mag"))).alias(f"prior_max_mag_{longest}d"), F.min(age).alias("days_since_prior"))
-    joined = own.select(*keys, "_t0").join(found, keys, "left")
-    start = F.lit(utc_micros(starttime)) if not isinstance(starttime, Column) else F.unix_micros(starttime)
+    keys = [f"c_{c}" for c in (*by, "cluster_id")]
+    age = (F.col("c_us") / F.lit(1e6) - F.col("p_us") / F.lit(1e6)) / F.lit(86400.0)
+
+    def near(some: DataFrame, low_us: int, high_us: int) -> DataFrame:
+        return candidate_pairs(some, events, low_us, high_us, by).where(geo.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("c_lat"), F.col("c_lon")) <= reach).withColumn("age", age)
+
+    counts = [F.count_if(F.col("age") <= d).cast("int").alias(f"n_prior_{d}d") for d in model.PRIOR_WINDOWS_DAYS]
+    low, high = 0, longest * DAY_US + SLACK_US
+    found = near(main, low, high).groupBy(*keys).agg(*counts, F.max(F.when(F.col("age") <= longest, F.col("p_mag"))).alias(f"prior_max_mag_{longest}d"), F.min("age").alias("days_since_prior"))
+    known = written(main.join(found, keys, "left"), "prior-windows")
+    first = events.agg(F.min("p_us")).first()[0]  # null: no events at all
+    last, open_ = known.where("days_since_prior is not null").select(*keys, "days_since_prior"), known.where("days_since_prior is null").select(main.columns)
+    while first is not None:
+        low, high = high, 2 * high
+        open_ = open_.where(F.col("c_us") - low > first)  # others have no event that old
+        if open_.isEmpty():
+            break
+        ages = near(open_, low, high).groupBy(*keys).agg(F.min("age").alias("days_since_prior"))
+        step = written(open_.join(ages, keys, "left"), "prior-lookback")
+        last = last.unionByName(step.where("days_since_prior is not null").select(last.columns))
+        open_ = step.where("days_since_prior is null").select(main.columns)
+    joined = known.drop("days_since_prior").join(last, keys, "left")
     return joined.select(
-        *(F.col(f"m_{c}").alias(c) for c in by),
-        "cluster_id",
+        *(F.col(f"c_{c}").alias(c) for c in (*by, "cluster_id")),
         *(F.coalesce(f"n_prior_{d}d", F.lit(0)).alias(f"n_prior_{d}d") for d in model.PRIOR_WINDOWS_DAYS),
         f"prior_max_mag_{longest}d",
         "days_since_prior",
-        (F.col("_t0") - F.lit(longest * 86_400_000_000) < start).alias("prior_window_truncated"),
+        (F.col("c_us") - F.lit(longest * DAY_US) < F.col("c_start")).alias("prior_window_truncated"),
     )
 
 

@@ -6,7 +6,7 @@ has names of its own; ``published`` renames at the very end, for files.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
@@ -25,15 +25,19 @@ def aftershock_delays(events: DataFrame, summary: DataFrame, by: tuple = ()) ->
 
 
 def build_horizons(summary: DataFrame, events: DataFrame, endtime, hours: tuple = model.HORIZONS_HOURS, days: float = model.HORIZON_DAYS, by: tuple = ()) -> DataFrame:
-    """One row a cluster and horizon.  All horizons come from one pass of conditional aggregates."""
+    """One row a cluster and horizon.  All horizons come from one pass of conditional aggregates.
+
+    ``endtime`` is a moment or a timestamp column of the summary.
+    """
     window = days * 24.0
     if any(not 0 < h < window for h in hours):
         raise ValueError(f"every horizon must lie within 0 and {window:g} hours, not {list(hours)}")
     d = F.col("delay_h")
     sums = aftershock_delays(events, summary, by).groupBy(*by, "cluster_id").agg(F.count_if(d <= window).alias("all"), F.array(*(F.struct(F.lit(int(h)).alias("horizon_hours"), F.count_if(d <= h).alias("n"), F.max(F.when(d <= h, F.col("mag"))).alias("mag"), F.max(F.when(d <= h, d)).alias("last")) for h in hours)).alias("h"))
     none = F.array(*(F.struct(F.lit(int(h)).alias("horizon_hours"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("mag"), F.lit(None).cast("double").alias("last")) for h in hours))
-    end, t0 = F.lit(utc_micros(endtime)), F.col("_t0")
-    rows = summary.select(*by, "cluster_id", F.unix_micros("mainshock_time").alias("_t0")).join(sums, [*by, "cluster_id"], "left").select(*by, "cluster_id", "_t0", F.coalesce("all", F.lit(0)).alias("all"), F.explode(F.coalesce("h", none)).alias("h"))
+    end, t0 = F.col("_end"), F.col("_t0")
+    last = F.unix_micros(endtime) if isinstance(endtime, Column) else F.lit(utc_micros(endtime))
+    rows = summary.select(*by, "cluster_id", F.unix_micros("mainshock_time").alias("_t0"), last.alias("_end")).join(sums, [*by, "cluster_id"], "left").select(*by, "cluster_id", "_t0", "_end", F.coalesce("all", F.lit(0)).alias("all"), F.explode(F.coalesce("h", none)).alias("h"))
     left = F.col("all") - F.col("h.n")
     return rows.select(
         *by,

@@ -6,7 +6,7 @@ import logging
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
@@ -22,7 +22,7 @@ log = logging.getLogger(__name__)
 NUMPY_EVENTS = 5_000_000
 
 
-def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng: str = "portable") -> DataFrame:
+def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng: str = "portable", by: tuple = ()) -> DataFrame:
     """Every repetition's catalog with times and magnitudes permuted, each by itself; epicentres stay.
 
     (repetition, id, time, latitude, longitude, mag, ...).  ``portable`` orders the rows
@@ -32,15 +32,18 @@ def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng:
     if repetitions < 1:
         raise ValueError("at least one repetition is needed")
     spark = catalog.sparkSession
-    own = with_order(catalog) if "ord" not in catalog.columns else catalog
+    own = with_order(catalog, by) if "ord" not in catalog.columns else catalog
+    within = (*by, "repetition")
+    if by and rng != "portable":
+        raise ValueError("groups are shuffled with portable numbers only")
     if rng == "portable":
         from ..storage import written
 
         each = own.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
         seeds = F.lit(int(seed)) + F.col("repetition") * 1000003
         drawn = written(each.withColumns({"_a": stats.portable_integer(F.col("ord"), seeds, 1), "_b": stats.portable_integer(F.col("ord"), seeds, 2)}), "shuffled")
-        times = numbered(drawn.select("repetition", "_a", F.col("ord").alias("_was"), F.col("time").alias("_time")), ("_a", "_was"), ("repetition",)).drop("_a", "_was")
-        mags = numbered(drawn.select("repetition", "_b", F.col("ord").alias("_was"), F.col("mag").alias("_mag")), ("_b", "_was"), ("repetition",)).drop("_b", "_was")
+        times = numbered(drawn.select(*within, "_a", F.col("ord").alias("_was"), F.col("time").alias("_time")), ("_a", "_was"), within).drop("_a", "_was")
+        mags = numbered(drawn.select(*within, "_b", F.col("ord").alias("_was"), F.col("mag").alias("_mag")), ("_b", "_was"), within).drop("_b", "_was")
     elif rng == "numpy":
         from ..storage import written
 
@@ -58,19 +61,19 @@ def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng:
         drawn = each
     else:
         raise ValueError(f"unknown generator {rng!r}; it is 'portable' or 'numpy'")
-    out = drawn.drop("_a", "_b").join(times, ["repetition", "ord"]).join(mags, ["repetition", "ord"])
+    out = drawn.drop("_a", "_b").join(times, [*within, "ord"]).join(mags, [*within, "ord"])
     return out.select("repetition", *(F.col("_time").alias(c) if c == "time" else F.col("_mag").alias(c) if c == "mag" else F.col(c) for c in catalog.columns if c not in ("ord", "repetition")))
 
 
-def null_distribution(complete: DataFrame, repetitions: int = 5, seed: int = 0, b: float = model.B_VALUE, d: float = model.FRACTAL_D, policy: model.RadiusPolicy = model.RadiusPolicy(), rng: str = "portable") -> DataFrame:
-    """(repetition, log10_eta) of the complete events shuffled; all repetitions in one plan."""
-    shuffled = shuffle_marginals(complete.select("id", "time", "latitude", "longitude", "mag"), repetitions, seed, rng)
-    found = nearest_neighbor(shuffled, None, ("repetition",), b, d, policy=policy)
-    return found.where("log10_eta is not null").select("repetition", "log10_eta")
+def null_distribution(complete: DataFrame, repetitions: int = 5, seed: int = 0, b: float = model.B_VALUE, d: float = model.FRACTAL_D, policy: model.RadiusPolicy = model.RadiusPolicy(), rng: str = "portable", by: tuple = ()) -> DataFrame:
+    """(by, repetition, log10_eta) of the complete events shuffled; all groups and repetitions in one plan."""
+    shuffled = shuffle_marginals(complete.select(*by, "id", "time", "latitude", "longitude", "mag"), repetitions, seed, rng, by)
+    found = nearest_neighbor(shuffled, None, (*by, "repetition"), b, d, policy=policy)
+    return found.where("log10_eta is not null").select(*by, "repetition", "log10_eta")
 
 
-def contrast(paired: DataFrame, null: DataFrame, log10_eta0: float, by: tuple = ()) -> DataFrame:
-    """(by, fraction observed, fraction of the null, excess, ratio, medians)."""
+def contrast(paired: DataFrame, null: DataFrame, log10_eta0: float | Column, by: tuple = ()) -> DataFrame:
+    """(by, fraction observed, fraction of the null, excess, ratio, medians); the threshold is a number or a column of both."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
         shares = df.where("log10_eta is not null").groupBy(*by).agg(F.avg((F.col("log10_eta") < log10_eta0).cast("double")).alias(f"fraction_below_threshold_{name}"))

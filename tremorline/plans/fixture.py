@@ -32,6 +32,8 @@ MIXTURE = {"weight_aftershocks": 0.29736, "weight_background": 0.70264, "mu_afte
 SEED = 1
 START, END = "2016-01-01", "2026-01-01"
 BBOX = (-55.0, -21.0, -74.0, -53.0)
+#: A configuration of regions that cover the catalog.
+THREE = [{"name": name, "minlatitude": south, "maxlatitude": north, "minlongitude": -75.0, "maxlongitude": -52.0, "starttime": START, "endtime": END, "minmagnitude": 3.5} for name, south, north in (("middle", -44.0, -33.0), ("north", -33.0, -21.0), ("south", -56.0, -44.0))]
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

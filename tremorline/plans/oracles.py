@@ -9,7 +9,7 @@ from __future__ import annotations
 from ..model import FRACTAL_D, RadiusPolicy
 from ..operators import mixture
 from ..operators.regions import REGIONS
-from .fixture import BBOX, CATALOG, ETA0, MC, MIXTURE, SEED
+from .fixture import BBOX, CATALOG, ETA0, MC, MIXTURE, SEED, THREE
 
 US_YEAR = "31557600e0"
 
@@ -184,7 +184,58 @@ _PROFILED = ("cluster_id", "mainshock_id", "mainshock_mag", "n_aftershocks", "pr
 _EM = f"""{PAIRED}, parts AS (SELECT log10_eta AS x, {PA} AS a, {PB} AS b FROM paired WHERE log10_eta IS NOT NULL), shares AS (SELECT x, greatest(a + b, 1e-300) AS total, a / greatest(a + b, 1e-300) AS s0, b / greatest(a + b, 1e-300) AS s1 FROM parts),
 means AS (SELECT sum(s0 * x) / sum(s0) AS mu0, sum(s1 * x) / sum(s1) AS mu1 FROM shares)"""
 
+#: All regions at once: each with its own Mc, mixture and threshold.
+_INSIDE = " ".join(f"WHEN latitude BETWEEN {f(r['minlatitude'])} AND {f(r['maxlatitude'])} AND longitude BETWEEN {f(r['minlongitude'])} AND {f(r['maxlongitude'])} AND mag >= {f(r['minmagnitude'])} THEN '{r['name']}'" for r in THREE)
+_EDGES = ", ".join(f"('{r['name']}', {f(r['minlatitude'])}, {f(r['maxlatitude'])}, {f(r['minlongitude'])}, {f(r['maxlongitude'])})" for r in THREE)
+REGIONAL = f"""{RAW}, boxed AS (SELECT *, CASE {_INSIDE} END AS region FROM clean WHERE t_us BETWEEN {START_US} AND {END_US}),
+binned AS (SELECT region, CAST(round_even(mag / 0.1e0, 0) AS BIGINT) AS bin, count(*) AS n FROM boxed WHERE region IS NOT NULL GROUP BY 1, 2),
+known AS (SELECT region, round(bin * 0.1e0, 4) + 0.2e0 AS mc FROM binned QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, bin) = 1),
+complete AS (SELECT boxed.*, row_number() OVER (PARTITION BY region ORDER BY t_us, id) AS ord FROM boxed JOIN known USING (region) WHERE round_even(mag / 0.1e0, 0) * 0.1e0 >= mc - 0.025e0),
+{pairs(FREE, by="region")}, vals AS (SELECT region, log10_eta AS x FROM paired WHERE log10_eta IS NOT NULL),
+lists AS (SELECT region, list(x ORDER BY x) AS v, count(*) AS n FROM vals GROUP BY region),
+em AS (
+  SELECT region, 0 AS step, 0.5e0 AS w0, 0.5e0 AS w1, quantile_cont(x, 0.25) AS mu0, quantile_cont(x, 0.75) AS mu1,
+    greatest(stddev_pop(x) / 2, 1e-3) AS s0, greatest(stddev_pop(x) / 2, 1e-3) AS s1, CAST('-infinity' AS DOUBLE) AS ll, false AS done FROM vals GROUP BY region
+  UNION ALL
+  SELECT region, step + 1, m0 / n, m1 / n, mu0, mu1,
+    greatest(sqrt(list_sum({_over("q0[i] * pow(v[i] - mu0, 2e0)")}) / m0), {f(mixture.SIGMA_FLOOR)}), greatest(sqrt(list_sum({_over("q1[i] * pow(v[i] - mu1, 2e0)")}) / m1), {f(mixture.SIGMA_FLOOR)}),
+    ll, abs(ll - last) < {f(mixture.TOLERANCE)}
+  FROM (SELECT *, list_sum({_over("q0[i] * v[i]")}) / m0 AS mu0, list_sum({_over("q1[i] * v[i]")}) / m1 AS mu1 FROM (
+    SELECT *, list_sum(q0) AS m0, list_sum(q1) AS m1 FROM (
+      SELECT region, step, last, v, n, {_over("d0[i] / t[i]")} AS q0, {_over("d1[i] / t[i]")} AS q1, list_sum({_over("ln(t[i])")}) AS ll FROM (
+        SELECT *, {_over(f"greatest(d0[i] + d1[i], {f(mixture.DENSITY_FLOOR)})")} AS t FROM (
+          SELECT region, step, ll AS last, v, n, {_over("w0 * " + _bell("v[i]", "mu0", "s0"))} AS d0, {_over("w1 * " + _bell("v[i]", "mu1", "s1"))} AS d1 FROM em JOIN lists USING (region) WHERE NOT done AND step < {mixture.MOST_STEPS})))))
+), mix AS (
+  SELECT region, CASE WHEN mu0 <= mu1 THEN w0 ELSE w1 END AS wa, CASE WHEN mu0 <= mu1 THEN w1 ELSE w0 END AS wb, least(mu0, mu1) AS ma, greatest(mu0, mu1) AS mb,
+    CASE WHEN mu0 <= mu1 THEN s0 ELSE s1 END AS sa, CASE WHEN mu0 <= mu1 THEN s1 ELSE s0 END AS sb FROM em QUALIFY row_number() OVER (PARTITION BY region ORDER BY step DESC) = 1
+), points AS (
+  SELECT region, i, x, wa * {_bell("x", "ma", "sa")} - wb * {_bell("x", "mb", "sb")} AS y FROM (SELECT *, ma + (mb - ma) * i / 20000e0 AS x FROM mix, range(0, 20001) AS r(i))
+), turns AS (
+  SELECT region, x + (nx - x) * y / (y - ny) AS crossed FROM (SELECT *, lead(x) OVER (PARTITION BY region ORDER BY i) AS nx, lead(y) OVER (PARTITION BY region ORDER BY i) AS ny FROM points) WHERE sign(y) <> sign(ny) QUALIFY row_number() OVER (PARTITION BY region ORDER BY i) = 1
+), cuts AS (SELECT mix.*, coalesce(crossed, (ma + mb) / 2) AS cut FROM mix LEFT JOIN turns USING (region)),
+{lcg("drawn", "paired", str(SEED + 1), 3)}, thinned AS (
+  SELECT drawn.*, log10_eta IS NOT NULL AND u / 2147483648e0 >= wb * {_bell("log10_eta", "mb", "sb")} / greatest(wa * {_bell("log10_eta", "ma", "sa")} + wb * {_bell("log10_eta", "mb", "sb")}, 1e-300) AS is_aftershock FROM drawn JOIN cuts USING (region)
+), tree AS (
+  SELECT region, id, id AS cluster_id, 0 AS generation FROM thinned WHERE NOT is_aftershock
+  UNION ALL SELECT t.region, t.id, r.cluster_id, r.generation + 1 FROM thinned t JOIN tree r ON t.is_aftershock AND t.parent_id = r.id AND t.region = r.region
+), clustered AS (
+  SELECT t.*, cluster_id, generation, row_number() OVER (PARTITION BY t.region, cluster_id ORDER BY mag DESC, t_us, ord) = 1 AS is_mainshock FROM thinned t JOIN tree USING (region, id)
+), main AS (SELECT * FROM clustered WHERE is_mainshock), summary AS (
+  SELECT m.region, m.cluster_id, m.id AS mainshock_id, m.t_us AS mainshock_us, m.latitude, m.longitude, count(*) AS n_events, count(*) FILTER (c.t_us < m.t_us) AS n_foreshocks, max({hav("c", "m")}) AS extent_km
+  FROM clustered c JOIN main m USING (region, cluster_id) GROUP BY ALL
+), prior AS (
+  SELECT s.region, s.cluster_id, count(c.id) FILTER (s.mainshock_us - c.t_us <= 365 * {DAY_US}) AS n_prior, min((s.mainshock_us / 1e6 - c.t_us / 1e6) / 86400e0) AS days
+  FROM summary s LEFT JOIN complete c ON c.region = s.region AND c.t_us < s.mainshock_us AND c.id <> s.mainshock_id AND abs(c.latitude - s.latitude) < 1.0e0 AND {hav("c", "s")} <= 100e0 * (1 + 1e-9) GROUP BY 1, 2
+), edges AS (SELECT * FROM (VALUES {_EDGES}) AS v(region, s, n, w, e))"""
+
 _BODY = {
+    "regions_declustered": (
+        REGIONAL,
+        """SELECT s.region, s.cluster_id, mainshock_id, CAST(n_events AS INT) AS n_events, CAST(n_events - 1 - n_foreshocks AS INT) AS n_aftershocks, CAST(n_foreshocks AS INT) AS n_foreshocks, round(extent_km, 6) AS extent_km,
+          CAST(n_prior AS INT) AS n_prior_365d, round(days, 9) AS days_since_prior, round(mc, 6) AS region_mc, round(cut, 4) AS region_log10_eta0,
+          round(least(6371e0 * abs(radians(latitude - edges.s)), 6371e0 * abs(radians(latitude - edges.n)), 6371e0 * asin(least(1e0, abs(sin(radians(longitude - w)) * cos(radians(latitude))))), 6371e0 * asin(least(1e0, abs(sin(radians(longitude - e)) * cos(radians(latitude)))))), 6) AS dist_to_border_km
+        FROM summary s JOIN prior USING (region, cluster_id) JOIN known USING (region) JOIN cuts USING (region) JOIN edges USING (region)""",
+    ),
     "silver_refine": (RAW, "SELECT id, t_us, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, depth, mag, net FROM clean"),
     "silver_dedup_latest": (RAW, "SELECT id, mag, coalesce(updated_us, -1) AS updated_us FROM clean"),
     "silver_order": (CAT, "SELECT id, row_number() OVER (ORDER BY t_us, id) AS ord FROM cat"),

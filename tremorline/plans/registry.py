@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import geo, stats
 from ..operators import completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, scouting, silver
-from . import fixture, oracles
+from . import fixture, oracles, regional
 from .fixture import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -352,6 +352,12 @@ def q_combine_regions(spark, sf_dir):
     return regions.combine(parts)
 
 
+@query
+def q_regions_declustered(spark, sf_dir):
+    f = regional.decluster(raw(spark, sf_dir), fixture.THREE, model.RunParams(seed=fixture.SEED), with_null=False).features
+    return f.select("region", "cluster_id", "mainshock_id", "n_events", "n_aftershocks", "n_foreshocks", r6("extent_km").alias("extent_km"), "n_prior_365d", F.round("days_since_prior", 9).alias("days_since_prior"), r6("region_mc").alias("region_mc"), F.round("region_log10_eta0", 4).alias("region_log10_eta0"), r6("dist_to_border_km").alias("dist_to_border_km"))
+
+
 @query
 def q_feature_correlations(spark, sf_dir):
     f = features.uncensored(table(spark, sf_dir, "features"), fixture.END)
