@@ -187,7 +187,12 @@ means AS (SELECT sum(s0 * x) / sum(s0) AS mu0, sum(s1 * x) / sum(s1) AS mu1 FROM
 #: All regions at once: each with its own Mc, mixture and threshold.
 _INSIDE = " ".join(f"WHEN latitude BETWEEN {f(r['minlatitude'])} AND {f(r['maxlatitude'])} AND longitude BETWEEN {f(r['minlongitude'])} AND {f(r['maxlongitude'])} AND mag >= {f(r['minmagnitude'])} THEN '{r['name']}'" for r in THREE)
 _EDGES = ", ".join(f"('{r['name']}', {f(r['minlatitude'])}, {f(r['maxlatitude'])}, {f(r['minlongitude'])}, {f(r['maxlongitude'])})" for r in THREE)
-REGIONAL = f"""{RAW}, boxed AS (SELECT *, CASE {_INSIDE} END AS region FROM clean WHERE t_us BETWEEN {START_US} AND {END_US}),
+
+
+
+def regional(clean: str) -> str:
+    """All stages by region from a text that ends with the view clean."""
+    return f"""{clean}, boxed AS (SELECT *, CASE {_INSIDE} END AS region FROM clean WHERE t_us BETWEEN {START_US} AND {END_US}),
 binned AS (SELECT region, CAST(round_even(mag / 0.1e0, 0) AS BIGINT) AS bin, count(*) AS n FROM boxed WHERE region IS NOT NULL GROUP BY 1, 2),
 known AS (SELECT region, round(bin * 0.1e0, 4) + 0.2e0 AS mc FROM binned QUALIFY row_number() OVER (PARTITION BY region ORDER BY n DESC, bin) = 1),
 complete AS (SELECT boxed.*, row_number() OVER (PARTITION BY region ORDER BY t_us, id) AS ord FROM boxed JOIN known USING (region) WHERE round_even(mag / 0.1e0, 0) * 0.1e0 >= mc - 0.025e0),
@@ -228,6 +233,9 @@ em AS (
   FROM summary s LEFT JOIN complete c ON c.region = s.region AND c.t_us < s.mainshock_us AND c.id <> s.mainshock_id AND abs(c.latitude - s.latitude) < 1.0e0 AND {hav("c", "s")} <= 100e0 * (1 + 1e-9) GROUP BY 1, 2
 ), edges AS (SELECT * FROM (VALUES {_EDGES}) AS v(region, s, n, w, e))"""
 
+
+REGIONAL = regional(RAW)
+
 _BODY = {
     "regions_declustered": (
         REGIONAL,
