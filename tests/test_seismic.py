@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremorline import model
 from tremorline.functions import geo, stats
-from tremorline.operators import completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, silver
+from tremorline.operators import completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, silver, tree
 
 SCHEMA = "id string, time timestamp, latitude double, longitude double, depth double, mag double"
 T0 = dt.datetime(2020, 1, 1, tzinfo=dt.UTC)
@@ -82,11 +82,12 @@ def brute(rows, cap=None, gk=None, d=1.5):
 def test_every_search_as_brute_force(spark, place):
     df, rows = random_catalog(spark, 150, 3, *place)
     rows = sorted(rows, key=lambda r: (round(r[1] * 3600e6), r[0]))
-    for strategy in ("blocks", "bounded", "theta"):
+    for strategy in ("blocks", "tree", "bounded", "theta"):
         assert parents(neighbors.nearest_neighbor(df, None, strategy=strategy)) == brute(rows), strategy
-    for cap in (60.0, 700.0):
-        assert parents(neighbors.nearest_neighbor(df, None, policy=model.RadiusPolicy("fixed", cap), strategy="grid")) == brute(rows, cap)
-    assert parents(neighbors.nearest_neighbor(df, None, policy=model.RadiusPolicy("gk", None, 4.0), strategy="grid")) == brute(rows, gk=4.0)
+    for strategy in ("grid", "tree"):
+        for cap in (60.0, 700.0):
+            assert parents(neighbors.nearest_neighbor(df, None, policy=model.RadiusPolicy("fixed", cap), strategy=strategy)) == brute(rows, cap)
+        assert parents(neighbors.nearest_neighbor(df, None, policy=model.RadiusPolicy("gk", None, 4.0), strategy=strategy)) == brute(rows, gk=4.0)
 
 
 def test_huge_radius_is_no_radius(spark):
@@ -395,11 +396,26 @@ def test_tiles_find_the_same_parents():
         side = neighbors.Side(np.arange(1, n + 1), lat, lon, us, 10 ** -np.round(rng.uniform(3, 6, n), 1), np.full(n, np.nan if reach is None else reach))
         for d in (1.5, 1.2):
             at = np.sort(rng.choice(n, n - 3, replace=False))
-            eta, place, *_ = neighbors.best_parents(side, at, d, 0.01, rows=16, tile=32)
-            for j, e, p in zip(at, eta, place):
-                i = np.arange(j)
-                exact = side.exact(np.full(j, j), i, d, 0.01)[0] if j else np.array([np.inf])
-                assert (e == exact.min() and p == exact.argmin()) if np.isfinite(exact.min()) else (p == -1 and np.isinf(e))
+            found = [neighbors.best_parents(side, at, d, 0.01, rows=16, tile=32), *(tree.search(tree.EventTree(side, leaf), side, at, d, 0.01) for leaf in (1, 5, 64))]
+            for eta, place, *_ in found:
+                for j, e, p in zip(at, eta, place):
+                    i = np.arange(j)
+                    exact = side.exact(np.full(j, j), i, d, 0.01)[0] if j else np.array([np.inf])
+                    assert (e == exact.min() and p == exact.argmin()) if np.isfinite(exact.min()) else (p == -1 and np.isinf(e))
+
+
+def test_tree_computes_few_distances():
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (5_000, 20_000):
+        us, mag = np.sort(rng.integers(0, 10**15, n)), np.round(4 + rng.exponential(0.43, n), 1)
+        side = neighbors.Side(np.arange(1, n + 1), np.radians(rng.uniform(-55, -21, n)), np.radians(rng.uniform(-74, -53, n)), us, 10**-mag, np.full(n, np.nan))
+        at = np.arange(0, n, 40)
+        seen: list[int] = []
+        eta, place, *_ = tree.search(tree.EventTree(side), side, at, 1.5, 0.01, seen)
+        assert np.array_equal(place, neighbors.best_parents(side, at, 1.5, 0.01)[1])
+        shares.append(sum(seen) / len(at) / n)
+    assert shares[1] < 0.05 and shares[1] < shares[0] / 2, shares
 
 
 def test_memory_of_tiles_does_not_grow_with_the_catalog():
@@ -424,7 +440,7 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     key = lambda strategy: sorted((r.id, r.parent_id, round(r.log10_eta, 9) if r.log10_eta else None) for r in neighbors.nearest_neighbor(df, None, policy=policy, strategy=strategy).collect())
     want = key("theta")
     monkeypatch.setattr(neighbors.deal_crowded, "__defaults__", ("c_", "p_", 16))
-    assert key("grid") == want and key("blocks") == want
+    assert key("grid") == want and key("blocks") == want and key("tree") == want
     children = spark.range(100).select(F.lit(1).alias("c_k"), F.col("id").alias("c_ord"))
     parents = spark.range(5).select(F.lit(1).alias("p_k"), "id")
     left, right = neighbors.deal_crowded(children, parents, ("k",), "c_ord", most=16)
@@ -437,7 +453,7 @@ def test_choice_follows_the_pairs(spark, monkeypatch):
     df = spark.createDataFrame(rows, "id string, s double, latitude double, longitude double, mag double").withColumn("time", F.timestamp_seconds("s"))
     monkeypatch.setattr(neighbors, "FEW_EVENTS", 100)
     chosen = lambda km: neighbors.choose(neighbors.prepare(df, policy=model.RadiusPolicy("fixed", km)), 3000, km)
-    assert [chosen(50.0), chosen(2500.0)] == ["grid", "blocks"] and neighbors.choose(df, 3000, None) == "blocks" and neighbors.choose(df, 10**7, None) == "bounded"
+    assert [chosen(50.0), chosen(2500.0)] == ["grid", "tree"] and neighbors.choose(df, 3000, None) == "tree" and neighbors.choose(df, 10**7, None) == "bounded"
     events = neighbors.prepare(df, policy=model.RadiusPolicy("fixed", 500.0))
     assert neighbors.grid_pairs(events, 500.0) < 3000 * 3000 / 5
 

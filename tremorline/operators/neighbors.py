@@ -5,7 +5,7 @@ For an event j, the parent is the earlier event i (strictly earlier) with the le
 ones the first in the catalog.  With a radius policy only events within the parent's
 radius (inclusive, before the floor) are candidates.
 
-Three physical forms of the same search:
+Physical forms of the same search:
 
 * ``grid``: with a radius, an equi-join on cells of the sphere, then exact filters;
   parents go by classes of radius, so one huge radius doesn't widen everyone's cells;
@@ -14,6 +14,8 @@ Three physical forms of the same search:
   (``BROADCAST_EVENTS``): tiles of children and earlier events.  A lower bound of eta
   from products of unit vectors leaves few pairs to be computed exactly; a worker's
   memory doesn't depend on the catalog beyond the columns broadcast.
+* ``tree``: for the same catalogs: a static tree of the broadcast events, searched by branch and
+  bound, so a child computes some hundred distances and not one for each earlier event.
 * ``bounded``: without a radius, for larger catalogs: the grid search at a seed radius and
   the previous event give an upper bound of eta; a better parent outside that radius
   must then be so close in time that a join on time buckets finds it.
@@ -23,6 +25,7 @@ Of the forms that apply, the one with the least estimated work for its pairs is
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +36,15 @@ from pyspark.sql import types as T
 
 from .. import model
 from ..functions import geo, stats
+from . import tree
 from .silver import with_order
 
-#: Events whose columns are broadcast: at most 80 MB.
+#: Events whose columns are broadcast: at most 80 MB, and 30 MB for a tree over them.
 BROADCAST_EVENTS = 1_000_000
 #: Radii beyond this (km) make cells too large to be of use.
 GRID_KM = 3000.0
-#: Events up to which blocks are taken without an estimate; nanoseconds of a core for a pair of each form, as measured.
-FEW_EVENTS, GRID_NS, BLOCK_NS = 20_000, 1000.0, 15.0
+#: Events up to which the tree is taken without an estimate; nanoseconds of a core for a pair of the grid, and for a child by each halving of the tree's events, as measured.
+FEW_EVENTS, GRID_NS, TREE_NS = 20_000, 1000.0, 10_000.0
 #: Children of a cell that go together; those of more crowded cells are dealt over several salts.
 CROWDED = 4096
 SEED_KM = 300.0
@@ -244,15 +248,12 @@ def best_parents(side: Side, at: np.ndarray, d: float, r_min: float, rows: int =
     return eta, place, *side.exact(at, known, d, r_min)[1:]
 
 
-def search_blocks(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min: float = model.R_MIN_KM, rows: int = ROWS, tile: int = TILE) -> DataFrame:
-    """(by, ord, best) over all earlier events, for catalogs of a checked size."""
-    spark = events.sparkSession
+def gathered(events: DataFrame, by: tuple = ()) -> tuple[int, dict[str, Side]]:
+    """The number of events and each group's arrays, for catalogs of a checked size."""
     columns = ("ord", "_lat", "_lon", "_us", "_w", "_r")
-    group = F.concat_ws("\x1f", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
-    n = events.count()
-    if n > BROADCAST_EVENTS:
+    if events.count() > BROADCAST_EVENTS:
         raise ValueError("the catalog is too large to be broadcast")
-    table = events.select(group.alias("_g"), *columns).toArrow()
+    table = events.select(group_name(by).alias("_g"), *columns).toArrow()
     sides: dict[str, Side] = {}
     names = np.array(table.column("_g").to_pylist(), dtype=object)
     plain = [table.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -260,7 +261,19 @@ def search_blocks(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D,
         picked = [c[names == name] for c in plain]
         order = np.argsort(picked[0], kind="stable")
         sides[name] = Side(*(c[order] for c in picked))
-    shipped = spark.sparkContext.broadcast(sides)
+    return table.num_rows, sides
+
+
+def group_name(by: tuple) -> Column:
+    return F.concat_ws("\x1f", *(F.col(c).cast("string") for c in by)) if by else F.lit("")
+
+
+def search_shipped(events: DataFrame, by: tuple, n: int, shipped, find) -> DataFrame:
+    """(by, ord, best): the children in tasks of few rows, each with what was broadcast for its group.
+
+    ``find`` takes that and the ascending places of some children in their group.
+    """
+    spark = events.sparkSession
     schema = T.StructType([*(events.schema[c] for c in by), T.StructField("ord", T.LongType()), *(T.StructField(n, t) for n, t in (("eta", T.DoubleType()), ("p_ord", T.LongType()), ("t_years", T.DoubleType()), ("r_km", T.DoubleType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,22 +283,36 @@ def search_blocks(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D,
             places = batch.column(len(by) + 1).to_numpy()
             found = np.zeros(len(places), dtype=[("eta", "f8"), ("p", "i8"), ("t", "f8"), ("r", "f8")])
             for name in set(groups.tolist()):
-                side = known[name]
+                side = known[name][0]
                 mine = np.flatnonzero(groups == name)
                 at = np.searchsorted(side.order, places[mine])
                 mine, at = mine[np.argsort(at, kind="stable")], np.sort(at)
-                eta, place, years, r = best_parents(side, at, d, r_min, rows, tile)
+                eta, place, years, r = find(*known[name], at)
                 found["eta"][mine], found["t"][mine], found["r"][mine] = eta, years, r
                 found["p"][mine] = np.where(place >= 0, side.order[np.maximum(place, 0)], 0)
             some = (found["p"] > 0) & np.isfinite(found["eta"])
             kept = batch.filter(pa.array(some))
             yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(len(by))), kept.column(len(by) + 1), *(pa.array(found[c][some]) for c in ("eta", "p", "t", "r"))], names=schema.names)
 
-    tasks = max(1, min(int(spark.sparkContext.defaultParallelism) * 4, 1 + table.num_rows // 512))
-    children = events.select(*by, group.alias("_g"), "ord").repartition(tasks, F.xxhash64(*by, "ord"))
+    tasks = max(1, min(int(spark.sparkContext.defaultParallelism) * 4, 1 + n // 512))
+    children = events.select(*by, group_name(by).alias("_g"), "ord").repartition(tasks, F.xxhash64(*by, "ord"))
     return children.mapInArrow(run, schema).select(*by, "ord", F.struct("eta", "p_ord", "t_years", "r_km").alias("best"))
 
 
+def search_blocks(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min: float = model.R_MIN_KM, rows: int = ROWS, tile: int = TILE) -> DataFrame:
+    """(by, ord, best) over all earlier events in tiles, for catalogs of a checked size."""
+    n, sides = gathered(events, by)
+    shipped = events.sparkSession.sparkContext.broadcast({name: (side,) for name, side in sides.items()})
+    return search_shipped(events, by, n, shipped, lambda side, at: best_parents(side, at, d, r_min, rows, tile))
+
+
+def search_tree(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min: float = model.R_MIN_KM) -> DataFrame:
+    """(by, ord, best) by branch and bound, for catalogs of a checked size."""
+    n, sides = gathered(events, by)
+    shipped = events.sparkSession.sparkContext.broadcast({name: (side, tree.EventTree(side)) for name, side in sides.items()})
+    return search_shipped(events, by, n, shipped, lambda side, nodes, at: tree.search(nodes, side, at, d, r_min))
+
+
 def search_bounded(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min: float = model.R_MIN_KM, seed_km: float = SEED_KM) -> DataFrame:
     """(by, ord, best) over all earlier events, by equi-joins only."""
     from ..storage import written
@@ -320,16 +347,15 @@ def choose(events: DataFrame, n: int, reach: float | None, by: tuple = ()) -> st
     if n > BROADCAST_EVENTS:
         return "bounded" if reach is None else "grid"
     if n <= FEW_EVENTS or reach is None or reach > GRID_KM:
-        return "blocks"
-    sizes = events.groupBy(*by).count().agg(F.sum(F.col("count").cast("double") * F.col("count") / 2)).first()[0]
-    return "grid" if grid_pairs(events, reach, by) * GRID_NS < sizes * BLOCK_NS else "blocks"
+        return "tree"
+    return "grid" if grid_pairs(events, reach, by) * GRID_NS < n * math.log2(n) * TREE_NS else "tree"
 
 
 def nearest_neighbor(catalog: DataFrame, mc: float | Column | None = None, by: tuple = (), b: float = model.B_VALUE, d: float = model.FRACTAL_D, p: float = 0.5, policy: model.RadiusPolicy = model.RadiusPolicy(), r_min: float = model.R_MIN_KM, strategy: str | None = None) -> DataFrame:
     """The complete events with parent_id, parent_mag, eta and its halves; nulls where there is no parent.
 
     ``mc`` None means that the catalog is complete already; ``strategy`` forces one of
-    grid, blocks, bounded and theta.
+    grid, blocks, tree, bounded and theta.
     """
     from ..storage import written
 
@@ -346,7 +372,7 @@ def nearest_neighbor(catalog: DataFrame, mc: float | Column | None = None, by: t
         strategy = choose(events, n, reach, by)
     if strategy in ("bounded",) and policy.capped:
         raise ValueError("the bounded search has no radius")
-    search = {"grid": search_grid, "blocks": search_blocks, "bounded": search_bounded, "theta": lambda e, g, x, y: search_theta(e, g, x, y, policy.capped)}[strategy]
+    search = {"grid": search_grid, "blocks": search_blocks, "tree": search_tree, "bounded": search_bounded, "theta": lambda e, g, x, y: search_theta(e, g, x, y, policy.capped)}[strategy]
     best = search(events, by, d, r_min)
     parents = events.select(*by, F.col("ord").alias("p_ord"), F.col("id").alias("parent_id"), F.col("mag").alias("parent_mag"))
     joined = events.join(best.select(*by, "ord", "best.*"), [*by, "ord"], "left").join(parents, [*by, "p_ord"], "left")
