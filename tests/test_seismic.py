@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremorline import model
 from tremorline.functions import geo, stats
-from tremorline.operators import completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, silver, tree
+from tremorline.operators import completeness, curve, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, silver, tree
 
 SCHEMA = "id string, time timestamp, latitude double, longitude double, depth double, mag double"
 T0 = dt.datetime(2020, 1, 1, tzinfo=dt.UTC)
@@ -84,7 +84,7 @@ def test_every_search_as_brute_force(spark, place):
     rows = sorted(rows, key=lambda r: (round(r[1] * 3600e6), r[0]))
     for strategy in ("blocks", "tree", "bounded", "theta"):
         assert parents(neighbors.nearest_neighbor(df, None, strategy=strategy)) == brute(rows), strategy
-    for strategy in ("grid", "tree"):
+    for strategy in ("grid", "tree", "curve"):
         for cap in (60.0, 700.0):
             assert parents(neighbors.nearest_neighbor(df, None, policy=model.RadiusPolicy("fixed", cap), strategy=strategy)) == brute(rows, cap)
         assert parents(neighbors.nearest_neighbor(df, None, policy=model.RadiusPolicy("gk", None, 4.0), strategy=strategy)) == brute(rows, gk=4.0)
@@ -441,19 +441,36 @@ def test_crowded_cells_are_split(spark, monkeypatch):
     want = key("theta")
     monkeypatch.setattr(neighbors.deal_crowded, "__defaults__", ("c_", "p_", 16))
     assert key("grid") == want and key("blocks") == want and key("tree") == want
+    monkeypatch.setattr(curve.search, "__defaults__", (*curve.search.__defaults__[:-1], 30))
+    assert key("curve") == want
     children = spark.range(100).select(F.lit(1).alias("c_k"), F.col("id").alias("c_ord"))
     parents = spark.range(5).select(F.lit(1).alias("p_k"), "id")
     left, right = neighbors.deal_crowded(children, parents, ("k",), "c_ord", most=16)
     assert max(r["count"] for r in left.groupBy("c__salt").count().collect()) < 40 and right.count() == 35
 
 
+def test_ranges_of_the_curve_copy_few_events(spark):
+    g = np.random.default_rng(9)
+    rows = [(f"e{i}", float(i), float(a), float(b), 4.0) for i, (a, b) in enumerate(zip(g.uniform(-55, -21, 20000), g.uniform(-74, -53, 20000)))]
+    df = spark.createDataFrame(rows, "id string, s double, latitude double, longitude double, mag double").withColumn("time", F.timestamp_seconds("s"))
+    events = neighbors.prepare(df, policy=model.RadiusPolicy("fixed", 60.0)).withColumn("_at", geo.Grid(60.0).cell(F.col("latitude"), F.col("longitude")))
+    home = events.groupBy(F.col("_at.band").alias("band"), F.col("_at.cell").alias("cell")).agg(F.count("*").alias("children"))
+    links = events.select(F.col("_at").alias("own"), F.explode(geo.Grid(60.0).around(F.col("latitude"), F.col("longitude"))).alias("to")).groupBy("own", F.col("to.band").alias("band"), F.col("to.cell").alias("cell")).agg(F.count("*").alias("n"))
+    links = links.join(events.groupBy(F.col("_at").alias("own")).agg(F.count("*").alias("parents")), "own")
+    cells, owners = curve.ranges(home, links, (), 2500)
+    n = cells.select("range").distinct().count()
+    copies = events.select(F.col("_at").alias("own")).join(owners, "own").count()
+    assert n >= 8 and copies < 2 * 20000, (n, copies)
+    assert cells.count() == home.count(), "every child has one range"
+
+
 def test_choice_follows_the_pairs(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(f"e{i}", float(i), float(a), float(b), 4.0) for i, (a, b) in enumerate(zip(rng.uniform(-80, 80, 3000), rng.uniform(-180, 180, 3000)))]
     df = spark.createDataFrame(rows, "id string, s double, latitude double, longitude double, mag double").withColumn("time", F.timestamp_seconds("s"))
     monkeypatch.setattr(neighbors, "FEW_EVENTS", 100)
     chosen = lambda km: neighbors.choose(neighbors.prepare(df, policy=model.RadiusPolicy("fixed", km)), 3000, km)
-    assert [chosen(50.0), chosen(2500.0)] == ["grid", "tree"] and neighbors.choose(df, 3000, None) == "tree" and neighbors.choose(df, 10**7, None) == "bounded"
+    assert [chosen(50.0), chosen(2500.0)] == ["grid", "tree"] and neighbors.choose(df, 3000, None) == "tree" and neighbors.choose(df, 10**7, None) == "bounded" and neighbors.choose(df, 10**7, 50.0) == "curve"
     events = neighbors.prepare(df, policy=model.RadiusPolicy("fixed", 500.0))
     assert neighbors.grid_pairs(events, 500.0) < 3000 * 3000 / 5
 

@@ -16,6 +16,8 @@ Physical forms of the same search:
   memory doesn't depend on the catalog beyond the columns broadcast.
 * ``tree``: for the same catalogs: a static tree of the broadcast events, searched by branch and
   bound, so a child computes some hundred distances and not one for each earlier event.
+* ``curve``: with a radius, for larger catalogs: ranges of a space-filling curve, each with a halo of
+  the parents that reach into it and a tree over them.
 * ``bounded``: without a radius, for larger catalogs: the grid search at a seed radius and
   the previous event give an upper bound of eta; a better parent outside that radius
   must then be so close in time that a join on time buckets finds it.
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 
 from .. import model
 from ..functions import geo, stats
-from . import tree
+from . import curve, tree
 from .silver import with_order
 
 #: Events whose columns are broadcast: at most 80 MB, and 30 MB for a tree over them.
@@ -345,7 +347,7 @@ def search_bounded(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D
 def choose(events: DataFrame, n: int, reach: float | None, by: tuple = ()) -> str:
     """The form with the least work for its pairs, of those that the catalog's size and the largest radius allow."""
     if n > BROADCAST_EVENTS:
-        return "bounded" if reach is None else "grid"
+        return "bounded" if reach is None else "curve"
     if n <= FEW_EVENTS or reach is None or reach > GRID_KM:
         return "tree"
     return "grid" if grid_pairs(events, reach, by) * GRID_NS < n * math.log2(n) * TREE_NS else "tree"
@@ -355,7 +357,7 @@ def nearest_neighbor(catalog: DataFrame, mc: float | Column | None = None, by: t
     """The complete events with parent_id, parent_mag, eta and its halves; nulls where there is no parent.
 
     ``mc`` None means that the catalog is complete already; ``strategy`` forces one of
-    grid, blocks, tree, bounded and theta.
+    grid, blocks, tree, curve, bounded and theta.
     """
     from ..storage import written
 
@@ -372,7 +374,7 @@ def nearest_neighbor(catalog: DataFrame, mc: float | Column | None = None, by: t
         strategy = choose(events, n, reach, by)
     if strategy in ("bounded",) and policy.capped:
         raise ValueError("the bounded search has no radius")
-    search = {"grid": search_grid, "blocks": search_blocks, "tree": search_tree, "bounded": search_bounded, "theta": lambda e, g, x, y: search_theta(e, g, x, y, policy.capped)}[strategy]
+    search = {"grid": search_grid, "blocks": search_blocks, "tree": search_tree, "curve": curve.search, "bounded": search_bounded, "theta": lambda e, g, x, y: search_theta(e, g, x, y, policy.capped)}[strategy]
     best = search(events, by, d, r_min)
     parents = events.select(*by, F.col("ord").alias("p_ord"), F.col("id").alias("parent_id"), F.col("mag").alias("parent_mag"))
     joined = events.join(best.select(*by, "ord", "best.*"), [*by, "ord"], "left").join(parents, [*by, "p_ord"], "left")

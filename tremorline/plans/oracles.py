@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from ..model import FRACTAL_D, RadiusPolicy
 from ..operators import mixture
-from ..operators.regions import REGIONS
 from .fixture import BBOX, CATALOG, ETA0, MC, MIXTURE, SEED, THREE
 
 US_YEAR = "31557600e0"
@@ -175,8 +174,6 @@ SELECT {key}feature, count(*) AS n, round(corr(x, y), 3) AS pearson, round(corr(
 FROM ranked GROUP BY {key}feature HAVING count(*) >= 3 AND stddev_samp(x) > 0"""
 
 
-_BOXES = [*REGIONS, {**REGIONS[0], "name": "andes_north", "maxlatitude": -10}, {**REGIONS[1], "name": "japan_east", "minlongitude": 148, "maxlongitude": 160}]
-_VALUES = ", ".join(f"('{r['name']}', {r['minlatitude']}, {r['maxlatitude']}, {r['minlongitude']}, {r['maxlongitude']})" for r in _BOXES)
 _BINS = f"""{SUMMARY}, ends AS (SELECT floor(min(mainshock_mag) / 0.5e0) * 0.5e0 AS lo, ceil(max(mainshock_mag) / 0.5e0) * 0.5e0 AS hi FROM summary), bins AS (
   SELECT lo + least(greatest(1, round((hi - lo) / 0.5e0)) - 1, floor((mainshock_mag - lo) / 0.5e0)) * 0.5e0 + 0.25e0 AS center, avg(n_aftershocks) AS mean_aftershocks, count(*) AS n_mainshocks
   FROM summary CROSS JOIN ends GROUP BY 1 HAVING count(*) >= 5 AND avg(n_aftershocks) > 0)"""
@@ -254,7 +251,10 @@ _BODY = {
     "haversine": (CAT + f", o AS (SELECT {f(-33.45)} AS latitude, {f(-70.66)} AS longitude)", f"SELECT id, round({hav('cat', 'o')}, 6) AS km FROM cat CROSS JOIN o"),
     "border_distance": (CAT, f"SELECT id, round({border('latitude', 'longitude')}, 6) AS km FROM cat"),
     "gk_radius": (CAT, "SELECT DISTINCT mag, round(pow(10e0, 0.1238e0 * mag + 0.983e0), 6) AS km FROM cat"),
-    "region_overlap": (f"r AS (SELECT * FROM (VALUES {_VALUES}) AS v(name, s, n, w, e))", "SELECT a.name AS a, b.name AS b FROM r a JOIN r b ON a.name < b.name AND a.s < b.n AND b.s < a.n AND a.w < b.e AND b.w < a.e"),
+    "region_overlap": (
+        SUMMARY + ", boxes AS (SELECT c.cluster_id, min(c.latitude) AS s, max(c.latitude) AS n, min(c.longitude) AS w, max(c.longitude) AS e FROM clustered c JOIN summary m USING (cluster_id) WHERE m.n_aftershocks > 0 OR order_in_cluster > 0 GROUP BY 1)",
+        "SELECT a.cluster_id AS a, b.cluster_id AS b FROM boxes a JOIN boxes b ON a.cluster_id < b.cluster_id AND a.s < b.n AND b.s < a.n AND a.w < b.e AND b.w < a.e",
+    ),
     "nn_uncapped": (PAIRED, select_pairs()),
     "nn_radius_fixed": (f"{COMPLETE}, {pairs(CAPPED)}", select_pairs()),
     "nn_radius_gk": (f"{COMPLETE}, {pairs(RadiusPolicy('gk', None, 3.0))}", select_pairs()),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import model
 from ..functions import geo, stats
-from ..operators import completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, scouting, silver
+from ..operators import boxes, completeness, features, forest, horizons, mixture, neighbors, nulls, ordering, quality, regions, scouting, silver
 from . import fixture, oracles, regional
 from .fixture import table
 
@@ -115,8 +115,8 @@ def q_gk_radius(spark, sf_dir):
 
 @query
 def q_region_overlap(spark, sf_dir):
-    boxes = [*regions.REGIONS, {**regions.REGIONS[0], "name": "andes_north", "maxlatitude": -10}, {**regions.REGIONS[1], "name": "japan_east", "minlongitude": 148, "maxlongitude": 160}]
-    return regions.overlaps(regions.as_table(spark, boxes))
+    several = table(spark, sf_dir, "events").where("n_aftershocks_sequence > 0 or order_in_cluster > 0")
+    return boxes.overlapping(boxes.bounding(several, "cluster_id"), "cluster_id")
 
 
 # pairing
