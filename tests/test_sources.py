@@ -233,6 +233,21 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["compare", f"file://{tmp_path}/old", f"file://{tmp_path}/new"], spark) == 0 and "no difference" in capsys.readouterr().out
     assert cli.main(["compare", f"file://{tmp_path}/old", f"file://{tmp_path}/less"], spark) == 1
     assert cli.main(["scout", stored, "--first-year", "2016"], spark) == 0 and "start_year" in capsys.readouterr().out
+    delivered = spark.range(200).selectExpr("id as cluster_id", "timestamp_seconds(1483228800 + id * 86400 * 16) as mainshock_time", "id % 7 + rand(1) as mainshock_mag", "int(id % 7) as n_aftershocks", "if(id % 2 = 0, 'north', 'south') as region")
+    files.write_csv(delivered, f"file://{tmp_path}/sequences")
+    assert cli.main(["correlations", f"file://{tmp_path}/sequences", "--endtime", "2025-01-01", "--out", f"file://{tmp_path}/signal"], spark) == 0
+    signal = {r.region: r for r in spark.read.option("header", True).csv(f"file://{tmp_path}/signal").collect()}
+    assert set(signal) == {"all", "north", "south"} and float(signal["all"].pearson) > 0.9 and int(signal["all"].n) == 181
+    assert cli.main(["correlations", f"file://{tmp_path}/sequences"], spark) == 0 and "mainshock_mag" in capsys.readouterr().out
+
+
+def test_columns_that_differ_in_case_leave_settings_alone(spark, tmp_path):
+    before = spark.conf.get("spark.sql.caseSensitive")
+    files.write_csv(spark.range(3).selectExpr("id", "id + 1 as other").toDF("n_t", "n_T"), f"file://{tmp_path}/case", single=True)
+    assert spark.conf.get("spark.sql.caseSensitive") == before
+    (name,) = [f for f in os.listdir(tmp_path / "case") if f.endswith(".csv")]
+    assert (tmp_path / "case" / name).read_text() == "n_t,n_T\n0,1\n1,2\n2,3\n"
+    assert not [t for t in spark.catalog.listTables("global_temp") if t.name.startswith("delivery_")]
 
 
 def test_comparison_by_row_order(spark, tmp_path):

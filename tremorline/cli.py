@@ -1,4 +1,4 @@
-"""The command line: ``python -m tremorline.cli run|regions|scout|compare ...``."""
+"""The command line: ``python -m tremorline.cli run|regions|scout|compare|correlations ...``."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import model
-from .operators import quality, regions, scouting, silver
+from .operators import features, quality, regions, scouting, silver
 from .plans import pipeline
 from .sources import files
 
@@ -44,6 +45,11 @@ def parser() -> argparse.ArgumentParser:
     old.add_argument("old")
     old.add_argument("new")
     old.add_argument("--tolerance", type=float, default=1e-9)
+    signal = commands.add_parser("correlations", help="of the features of delivered sequences with their number of aftershocks")
+    signal.add_argument("delivery", help="a table of sequences as it was delivered")
+    signal.add_argument("--endtime", default=model.RunParams.endtime, help="end of the catalog; sequences whose window isn't over are left out")
+    signal.add_argument("--days", type=float, default=model.HORIZON_DAYS)
+    signal.add_argument("--out", help="folder to write the table to; without it the table is shown")
     return out
 
 
@@ -63,6 +69,15 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         differences = quality.compare(_delivered(spark, args.old), _delivered(spark, args.new), tolerance=args.tolerance)
         print("\n".join(differences) or "no difference")
         return int(bool(differences))
+    if args.command == "correlations":
+        table = features.uncensored(_delivered(spark, args.delivery).withColumn("mainshock_time", F.to_timestamp("mainshock_time")), args.endtime, args.days)
+        whole = features.correlations(table).select(F.lit("all").alias("region"), "*")
+        out = whole.unionByName(features.correlations(table, by=("region",))) if "region" in table.columns else whole
+        if args.out:
+            files.write_csv(out.orderBy("region", "feature"), args.out, single=True)
+        else:
+            out.orderBy("region", "feature").show(1000, truncate=False)
+        return 0
     if args.command == "scout":
         catalog = silver.refine(files.read_bronze(spark, *args.raw))
         for table in (scouting.blocks_mc(catalog, args.first_year, args.years), scouting.density_strips(catalog), scouting.mega_events(catalog, args.magnitude)):

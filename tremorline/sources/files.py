@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +41,22 @@ SINGLE_ROWS = 500_000
 
 
 def write_csv(table: DataFrame, path: str, single: bool = False) -> None:
-    """A folder of comma-separated parts; with ``single`` one part if the rows, which are counted, are few enough."""
-    text, conf = as_text(table), table.sparkSession.conf
+    """A folder of comma-separated parts; with ``single`` one part if the rows, which are counted, are few enough.
+
+    Published columns may differ in case alone, which a session of its own tells apart; the
+    caller's settings stay as they are.
+    """
+    text = as_text(table)
     single = single and table.count() <= SINGLE_ROWS
-    before = conf.get("spark.sql.caseSensitive")
+    own = table.sparkSession.newSession()
+    own.conf.set("spark.sql.caseSensitive", "true")
+    name = f"delivery_{uuid.uuid4().hex}"
+    text.toDF(*(f"c{i}" for i in range(len(text.columns)))).createGlobalTempView(name)
     try:
-        conf.set("spark.sql.caseSensitive", "true")
-        (text.coalesce(1) if single else text).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+        named = own.table(f"global_temp.{name}").toDF(*text.columns)
+        (named.coalesce(1) if single else named).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
     finally:
-        conf.set("spark.sql.caseSensitive", before)
+        own.catalog.dropGlobalTempView(name)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
