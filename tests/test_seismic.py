@@ -178,6 +178,20 @@ def test_shuffles_keep_marginals(spark):
         nulls.shuffle_marginals(df, 0)
 
 
+def test_permutations_are_one_to_one_and_without_a_sort(spark):
+    sizes = [1, 2, 3, 5, 6, 7, 12, 50, 99, 1000, 4097]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    made = rows.select("n", "place", *(stats.permuted(F.col("place"), F.col("n"), F.lit(seed), 1).alias(f"p{seed}") for seed in (3, 4))).toPandas()
+    for n, own in made.groupby("n"):
+        for p in ("p3", "p4"):
+            assert sorted(own[p]) == list(range(1, n + 1)), (n, p)
+        if n >= 50:
+            assert (own["p3"] != own["p4"]).mean() > 0.9 and abs(own["p3"].corr(own["place"])) < 4 / n**0.5
+    df, _ = random_catalog(spark, 60, 2)
+    plan = nulls.shuffle_marginals(silver.with_order(df), 2, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+
+
 def test_uniforms(spark):
     n = 20000
     df = spark.range(1, n + 1).repartition(5)

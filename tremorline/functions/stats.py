@@ -55,6 +55,44 @@ def portable_integer(ord_: Column, seed, salt: int) -> Column:
     return x
 
 
+def scrambled(x: Column) -> Column:
+    """Two steps of the generator: 0 to 2**31 - 1 from a whole number."""
+    x = F.pmod(x, F.lit(MODULUS).cast("long"))
+    for _ in range(2):
+        x = F.pmod(F.shiftright(x * x, MIDDLE) + x * FACTOR + STEP, F.lit(MODULUS).cast("long"))
+    return x
+
+
+#: Rounds of a permutation, and how often a place outside is sent on.
+FEISTEL, WALK = 6, 64
+
+
+def permuted(place: Column, n: Column, seed: Column, salt: int) -> Column:
+    """The place, from 1 to n, that a keyed permutation of these numbers gives to a place.
+
+    A Feistel network over a rectangle of a x b numbers, with a the root of n rounded up: each
+    round shifts one coordinate by a hash of the other, which can be undone.  Under a
+    of the numbers lie beyond n; a place that is sent there is sent on until it is inside, so the
+    numbers up to n are permuted among themselves.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+    key = F.pmod(seed.cast("long") * 104729 + F.lit(salt * 15485863), F.lit(MODULUS).cast("long"))
+
+    def once(x: Column) -> Column:
+        def turn(x: Column, i: Column) -> Column:
+            low = F.pmod(x, b)
+            high = ((x - low) / b).cast("long")
+            first = F.pmod(high + scrambled(low * 7919 + key + i * 1000003), a) * b + low
+            second = high * b + F.pmod(low + scrambled(high * 7919 + key + i * 1000003), b)
+            return F.when(i % 2 == 0, first).otherwise(second)
+
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(FEISTEL - 1).cast("long")), x, turn)
+
+    inside = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(place.cast("long") - 1), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(inside < n, inside + 1).otherwise(F.raise_error(F.lit("a place stayed outside the permutation")).cast("long"))
+
+
 def portable_uniform(ord_: Column, seed, salt: int) -> Column:
     return portable_integer(ord_, seed, salt) / F.lit(float(MODULUS))
 

@@ -13,7 +13,7 @@ from .. import model
 from ..functions import stats
 from . import mixture as mix
 from .neighbors import nearest_neighbor
-from .ordering import numbered, quantiles
+from .ordering import quantiles
 from .silver import with_order
 
 log = logging.getLogger(__name__)
@@ -25,9 +25,9 @@ NUMPY_EVENTS = 5_000_000
 def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng: str = "portable", by: tuple = ()) -> DataFrame:
     """Every repetition's catalog with times and magnitudes permuted, each by itself; epicentres stay.
 
-    (repetition, id, time, latitude, longitude, mag, ...).  ``portable`` orders the rows
-    by whole-number hashes of their place, which other engines can repeat; ``numpy``
-    takes numpy's permutations from one stream for all repetitions.
+    (repetition, id, time, latitude, longitude, mag, ...).  ``portable`` permutes places by a
+    keyed Feistel network in whole numbers, which other engines can repeat, so nothing is
+    sorted; ``numpy`` takes numpy's permutations from one stream for all repetitions.
     """
     if repetitions < 1:
         raise ValueError("at least one repetition is needed")
@@ -39,11 +39,12 @@ def shuffle_marginals(catalog: DataFrame, repetitions: int, seed: int = 0, rng:
     if rng == "portable":
         from ..storage import written
 
-        each = own.withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
+        sizes = own.groupBy(*by).agg(F.count("*").alias("_n"))
+        each = mix.joined(own, sizes, by).withColumn("repetition", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1))))
         seeds = F.lit(int(seed)) + F.col("repetition") * 1000003
-        drawn = written(each.withColumns({"_a": stats.portable_integer(F.col("ord"), seeds, 1), "_b": stats.portable_integer(F.col("ord"), seeds, 2)}), "shuffled")
-        times = numbered(drawn.select(*within, "_a", F.col("ord").alias("_was"), F.col("time").alias("_time")), ("_a", "_was"), within).drop("_a", "_was")
-        mags = numbered(drawn.select(*within, "_b", F.col("ord").alias("_was"), F.col("mag").alias("_mag")), ("_b", "_was"), within).drop("_b", "_was")
+        drawn = written(each.withColumns({"_a": stats.permuted(F.col("ord"), F.col("_n"), seeds, 1), "_b": stats.permuted(F.col("ord"), F.col("_n"), seeds, 2)}).drop("_n"), "shuffled")
+        taken = lambda c, place: drawn.select(*within, "ord", place).join(own.select(*by, F.col("ord").alias(place), F.col(c).alias(f"_{c}")), [*by, place]).drop(place)
+        times, mags = taken("time", "_a"), taken("mag", "_b")
     elif rng == "numpy":
         from ..storage import written
 

@@ -153,10 +153,20 @@ RAW = f"""{CAT}, raw AS (
 ), clean AS (
   SELECT * FROM raw WHERE t_us IS NOT NULL AND latitude IS NOT NULL AND mag IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_us DESC NULLS FIRST) = 1)"""
-SHUFFLED = f"""{COMPLETE}, each AS (SELECT c.*, rep AS repetition FROM complete c CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS rep)),
-{lcg("da", "each", f"{SEED} + repetition * 1000003", 1)}, {lcg("db", "each", f"{SEED} + repetition * 1000003", 2)},
-times AS (SELECT repetition, row_number() OVER (PARTITION BY repetition ORDER BY u, ord) AS ord, t_us FROM da), mags AS (SELECT repetition, row_number() OVER (PARTITION BY repetition ORDER BY u, ord) AS ord, mag FROM db),
-shuffled AS (SELECT e.repetition, e.id, t.t_us, m.mag, e.latitude, e.longitude, e.ord AS place FROM each e JOIN times t ON e.repetition = t.repetition AND e.ord = t.ord JOIN mags m ON e.repetition = m.repetition AND e.ord = m.ord)"""
+def permuted(place: str, n: str, seed: str, salt: int) -> str:
+    """The place that the keyed permutation of 1 to n gives: six rounds on a rectangle, again while it is outside."""
+    a, key = f"CAST(ceil(sqrt(CAST({n} AS DOUBLE))) AS BIGINT)", f"((CAST({seed} AS BIGINT) * 104729 + {salt * 15485863}) % 2147483648)"
+    b = f"CAST(ceil({n} / {a}) AS BIGINT)"
+    step = lambda x: f"list_reduce([({x}) % 2147483648, 0, 0], lambda u, unused: ((u * u) // 32768 + u * 1103515245 + 12345) % 2147483648)"
+    turn = f"CASE WHEN i % 2 = 0 THEN ((x // {b} + {step(f'(x % {b}) * 7919 + {key} + i * 1000003')}) % {a}) * {b} + x % {b} ELSE (x // {b}) * {b} + (x % {b} + {step(f'(x // {b}) * 7919 + {key} + i * 1000003')}) % {b} END"
+    once = lambda x: f"list_reduce(list_prepend({x}, CAST(range(0, 6) AS BIGINT[])), lambda x, i: {turn})"
+    return f"list_reduce(list_prepend({once(f'CAST({place} AS BIGINT) - 1')}, CAST(range(0, 64) AS BIGINT[])), lambda y, unused: CASE WHEN y < {n} THEN y ELSE {once('y')} END) + 1"
+
+
+_SEEDS = f"{SEED} + repetition * 1000003"
+SHUFFLED = f"""{COMPLETE}, each AS (SELECT c.*, rep AS repetition, count(*) OVER (PARTITION BY rep) AS n FROM complete c CROSS JOIN (SELECT CAST(unnest([0, 1]) AS INT) AS rep)),
+places AS (SELECT *, {permuted("ord", "n", _SEEDS, 1)} AS a, {permuted("ord", "n", _SEEDS, 2)} AS b FROM each),
+shuffled AS (SELECT e.repetition, e.id, t.t_us, m.mag, e.latitude, e.longitude, e.ord AS place FROM places e JOIN complete t ON e.a = t.ord JOIN complete m ON e.b = m.ord)"""
 NULLS = f"""{SHUFFLED}, placed AS (SELECT *, row_number() OVER (PARTITION BY repetition ORDER BY t_us, id) AS ord FROM shuffled), {pairs(CAPPED, "placed", "repetition", "nulled")}"""
 
 
