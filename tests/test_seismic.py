@@ -5,6 +5,7 @@ import logging
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -489,7 +490,16 @@ def test_choice_follows_the_pairs(spark, monkeypatch):
     assert neighbors.grid_pairs(events, 500.0) < 3000 * 3000 / 5
 
 
-def test_exact_quantiles_by_ranges(spark):
+def test_exact_quantiles_of_many_and_of_equal_values(spark):
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=40_000), np.full(30_000, 0.25), -np.exp(rng.normal(0, 6, 20_000)), [1e300, -1e300]])
+    df = spark.createDataFrame(pa.table({"v": rng.permutation(x)}))
+    shares = (0.0, 0.001, 0.25, 0.5, 0.9, 1.0)
+    quantiles = ordering.quantiles(df, "v", shares, most=20)
+    assert np.allclose(list(quantiles.first()), np.quantile(x, shares), rtol=1e-12) and "rangepartitioning" not in quantiles._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_quantiles_by_sketches(spark):
     rng = np.random.default_rng(4)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 500), rng.normal(size=500).round(2))] + [(None, 1.0), (7, 2.5), (8, None)]
     df = spark.createDataFrame(rows, "g int, v double")

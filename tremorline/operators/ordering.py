@@ -34,25 +34,60 @@ def numbered(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = (), na
 
 #: Values up to which one task may hold a group's distinct values.
 TASK_VALUES = 1_000_000
+#: Cuts that a sketch gives, the values it keeps, and passes at most; each leaves a fiftieth of what it looks at.
+CUTS, SKETCH, PASSES = 256, 3200, 24
 
 
 def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = (), most: int = TASK_VALUES) -> DataFrame:
     """(by, q0, q1, ...): exact quantiles with linear interpolation, nulls left out; without values they are null.
 
     Up to ``most`` values go through Spark's aggregate, which gathers a group's values in
-    one task.  More are numbered by ranges, and only the two places next to each quantile
-    are looked up.
+    one task.  For more, a mergeable sketch of the values brackets each of the two places that a
+    quantile lies between, one pass counts what is below and inside the bracket, and what is inside is
+    narrowed in the same way until it is a single value or few enough to be looked at.
     """
     own = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     if own.count() <= most:
         return own.groupBy(*by).agg(*(F.percentile("_v", q).alias(f"q{i}") for i, q in enumerate(shares)))
-    placed = numbered(own, ("_v",), by, "_place")
-    sizes = placed.groupBy(*by).agg(F.max("_place").alias("_n"))
+    sizes = own.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     rank = [F.lit(float(q)) * (F.col("_n") - 1) for q in shares]
-    ends = [F.struct(F.lit(i).alias("i"), (F.floor(r) + up + 1).alias("_place"), (F.lit(1.0) - r + F.floor(r) if not up else r - F.floor(r)).alias("share")) for i, r in enumerate(rank) for up in (0, 1)]
-    wanted = sizes.select(*by, F.explode(F.array(*ends)).alias("e")).select(*(F.col(c).alias(f"_by {c}") for c in by), "e.i", F.col("e._place").alias("_at"), "e.share").where("share > 0")
-    same = F.col("_place") == F.col("_at")
+    ends = [F.struct(F.lit(i).alias("_i"), (F.floor(r) + up + 1).alias("_place"), (F.lit(1.0) - r + F.floor(r) if not up else r - F.floor(r)).alias("_share")) for i, r in enumerate(rank) for up in (0, 1)]
+    wanted = sizes.select(*by, F.explode(F.array(*ends)).alias("_e"), "_lo", "_hi").select(*by, "_e.*", "_lo", "_hi").where("_share > 0")
+    found = _values_at(own, written(wanted.withColumn("_below", F.lit(0).cast("long")), "quantile-places"), by, max(most, 16))
+    return found.groupBy(*by).agg(*(F.sum(F.when(F.col("_i") == i, F.col("_v") * F.col("_share"))).alias(f"q{i}") for i in range(len(shares))))
+
+
+def _met(own: DataFrame, brackets: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """The values inside each bracket; brackets are two rows a group and quantile, so with groups Spark decides by their size."""
+    inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by {c}"))
-    met = placed.join(F.broadcast(wanted) if not by else wanted, same)  # without groups: two rows a quantile
-    return met.groupBy(*by).agg(*(F.sum(F.when(F.col("i") == i, F.col("_v") * F.col("share"))).alias(f"q{i}") for i in range(len(shares))))
+        inside = inside & F.col(c).eqNullSafe(F.col(f"_by {c}"))
+    named = brackets.withColumnsRenamed({c: f"_by {c}" for c in by})
+    return own.join(named if by else F.broadcast(named), inside).drop(*by).withColumnsRenamed({f"_by {c}": c for c in by})
+
+
+def _values_at(own: DataFrame, brackets: DataFrame, by: tuple[str, ...], most: int) -> DataFrame:
+    """(by, _i, _share, _v): the values at the brackets' places, counted from those ``_below`` the bracket."""
+    what = [*by, "_i", "_place", "_share", "_below", "_lo", "_hi"]
+    done = None
+    for _ in range(PASSES):
+        inside = _met(own, brackets, by)
+        sketch = F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("_v", F.lit(SKETCH)), F.array(*(F.lit(i / CUTS) for i in range(CUTS + 1))))
+        cuts = written(inside.groupBy(*what).agg(F.count("*").alias("_m"), sketch.alias("_cuts")), "quantile-cuts")
+        few = cuts.where((F.col("_lo") == F.col("_hi")) | (F.col("_m") <= most))
+        picked = _met(own, few.where("_lo < _hi").select(what), by).groupBy(*what).agg(F.sort_array(F.collect_list("_v")).alias("_all"))
+        ready = few.where("_lo = _hi").select(*by, "_i", "_share", F.col("_lo").alias("_v")).unionByName(picked.select(*by, "_i", "_share", F.element_at("_all", (F.col("_place") - F.col("_below")).cast("int")).alias("_v")))
+        done = ready if done is None else done.unionByName(ready)
+        rest = cuts.where((F.col("_lo") < F.col("_hi")) & (F.col("_m") > most))
+        if rest.isEmpty():
+            return done
+        # the sketch's own error is far below a cut; what it says is checked by counting
+        at = (F.col("_place") - F.col("_below")) / F.col("_m") * CUTS
+        low = F.element_at("_cuts", F.greatest(F.lit(1), F.floor(at)).cast("int"))
+        high = F.element_at("_cuts", F.least(F.lit(CUTS + 1), F.ceil(at) + 3).cast("int"))
+        tried = rest.select(*what, F.greatest("_lo", low).alias("_low"), F.least("_hi", high).alias("_high"))
+        counted = _met(own, tried, by).groupBy(*what, "_low", "_high").agg(F.count_if(F.col("_v") < F.col("_low")).alias("_under"), F.count_if(F.col("_v") <= F.col("_high")).alias("_upto"))
+        left = F.col("_place") - F.col("_below")
+        low_holds, high_holds = F.col("_under") < left, F.col("_upto") >= left
+        brackets = written(counted.select(*by, "_i", "_place", "_share", (F.col("_below") + F.when(low_holds, F.col("_under")).otherwise(0)).alias("_below"), F.when(low_holds, F.col("_low")).otherwise(F.col("_lo")).alias("_lo"), F.when(high_holds, F.col("_high")).otherwise(F.col("_hi")).alias("_hi")), "quantile-places")
+    raise RuntimeError("the brackets of the quantiles don't narrow")
