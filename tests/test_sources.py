@@ -309,6 +309,9 @@ def test_stream(spark, tmp_path):
         landing.keep_silver(stream, root, f"file://{tmp_path}/checkpoint").awaitTermination()
     key = lambda df: sorted((r.id, r.mag, r.net) for r in df.collect())
     assert key(landing.read_silver(spark, root)) == key(silver.refine(rows))
+    sizes = {p.name: sum(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in (tmp_path / "silver").glob("batch=*")}
+    landing.keep_silver(landing.raw_stream(spark, f"file://{land}", rows.columns, 1), root, f"file://{tmp_path}/checkpoint").awaitTermination()
+    assert sizes == {p.name: sum(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in (tmp_path / "silver").glob("batch=*")} and len(sizes) == 3
 
 
 def test_entry(spark):

@@ -1,13 +1,14 @@
-"""Raw catalog files as a stream: each batch is cleaned and merged into the silver table.
+"""Raw catalog files as a stream: each batch is cleaned and kept as a partition of its own.
 
-The batch operators do the work; the stream only says which files are new.  A batch
-that is repeated after a failure gives the same table, as the latest version of an
-event wins whatever the order of arrival.
+The batch operators do the work; the stream only says which files are new.  A batch writes what is
+new and nothing else; the latest version of each event is found when the table is read.
+A batch that is repeated after a failure replaces its own partition with the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import silver
@@ -19,37 +20,17 @@ def raw_stream(spark: SparkSession, folder: str, columns: list[str], files_per_b
     return spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(folder)
 
 
-def merge(current: DataFrame | None, raw: DataFrame) -> DataFrame:
-    """The silver table with a batch of raw rows taken in."""
-    fresh = silver.refine(raw)
-    return fresh if current is None else silver.latest(current.unionByName(fresh, allowMissingColumns=True))
-
-
 def keep_silver(stream: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keeps versions of the silver table below root, one for each batch; the last whole one is current."""
+    """Keeps the cleaned rows of each batch below root, in ``batch=N``."""
 
     def take(batch: DataFrame, number: int) -> None:
-        before = current_version(batch.sparkSession, root, number)
-        known = batch.sparkSession.read.parquet(f"{root}/version={before:012d}") if before is not None else None
-        merge(known, batch).write.mode("overwrite").parquet(f"{root}/version={number:012d}")
+        fresh = silver.refine(batch).withColumn("batch", F.lit(number).cast("long"))
+        fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(root)
 
     writer = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def current_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
-    """The last version that was written whole (before a batch number, if given)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    whole = [int(p.getName()[8:]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return max((v for v in whole if below is None or v < below), default=None)
-
-
 def read_silver(spark: SparkSession, root: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
-        raise ValueError(f"no silver table below {root}")
-    return spark.read.parquet(f"{root}/version={version:012d}")
+    """The latest version of each event of all batches."""
+    return silver.latest(spark.read.option("mergeSchema", True).parquet(root).drop("batch"))
