@@ -58,15 +58,35 @@ def test_blocks_find_all_within_radius():
     rnd = random.Random(3)
     index = D.Items([(i, " ".join(str(rnd.random()) for _ in range(9 + i % 2))) for i in range(50)])
     for _ in range(300):
-        f = int(index.prints[rnd.randrange(50)])
-        for b in rnd.sample(range(64), rnd.randint(0, 24)):
-            f ^= 1 << b
+        f = index.prints[rnd.randrange(50)].copy()
+        for b in rnd.sample(range(256), rnd.randint(0, 64)):
+            f[b // 64] ^= np.uint64(1 << b % 64)
         for g in (0, 1):
-            at, item = index.near(np.array([f, 0], dtype=np.uint64), np.array([g, g]))
-            want = {n for n, p in enumerate(index.prints.tolist()) if (p ^ f).bit_count() <= 20 and index.group[n] == g}
+            at, item = index.near(np.array([f, f ^ f]), np.array([g, g]))
+            want = {n for n, p in enumerate(index.prints) if int(np.bitwise_count(p ^ f).sum()) <= 56 and index.group[n] == g}
             assert set(item[at == 0].tolist()) == want
 
 
+def test_index_is_selective_and_made_once():
+    rnd = random.Random(5)
+    index = D.Items([(i or None, " ".join(str(rnd.random()) for _ in range(20))) for i in range(2000)])
+    prints = np.random.default_rng(1).integers(0, 1 << 64, (200, 4), dtype=np.uint64)
+    at, _ = index.drawn(prints, np.zeros(200, dtype=np.int64))
+    assert 0 < len(at) <= 0.2 * 200 * 2000
+    again = D.Items.unpacked(index.packed(), index.radius, index.least)
+    assert again.items == index.items and again.vocabulary == index.vocabulary
+    assert all(np.array_equal(x, y) for x, y in zip(again.drawn(prints, np.zeros(200, dtype=np.int64)), index.drawn(prints, np.zeros(200, dtype=np.int64)), strict=True))
+    assert sum(x.nbytes for n, x in index.arrays.items() if n.rstrip("0123456789") in ("keys", "first", "items")) < 2000 * 6000
+
+
+class Every(D.Items):
+    """Compares a window with every item of its size."""
+
+    def near(self, prints, groups):
+        at, item = np.nonzero(groups[:, None] == self.group[None, :])
+        return at, item
+
+
 def edited(words, rnd, vocab):
     words = list(words)
     for _ in range(rnd.randint(0, max(1, len(words) // 40))):
@@ -82,7 +102,7 @@ def test_recall_of_the_fingerprints():
     items = [(i, " ".join(say(rnd.randint(20, 200)))) for i in range(60)]
     docs = [(d, " ".join([*say(rnd.randint(0, 40)), *edited(rnd.choice(items)[1].split(), rnd, vocab), *say(rnd.randint(0, 40))])) for d in range(400)]
     index = D.Items(items)
-    every = D.Items(items, radius=64)  # every item of the window's size
+    every = Every(items)
     found = {(d, n) for d, t in docs for n, *_ in index.matches(t)}
     want = {(d, n) for d, t in docs for n, *_ in every.matches(t)}
     assert found <= want and len(want) > 300 and len(found) >= 0.99 * len(want)
@@ -123,7 +143,7 @@ def test_many_files_and_extra_columns(spark, monkeypatch):
     docs, items = planted(5)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
-    monkeypatch.setattr(D, "item_files", lambda b, files=D.item_files: files(b, 800, 3))
+    monkeypatch.setattr(D, "item_files", lambda b, files=D.item_files, **kept: files(b, 800, 3, **kept))
     assert len(D.item_files(bench)) > D.KEPT
     want = brute(docs, items)
     assert {(r.doc_id, r.item_id) for r in D.contaminations(df, bench).collect()} == want

@@ -8,19 +8,21 @@ of the smaller multiplicities of the five-word shingles over the sum of the larg
   with every item must be too small gets no fingerprint: of its a shingles and an item's
   b, at least (a + b) * 0.8 / 1.8 have to be shingles of the benchmark.  That bound is
   exact and doesn't say which item is meant.
-* The other windows get SimHash fingerprints from rolling counts of bits.
+* The other windows get SimHash fingerprints of 256 bits from rolling counts of bits.
 * Which items a window is compared with comes from the fingerprints alone: the items of
-  the window's size are indexed by ``BLOCKS`` blocks of bits, each under all values that
-  differ in at most radius // BLOCKS bits.  Two fingerprints within the radius agree that
-  far on a block, so one look at each block finds every item within the radius.
+  the window's size are indexed by ``BLOCKS`` blocks of bits.  Two fingerprints within the
+  radius differ in at most radius // BLOCKS bits of some block; half of these flips are
+  tried when the index is made, the others when it is asked, so every item within the
+  radius is found.  A window draws about a sixth of the items of its size from the index.
 * The exact similarity decides.
 
-The radius (20 of 64 bits) is three standard deviations beyond the mean distance at
-similarity 0.8; SimHash can't guarantee more.
+The radius (56 of 256 bits) is three standard deviations beyond the mean distance at
+similarity 0.8; SimHash can't guarantee more.  The mean is higher only where a document
+of eight words has four of an item's five shingles: 91 % of those are within the radius.
 
-The items are written to the shared folder in files of bounded size.  Workers read them
-there, one after the other, and keep the last ones between tasks; the documents are read
-once, nothing is broadcast or shuffled and no text passes the driver.
+A job makes the indexes, one to a file of bounded size in the shared folder, so each is
+made once.  Workers read them there, one after the other, and keep the last ones between
+tasks; the documents are read once, nothing is broadcast and no text passes the driver.
 
 Words are runs of letters, digits and underscores, lower-cased.  Defined results:
 items without words (null, empty) match nothing; an item of fewer than five words is
@@ -33,6 +35,7 @@ stretches of ``PIECE`` words; columns of any name are kept by ``clean``.
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -50,15 +53,17 @@ from . import shared
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 20
-#: Blocks of a fingerprint's bits.
-BLOCKS = 6
-#: Bytes and items of the benchmark in one file, about; an indexed item takes 11 kB.
+#: Bits of a fingerprint, and how many may differ.
+BITS, RADIUS = 256, 56
+#: Blocks of a fingerprint's bits, 13 or 14 bits each.
+BLOCKS = 19
+CUTS = [BITS * k // BLOCKS for k in range(BLOCKS + 1)]
+#: Bytes and items of the benchmark in one file, about; an item takes 2.2 kB of the index.
 BLOCK_BYTES, BLOCK_ITEMS = 4 << 20, 10_000
 #: Files whose items a worker keeps, and bytes of documents that it takes at once if there are more.
-KEPT, CHUNK_BYTES = 2, 32 << 20
-#: Windows that are laid at once.
-PIECE = 1 << 14
+KEPT, CHUNK_BYTES = 4, 32 << 20
+#: Windows that are laid at once, and those that ask the index at once.
+PIECE, ASKED = 1 << 13, 1 << 12
 WORD = re.compile(r"\w+")
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,12 +89,29 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def simhash(shingles: np.ndarray) -> int:
-    """A bit is set if it is set in over half the shingles, counted with multiplicity."""
-    if not len(shingles):
-        return 0
-    bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles), bitorder="little").view("<u8")[0])
+def lane(shingles: np.ndarray, k: int) -> np.ndarray:
+    """Bits 64 k to 64 k + 63 of the shingles, a row of 64 for each."""
+    x = (shingles ^ np.uint64((k + 1) * int(ODD) % (1 << 64))) * ODD
+    x = (x ^ (x >> np.uint64(32))) * ODD
+    x ^= x >> np.uint64(29)
+    return np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of 64 bits as numbers."""
+    return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def simhash(shingles: np.ndarray) -> np.ndarray:
+    """A bit is set if it is set in over half the shingles, counted with multiplicity; BITS / 64 numbers."""
+    return np.concatenate([_packed((2 * lane(shingles, k).sum(axis=0, dtype=np.int64) > len(shingles))[None, :]) for k in range(BITS // 64)])
+
+
+def _values(prints: np.ndarray) -> Iterator[np.ndarray]:
+    """The value of each block of the fingerprints."""
+    bits = np.unpackbits(np.ascontiguousarray(prints, "<u8").view(np.uint8), axis=1, bitorder="little")
+    for first, end in zip(CUTS, CUTS[1:], strict=False):
+        yield np.packbits(bits[:, first:end], axis=1, bitorder="little").view("<u2").ravel().astype(np.int64)
 
 
 def similarity(a: Counter, b: Counter) -> float:
@@ -110,49 +132,93 @@ class Items:
     """
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int = WIDTH, radius: int = RADIUS, least: float = SIMILARITY):
-        self.radius, self.least = radius, least
         split = [(key, tokens) for key, tokens in ((k, words(t)) for k, t in items) if tokens]
-        self.items = [(key, len(tokens)) for key, tokens in split]
         vocabulary = sorted({w for _, tokens in split for w in tokens})
-        self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.hashes = np.concatenate([np.zeros(1, dtype=np.uint64), word_hashes(vocabulary)])
-        sizes = sorted({n for _, n in self.items})
-        self.sizes, of_size = np.array(sizes, dtype=np.int64), {n: g for g, n in enumerate(sizes)}
-        self.widths = np.minimum(self.sizes, width)
-        self.group = np.array([of_size[n] for _, n in self.items], dtype=np.int64)
-        self.shingles, self.counts, prints, known = [], [], [], defaultdict(list)
-        for _, tokens in split:
-            own = shingle_hashes(self.hashes[[self.vocabulary[w] for w in tokens]], min(width, len(tokens)))
-            prints.append(simhash(own))
-            unique, counts = np.unique(own, return_counts=True)
-            self.shingles.append(unique)
-            self.counts.append(counts)
-            known[min(width, len(tokens))].append(unique)
-        self.prints = np.array(prints, dtype=np.uint64)
-        self.known = {w: np.unique(np.concatenate(x)) for w, x in known.items()}
-        self.blocks = []  # of each: first bit, bits, sorted keys (group and value), the items of each key
-        cuts = np.linspace(0, 64, BLOCKS + 1).astype(int)
-        for first, end in zip(cuts, cuts[1:], strict=False):
-            bits = int(end - first)
-            value = (self.prints >> np.uint64(first)).astype(np.int64) & ((1 << bits) - 1)
-            close = _close_values(bits, radius // BLOCKS)
-            keys = ((self.group[:, None] << bits) | (value[:, None] ^ close[None, :])).ravel()
+        place = {w: i + 1 for i, w in enumerate(vocabulary)}
+        hashes = np.concatenate([np.zeros(1, dtype=np.uint64), word_hashes(vocabulary)])
+        lengths = np.array([len(tokens) for _, tokens in split], dtype=np.int64)
+        sizes, group = np.unique(lengths, return_inverse=True)
+        shingles, counts, prints = [], [], np.zeros((len(split), BITS // 64), dtype=np.uint64)
+        for n, (_, tokens) in enumerate(split):
+            own = shingle_hashes(hashes[[place[w] for w in tokens]], min(width, len(tokens)))
+            prints[n] = simhash(own)
+            for kept, values in zip((shingles, counts), np.unique(own, return_counts=True), strict=True):
+                kept.append(values)
+        arrays = {
+            "ids": np.array([key or 0 for key, _ in split], dtype=np.int64),
+            "named": np.array([key is not None for key, _ in split], dtype=bool),
+            "words": np.frombuffer("\n".join(vocabulary).encode("utf-8", "surrogatepass"), dtype=np.uint8),
+            "hashes": hashes,
+            "lengths": lengths,
+            "sizes": sizes,
+            "widths": np.minimum(sizes, width),
+            "group": group.astype(np.int64),
+            "ends": np.cumsum([len(x) for x in shingles], dtype=np.int64),
+            "shingles": np.concatenate([np.zeros(0, dtype=np.uint64), *shingles]),
+            "counts": np.concatenate([np.zeros(0, dtype=np.int64), *counts]).astype(np.int32),
+            "prints": prints,
+        }
+        for k, value in enumerate(_values(prints)):
+            bits = CUTS[k + 1] - CUTS[k]
+            close = _close_values(bits, radius // BLOCKS // 2)
+            keys = ((arrays["group"] << bits | value)[:, None] ^ close[None, :]).ravel()
             order = np.argsort(keys, kind="stable")
-            self.blocks.append((np.uint64(first), bits, keys[order].astype(np.int64 if len(sizes) << bits >= 1 << 31 else np.int32), (order // max(1, len(close))).astype(np.int32)))
+            arrays[f"keys{k}"], first = np.unique(keys[order], return_index=True)
+            arrays[f"first{k}"] = np.append(first, len(keys)).astype(np.int32)
+            arrays[f"items{k}"] = (order // len(close)).astype(np.int32)
+        self._hold(arrays, radius, least)
+
+    def _hold(self, arrays: dict[str, np.ndarray], radius: int, least: float) -> None:
+        self.arrays, self.radius, self.least = arrays, radius, least
+        self.items = [(key if named else None, n) for key, named, n in zip(arrays["ids"].tolist(), arrays["named"].tolist(), arrays["lengths"].tolist(), strict=True)]
+        self.vocabulary = {w: i + 1 for i, w in enumerate(arrays["words"].tobytes().decode("utf-8", "surrogatepass").split("\n"))} if self.items else {}
+        self.hashes, self.sizes, self.widths, self.group, self.prints = (arrays[x] for x in ("hashes", "sizes", "widths", "group", "prints"))
+        ends, known = arrays["ends"].tolist(), defaultdict(list)
+        self.shingles = [arrays["shingles"][a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        self.counts = [arrays["counts"][a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        for g, own in zip(self.group.tolist(), self.shingles, strict=True):
+            known[int(self.widths[g])].append(own)
+        self.known = {w: np.unique(np.concatenate(x)) for w, x in known.items()}
+        self.close = {bits: _close_values(bits, radius // BLOCKS - radius // BLOCKS // 2) for bits in {b - a for a, b in zip(CUTS, CUTS[1:], strict=False)}}
+
+    def packed(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.arrays)
+        return out.getvalue()
+
+    @classmethod
+    def unpacked(cls, data: bytes, radius: int, least: float) -> Items:
+        """The items of ``packed``; the index isn't made again."""
+        items = cls.__new__(cls)
+        with np.load(io.BytesIO(data)) as arrays:
+            items._hold(dict(arrays), radius, least)
+        return items
+
+    def drawn(self, prints: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, item): the items of the groups that agree on some block but for radius // BLOCKS bits."""
+        pairs = []
+        for k, value in enumerate(_values(prints)):
+            bits = CUTS[k + 1] - CUTS[k]
+            keys, first, items = (self.arrays[f"{x}{k}"] for x in ("keys", "first", "items"))
+            close = self.close[bits]
+            asked = ((groups << bits | value)[:, None] ^ close[None, :]).ravel()
+            found = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+            hit = np.flatnonzero(keys[found] == asked)
+            lo, n = first[found[hit]], first[found[hit] + 1] - first[found[hit]]
+            at = np.repeat(hit // len(close), n)
+            pairs.append(np.unique(at * len(self.items) + items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(at))]))
+        pairs = np.unique(np.concatenate(pairs))
+        return pairs // len(self.items), pairs % len(self.items)
 
     def near(self, prints: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place in prints, item): all items of the groups whose fingerprint is within the radius."""
-        found = []
-        for first, bits, keys, items in self.blocks:
-            value = ((groups << bits) | ((prints >> first).astype(np.int64) & ((1 << bits) - 1))).astype(keys.dtype)
-            lo = np.searchsorted(keys, value, "left")
-            n = np.searchsorted(keys, value, "right") - lo
-            at = np.repeat(np.arange(len(prints)), n)
-            found.append(at * len(self.items) + items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(len(at))])
-        pairs = np.unique(np.concatenate(found))
-        at, item = pairs // max(1, len(self.items)), pairs % max(1, len(self.items))
-        close = np.bitwise_count(prints[at] ^ self.prints[item]) <= self.radius
-        return at[close], item[close]
+        ats, items = [], []
+        for lo in range(0, len(prints), ASKED):
+            at, item = self.drawn(prints[lo : lo + ASKED], groups[lo : lo + ASKED])
+            close = np.bitwise_count(prints[lo + at] ^ self.prints[item]).sum(axis=1) <= self.radius
+            ats.append(lo + at[close])
+            items.append(item[close])
+        return np.concatenate(ats), np.concatenate(items)
 
     def similarity(self, shingles: np.ndarray, item: int) -> float:
         """Weighted Jaccard similarity of a window's shingles with an item's."""
@@ -216,20 +282,21 @@ class Items:
     def _compare(self, tokens: list[str], lo: int, width: int, laid: list[tuple[int, int, int, np.ndarray]], best: dict[int, tuple[float, int, int, int]]) -> None:
         """Fingerprints of the windows laid, (group, words, shingles, first words), and their items."""
         shingles = shingle_hashes(word_hashes(tokens), width)
-        bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        rolling = np.zeros((len(shingles) + 1, 64), dtype=np.int32)
-        np.cumsum(bits, axis=0, out=rolling[1:])
-        prints = [np.packbits(2 * (rolling[at - lo + a] - rolling[at - lo]) > a, axis=1, bitorder="little").view("<u8").ravel() for _, _, a, at in laid]
         counts = [len(at) for *_, at in laid]
-        window, item = self.near(np.concatenate(prints), np.repeat([g for g, *_ in laid], counts))
-        prints, firsts = np.concatenate(prints), np.concatenate([at for *_, at in laid])
+        prints = np.empty((sum(counts), BITS // 64), dtype=np.uint64)
+        rolling = np.zeros((len(shingles) + 1, 64), dtype=np.int32)
+        for k in range(BITS // 64):
+            np.cumsum(lane(shingles, k), axis=0, out=rolling[1:])
+            prints[:, k] = np.concatenate([_packed(2 * (rolling[at - lo + a] - rolling[at - lo]) > a) for _, _, a, at in laid])
+        window, item = self.near(prints, np.repeat([g for g, *_ in laid], counts))
+        firsts = np.concatenate([at for *_, at in laid])
         of = np.repeat(np.arange(len(laid)), counts)
         for w, i in zip(window.tolist(), item.tolist(), strict=True):
             _, n, a, _ = laid[of[w]]
             first = int(firsts[w])
             s = self.similarity(shingles[first - lo : first - lo + a], i)
             if s >= self.least and (i not in best or (s, -first) > (best[i][0], -best[i][1])):
-                best[i] = (s, first, n, int(prints[w] ^ self.prints[i]).bit_count())
+                best[i] = (s, first, n, int(np.bitwise_count(prints[w] ^ self.prints[i]).sum()))
 
 
 def _at(hashes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
@@ -241,28 +308,34 @@ def _at(hashes: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def item_files(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES, most_items: int = BLOCK_ITEMS) -> list[str]:
-    """Writes the items below the shared folder, about so many to a file; no text passes the driver."""
+def item_files(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES, most_items: int = BLOCK_ITEMS, width: int = WIDTH, radius: int = RADIUS) -> list[str]:
+    """Writes the items' indexes below the shared folder, about so many items to a file; no text passes the driver."""
     spark = benchmark.sparkSession
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     sums = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
     if not sums.n:
         return []
+
+    def run(batches):
+        items = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        if items:
+            yield pa.RecordBatch.from_arrays([pa.array([Items(items, width, radius).packed()], pa.binary())], names=["index"])
+
     path = shared.scratch(spark, "benchmark")
-    own.repartition(max(1, -(-sums.b // most_bytes), -(-sums.n // most_items))).write.parquet(path)
-    return sorted(spark.read.schema(own.schema).parquet(path).inputFiles())
+    own.repartition(max(1, -(-sums.b // most_bytes), -(-sums.n // most_items))).mapInArrow(run, "index binary").write.parquet(path)
+    return sorted(spark.read.schema("index binary").parquet(path).inputFiles())
 
 
 @lru_cache(maxsize=KEPT)
-def items_of(file: str, width: int, radius: int, least: float) -> Items:
+def items_of(file: str, radius: int, least: float) -> Items:
     """The items of one file; a worker keeps the last ones."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(file)
     with store.open_input_file(path) as source:
-        table = pq.read_table(source, columns=["item_id", "text"])
-    return Items(list(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)), width, radius, least)
+        rows = pq.read_table(source, columns=["index"]).column(0)
+    return Items.unpacked(rows[0].as_py(), radius, least) if len(rows) else Items([], radius=radius, least=least)
 
 
 def _chunks(batches, files: list[str], at: int):
@@ -286,14 +359,14 @@ MATCH = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()),
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, first_word, n_words, similarity, differing_bits): each item's best window in each document."""
-    files = item_files(benchmark)
+    files = item_files(benchmark, width=width, radius=radius)
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
 
     def run(batches):
         for batch in _chunks(batches, files, 1):
             rows = []
             for file in files:
-                items = items_of(file, width, radius, least)
+                items = items_of(file, radius, least)
                 rows += [(key, items.items[n][0], first, size, s, bits) for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for n, first, size, s, bits in items.matches(text.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, types, strict=True)], names=MATCH.names)
 
@@ -302,12 +375,12 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, le
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents that no item contaminates, with their columns."""
-    files, at = item_files(benchmark), docs.columns.index(text)
+    files, at = item_files(benchmark, width=width, radius=radius), docs.columns.index(text)
 
     def run(batches):
         for batch in _chunks(batches, files, at):
             for file in files:
-                items = items_of(file, width, radius, least)
+                items = items_of(file, radius, least)
                 batch = batch.filter(pa.array([next(items.matches(t.as_py()), None) is None for t in batch.column(at)], pa.bool_()))
             yield batch
 
