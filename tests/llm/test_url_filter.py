@@ -92,6 +92,26 @@ def test_joined_as_broadcast(spark, monkeypatch):
     assert got(spark, data) == want == brute(data)
 
 
+def test_contexts_in_every_url(spark, monkeypatch):
+    data = [(i, u and u.replace("://", "://www.same.", 1)) for i, u in rows(200, 5)]
+    want = got(spark, data)
+    monkeypatch.setattr(U, "MOST_BROADCAST", 0)
+    for share in (60, 1):  # some contexts are frequent; none is
+        monkeypatch.setattr(U, "HOT_SHARE", share)
+        assert got(spark, data) == want == brute(data)
+
+
+def test_frequent_contexts_are_few(spark, monkeypatch):
+    monkeypatch.setattr(U, "HOT_SHARE", 60)
+    urls = spark.createDataFrame([(f"http://www.same.org/{i * i}",) for i in range(500)], "url string").select(U.symbols(F.col("url")).alias("s"))
+    counts = U._grams(urls).groupBy("g").agg(F.count("*").alias("places"))
+    hot = {r.g for r in U.frequent(counts).collect()}
+    places = {r.g: r.places for r in counts.collect()}
+    assert 0 < len(hot) <= 60 and ".same" in hot
+    assert hot == {g for g, n in places.items() if n * 60 >= sum(places.values())}
+    assert U.frequent(counts.limit(0)).count() == 0
+
+
 def test_contexts_grow_with_the_corpus(spark):
     def size(n):
         df = spark.createDataFrame([(f"http://x{i * 7919 % 10007}.org/é{i}%2F{i * 31}", i % 2) for i in range(n)], "url string, label int")

@@ -13,7 +13,9 @@ answers.  The models that judge are then fitted on all labelled URLs.
 
 Characters count as they are, but for A-Z, so contexts are rows of a table that grows
 with the corpus.  URLs meet it by a join; it is broadcast only if its rows, which are
-counted, are few.  DataFrame code only.
+counted, are few.  If they are many, only the contexts that hold at least one of
+``HOT_SHARE`` places are broadcast, which can't be more than ``HOT_SHARE``; the others,
+none of which is frequent then, are joined by shuffle.  DataFrame code only.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path and
 no rule; a null URL has the score 0, so its verdict depends on the threshold's sign;
@@ -40,6 +42,8 @@ ALPHABET = 256
 PIECE = 512
 #: Rows of a model's table that are broadcast at most (about 60 bytes each).
 MOST_BROADCAST = 250_000
+#: A context with one of so many places is broadcast in any case.
+HOT_SHARE = 50_000
 #: What stands before and after a URL.
 BEFORE, AFTER = "\x02", "\x03"
 #: Scores are calibrated in steps of a hundredth between these bounds.
@@ -106,6 +110,21 @@ def models(counts: DataFrame) -> DataFrame:
     return level.select("g", (F.log("accepted_half") - F.log("rejected_half")).alias("half"), (F.log("accepted") - F.log("rejected")).alias("whole"))
 
 
+def frequent(counts: DataFrame) -> DataFrame:
+    """(g) of the contexts that hold at least one of HOT_SHARE places, so at most HOT_SHARE rows."""
+    places = counts.agg(F.coalesce(F.sum("places"), F.lit(0)).alias("n")).first().n
+    return counts.where(F.col("places") * HOT_SHARE >= places).select("g")
+
+
+def _ratios(grams: DataFrame, table: DataFrame, counts: DataFrame) -> DataFrame:
+    """The places with the logs of their contexts; every context of a URL is in the table."""
+    if table.count() <= MOST_BROADCAST:
+        return grams.join(F.broadcast(table), "g")
+    hot = F.broadcast(frequent(counts))
+    rare = grams.join(hot, "g", "left_anti").join(table.join(hot, "g", "left_anti").hint("merge"), "g")
+    return grams.join(F.broadcast(table.join(hot, "g", "left_semi")), "g").unionByName(rare)
+
+
 def scores(labelled: DataFrame) -> DataFrame:
     """(url, label, score) of distinct URLs, from (url, label): 1 accepted, 0 rejected, null neither.
 
@@ -115,14 +134,14 @@ def scores(labelled: DataFrame) -> DataFrame:
     urls = labelled.where("url is not null").distinct().select("url", "label", (F.substring(F.md5("url"), 1, 1) < "8").alias("fold"), symbols(F.col("url")).alias("s"))
     kinds = {"accepted": F.col("label") == 1, "rejected": F.col("label") == 0}
     flags = [F.coalesce(kinds[x.partition("_")[0]] & (F.col("fold") if x.endswith("half") else F.lit(True)), F.lit(False)).cast("long").alias(x) for x in SETS]
-    counts = _grams(urls.select("s", *flags), *SETS).groupBy("g").agg(*(F.sum(x).alias(x) for x in SETS))
-    table = shared.materialize(models(shared.materialize(counts, "url-counts")), "url-models")
-    table = F.broadcast(table) if table.count() <= MOST_BROADCAST else table
+    counts = shared.materialize(_grams(urls.select("s", *flags), *SETS).groupBy("g").agg(*(F.sum(x).alias(x) for x in SETS), F.count("*").alias("places")), "url-counts")
+    table = shared.materialize(models(counts), "url-models")
     # 96 bits of hashes stand for a URL in the join
     ids = [F.xxhash64("url").alias("h"), F.hash("url").alias("k")]
     judged = urls.where("label is null or not fold").select("url", "label", *ids, "s")
     ratio = F.when(F.col("calibrates"), F.col("half")).otherwise(F.col("whole"))
-    means = _grams(judged.withColumn("calibrates", F.col("label").isNotNull()), "h", "k", "calibrates").join(table, "g").groupBy("h", "k").agg(F.avg(ratio).alias("score"))
+    grams = _grams(judged.withColumn("calibrates", F.col("label").isNotNull()), "h", "k", "calibrates")
+    means = _ratios(grams, table, counts).groupBy("h", "k").agg(F.avg(ratio).alias("score"))
     return judged.drop("s").join(means, ["h", "k"]).select("url", "label", "score")
 
 
