@@ -83,9 +83,9 @@ def test_stages_keep_the_columns(spark, tables):
 
 def test_queries(spark, tables):
     where, rows, _ = tables
-    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 13))}
     frames = {n: q(spark, where) for n, q in queries.QUERIES.items()}
-    for n in ("op1_token_output", "op2_token_counts", "op4_simhash", "op5_bpe_codec", "op6_media_audio", "op7_line_dedup", "op9_toxicity"):
+    for n in ("op1_token_output", "op2_token_counts", "op4_simhash", "op5_bpe_codec", "op6_media_audio", "op7_line_dedup", "op9_toxicity", "op11_importance_resampling", "op12_sharding"):
         assert sorted(r.doc_id for r in frames[n].select("doc_id").collect()) == sorted(d for d, _ in rows), n
     prints = {r.doc_id: r.fingerprint for r in frames["op4_simhash"].collect()}
     assert all(prints[d] == f"{brute_print(t):016x}" for d, t in rows)
