@@ -51,3 +51,30 @@ def test_parts_are_bounded_and_children_visit_few(spark):
     for catalog in (df, df.withColumns({"latitude": F.lit(-30.0), "longitude": F.lit(-70.0)})):
         sizes = [r["count"] for r in slabs.parted(neighbors.prepare(catalog), (), most).groupBy("part").count().collect()]
         assert sum(sizes) == n and max(sizes) < 1.5 * most
+
+
+def test_permutations_are_arrays_in_tasks(spark):
+    """The numbers of the SQL, and no expression that Spark interprets a row at a time."""
+    from tremorline.functions import stats
+
+    rows = spark.range(1, 1001).select(F.col("id").alias("place"), F.lit(1000).cast("long").alias("n"))
+    made = rows.select(stats.permuted(F.col("place"), F.col("n"), F.lit(3), 1).alias("p"))
+    assert "aggregate(" not in made._jdf.queryExecution().toString()
+    a = b = 32
+
+    def once(x, key=(3 * 104729 + 15485863) % 2**31):
+        high, low = divmod(x, b)
+        for i in range(6):
+            y = ((low if i % 2 == 0 else high) * 7919 + key + i * 1000003) % 2**31
+            for _ in range(2):
+                y = ((y * y >> 15) + y * 1103515245 + 12345) % 2**31
+            high, low = ((high + y) % a, low) if i % 2 == 0 else (high, (low + y) % b)
+        return high * b + low
+
+    want = []
+    for x in range(1000):
+        x = once(x)
+        while x >= 1000:
+            x = once(x)
+        want.append(x + 1)
+    assert [r.p for r in made.collect()] == want and sorted(want) == list(range(1, 1001))

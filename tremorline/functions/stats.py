@@ -55,14 +55,6 @@ def portable_integer(ord_: Column, seed, salt: int) -> Column:
     return x
 
 
-def scrambled(x: Column) -> Column:
-    """Two steps of the generator: 0 to 2**31 - 1 from a whole number."""
-    x = F.pmod(x, F.lit(MODULUS).cast("long"))
-    for _ in range(2):
-        x = F.pmod(F.shiftright(x * x, MIDDLE) + x * FACTOR + STEP, F.lit(MODULUS).cast("long"))
-    return x
-
-
 #: Rounds of a permutation, and how often a place outside is sent on.
 FEISTEL, WALK = 6, 64
 
@@ -75,22 +67,35 @@ def permuted(place: Column, n: Column, seed: Column, salt: int) -> Column:
     of the numbers lie beyond n; a place that is sent there is sent on until it is inside, so the
     numbers up to n are permuted among themselves.
     """
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.ceil(n / a).cast("long")
     key = F.pmod(seed.cast("long") * 104729 + F.lit(salt * 15485863), F.lit(MODULUS).cast("long"))
 
-    def once(x: Column) -> Column:
-        def turn(x: Column, i: Column) -> Column:
-            low = F.pmod(x, b)
-            high = ((x - low) / b).cast("long")
-            first = F.pmod(high + scrambled(low * 7919 + key + i * 1000003), a) * b + low
-            second = high * b + F.pmod(low + scrambled(high * 7919 + key + i * 1000003), b)
-            return F.when(i % 2 == 0, first).otherwise(second)
-
-        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(FEISTEL - 1).cast("long")), x, turn)
-
-    inside = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(place.cast("long") - 1), lambda x, _: F.when(x < n, x).otherwise(once(x)))
-    return F.when(inside < n, inside + 1).otherwise(F.raise_error(F.lit("a place stayed outside the permutation")).cast("long"))
+    def hashed(x: np.ndarray) -> np.ndarray:
+        """Two steps of the generator: 0 to 2**31 - 1 from whole numbers."""
+        x = x % MODULUS
+        for _ in range(2):
+            x = ((x * x >> MIDDLE) + x * FACTOR + STEP) % MODULUS
+        return x
+
+    @F.pandas_udf("bigint")
+    def walked(places: pd.Series, sizes: pd.Series, keys: pd.Series) -> pd.Series:
+        x, n, k = (c.to_numpy(dtype=np.int64) for c in (places - 1, sizes, keys))
+        a = np.ceil(np.sqrt(n.astype(np.float64))).astype(np.int64)
+        b = np.ceil(n / a).astype(np.int64)
+        out, some = x.copy(), np.arange(len(x))  # those that aren't inside yet
+        for _ in range(WALK + 1):
+            high, low = np.divmod(out[some], b[some])
+            for i in range(FEISTEL):
+                if i % 2 == 0:
+                    high = (high + hashed(low * 7919 + k[some] + i * 1000003)) % a[some]
+                else:
+                    low = (low + hashed(high * 7919 + k[some] + i * 1000003)) % b[some]
+            out[some] = high * b[some] + low
+            some = some[out[some] >= n[some]]
+            if not len(some):
+                return pd.Series(out + 1)
+        raise ValueError("a place stayed outside the permutation")
+
+    return walked(place.cast("long"), n.cast("long"), key)
 
 
 def portable_uniform(ord_: Column, seed, salt: int) -> Column:
