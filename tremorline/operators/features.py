@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import geo
 from ..storage import written
+from . import windows
 from .completeness import trim_to_mc
 from .neighbors import deal_crowded, parts_for_pairs
 from .ordering import numbered
@@ -63,10 +64,10 @@ def prior_seismicity(summary: DataFrame, catalog: DataFrame, mc: float | Column
     """(by, cluster_id, n_prior_2d, n_prior_30d, n_prior_365d, prior_max_mag_365d, days_since_prior, prior_window_truncated).
 
     Complete events within the radius of the mainshock and strictly before it, itself
-    excluded; the windows include their far end.  An equi-join on cells of the sphere and
-    buckets of time finds the events of the longest window, and one aggregate serves all
-    windows.  The last event before has no such limit: only mainshocks without any in the window look
-    further back, each time twice as far, until one is found or the catalog begins.
+    excluded; the windows include their far end.  Trees of totals count all windows at once
+    (``windows``), so events in reach are not met one by one.  The last event before has no such limit: only
+    mainshocks without any in the window look further back, each time twice as far, by an equi-join on cells of
+    the sphere and buckets of time, until one is found or the catalog begins.
     """
     grid, reach = geo.Grid(radius_km * (1 + 1e-6)), radius_km * (1 + 1e-9)
     complete = trim_to_mc(catalog, mc) if mc is not None else catalog
@@ -78,9 +79,20 @@ def prior_seismicity(summary: DataFrame, catalog: DataFrame, mc: float | Column
     def near(some: DataFrame, low_us: int, high_us: int) -> DataFrame:
         return candidate_pairs(some, events, low_us, high_us, by).where(geo.haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("c_lat"), F.col("c_lon")) <= reach).withColumn("age", age)
 
-    counts = [F.count_if(F.col("age") <= d).cast("int").alias(f"n_prior_{d}d") for d in model.PRIOR_WINDOWS_DAYS]
     low, high = 0, longest * DAY_US + SLACK_US
-    found = near(main, low, high).groupBy(*keys).agg(*counts, F.max(F.when(F.col("age") <= longest, F.col("p_mag"))).alias(f"prior_max_mag_{longest}d"), F.min("age").alias("days_since_prior"))
+    places = complete.select(*by, "id", "mag", F.radians("latitude").alias("lat"), F.radians("longitude").alias("lon"), F.unix_micros("time").alias("us"))
+    moments = main.select(*(F.col(f"c_{c}").alias(c) for c in by), "c_cluster_id", "c_mainshock_id", F.col("c_lat").alias("lat"), F.col("c_lon").alias("lon"), F.col("c_us").alias("us"))
+    counted = windows.before(moments, places, reach, model.PRIOR_WINDOWS_DAYS, by, "c_cluster_id").where(F.col("last").isNotNull())
+    names = [f"n_prior_{d}d" for d in model.PRIOR_WINDOWS_DAYS]
+    tallied = counted.select(*(F.col(c).alias(f"c_{c}") for c in by), "c_cluster_id", *(F.col(f"n_{d}").cast("int").alias(n) for d, n in zip(model.PRIOR_WINDOWS_DAYS, names, strict=True)), F.col("largest").alias(f"prior_max_mag_{longest}d"), "last")
+    found = tallied.join(main.select(*keys, "c_us"), keys).withColumn("days_since_prior", (F.col("c_us") / F.lit(1e6) - F.col("last") / F.lit(1e6)) / F.lit(86400.0)).drop("c_us", "last")
+    # a catalog that has a mainshock's id at an earlier moment, too: these few meet their events one by one
+    twice = moments.withColumnsRenamed({"us": "c_us"}).join(places.select(*by, F.col("id").alias("c_mainshock_id"), "us"), [*by, "c_mainshock_id"]).where("us < c_us")
+    twice = written(twice.select(*(F.col(c).alias(f"c_{c}") for c in by), "c_cluster_id").distinct(), "prior-twice")
+    if not twice.isEmpty():
+        counts = [F.count_if(F.col("age") <= d).cast("int").alias(n) for d, n in zip(model.PRIOR_WINDOWS_DAYS, names, strict=True)]
+        singly = near(main.join(twice, keys, "left_semi"), low, high).groupBy(*keys).agg(*counts, F.max(F.when(F.col("age") <= longest, F.col("p_mag"))).alias(f"prior_max_mag_{longest}d"), F.min("age").alias("days_since_prior"))
+        found = found.join(twice, keys, "left_anti").unionByName(singly)
     known = written(main.join(found, keys, "left"), "prior-windows")
     first = events.agg(F.min("p_us")).first()[0]  # null: no events at all
     last, open_ = known.where("days_since_prior is not null").select(*keys, "days_since_prior"), known.where("days_since_prior is null").select(main.columns)

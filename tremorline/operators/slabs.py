@@ -37,11 +37,11 @@ def place(lat: np.ndarray, lon: np.ndarray, us: np.ndarray) -> np.ndarray:
 
 
 class Parts:
-    """Cuts of one group's catalog at medians of a sample, in which each event stands for ``step``."""
+    """Cuts of one group's catalog at medians of a sample, in which each event stands for ``step``; a microsecond counts as ``pace`` km."""
 
-    def __init__(self, at: np.ndarray, step: int, most: int):
+    def __init__(self, at: np.ndarray, step: int, most: int, pace: float | None = None):
         self.began, span = at[3].min(), max(1.0, np.ptp(at[3]))
-        self.scale = CLOSE_KM / model.EARTH_RADIUS_KM / span
+        self.scale = (CLOSE_KM / span if pace is None else pace) / model.EARTH_RADIUS_KM
         at = self._scaled(at)
         rows, nodes, i = [np.arange(at.shape[1])], [(-1, 0.0, 0)], 0
         while i < len(nodes):  # the two halves of a part stand behind it, next to each other
@@ -82,17 +82,17 @@ def plain(table: pa.Table | pa.RecordBatch, *columns: str) -> list[np.ndarray]:
     return [table.column(c).to_numpy(zero_copy_only=False) for c in columns]
 
 
-def parted(events: DataFrame, by: tuple, most: int) -> DataFrame:
-    """The events' columns with the number of their part of space."""
+def parted(events: DataFrame, by: tuple, most: int, where: tuple = ("_lat", "_lon", "_us"), number: str = "ord", pace: float | None = None) -> DataFrame:
+    """The events' columns with the number of their part of space (with ``pace``: of space and time)."""
     step = max(1, most // SAMPLED)
-    sample = events.where(F.pmod(F.xxhash64("ord"), F.lit(step)) == 0).select(*by, "_lat", "_lon", "_us").toArrow()
-    shipped = events.sparkSession.sparkContext.broadcast({key: Parts(place(*plain(own, "_lat", "_lon", "_us")), step, most) for key, own in by_group(sample, by).items()})
-    names = [*by, *COLUMNS]
+    sample = events.where(F.pmod(F.xxhash64(number), F.lit(step)) == 0).select(*by, *where).toArrow()
+    shipped = events.sparkSession.sparkContext.broadcast({key: Parts(place(*plain(own, *where)), step, most, pace) for key, own in by_group(sample, by).items()})
+    names = [*by, *COLUMNS] if pace is None else events.columns
 
     def run(batches):
         known = shipped.value
         for batch in batches:
-            at, part = place(*plain(batch, "_lat", "_lon", "_us")), np.zeros(batch.num_rows, dtype=np.int64)
+            at, part = place(*plain(batch, *where)), np.zeros(batch.num_rows, dtype=np.int64)
             if by:
                 numbers: dict[tuple, int] = {}
                 keys = np.array([numbers.setdefault(key, len(numbers)) for key in zip(*(batch.column(c).to_pylist() for c in by), strict=True)], dtype=np.int64)
