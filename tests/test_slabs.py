@@ -78,3 +78,16 @@ def test_permutations_are_arrays_in_tasks(spark):
             x = once(x)
         want.append(x + 1)
     assert [r.p for r in made.collect()] == want and sorted(want) == list(range(1, 1001))
+
+
+def test_parts_seldom_share_a_task(spark, monkeypatch):
+    """Forty parts dealt over thirty-two tasks leave some with four or five of them while the others wait."""
+    given = []
+    monkeypatch.setattr(slabs, "tasks_for", lambda groups, least: given.append(groups) or 4 * groups)
+    monkeypatch.setattr(slabs.search, "__defaults__", (*slabs.search.__defaults__[:-1], 100))
+    found(crowded(spark, 300), (), model.RadiusPolicy(), "slabs")
+    assert given[0] >= 3
+
+
+def test_tasks_grow_with_the_parts():
+    assert (slabs.tasks_for(2, 32), slabs.tasks_for(180, 32)) == (32, 720)

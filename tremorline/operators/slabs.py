@@ -24,6 +24,8 @@ from . import tree
 
 #: Events of a part of space, and parts of that in a slab of time; sampled events of a part, which only place the cuts.
 MOST, SLABS, SAMPLED = 100_000, 4, 200
+#: Tasks for each part of space.
+SPARE = 4
 #: The whole span of time counts as so many km when a part of space is cut.
 CLOSE_KM = 5.0
 #: Boxes hold events whose weights lie within this factor.
@@ -223,13 +225,19 @@ def large_or_beyond(d: float, r_min: float, names: list[str]):
     return run
 
 
+def tasks_for(groups: int, least: int) -> int:
+    """So many that groups, which are few and take long, seldom share a task."""
+    return max(least, SPARE * groups)
+
+
 def search(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min: float = model.R_MIN_KM, most: int = MOST) -> DataFrame:
     """(by, ord, best) of all earlier events, within the parents' radii ``_r`` where they have one."""
     from .neighbors import parts_for_pairs
 
-    tasks = parts_for_pairs(events)
     placed = written(parted(events.withColumn("ord", F.col("ord").cast("long")), by, most), "slabs-parts")
-    shipped = events.sparkSession.sparkContext.broadcast(boxed(placed, by))
+    boxes = boxed(placed, by)
+    tasks = tasks_for(sum(len(own.part) for own in boxes.values()), parts_for_pairs(events))
+    shipped = events.sparkSession.sparkContext.broadcast(boxes)
     columns = [*by, *COLUMNS, "part"]
     pair = [T.StructField(c, T.LongType() if c == "p_ord" else T.DoubleType()) for c in PAIR]
     fields = [placed.schema[c] for c in columns]

@@ -16,7 +16,7 @@ import numpy as np
 from .. import model
 
 #: Events of a leaf; earlier events that every child looks at first; children that are searched together.
-LEAF, FIRST, TOGETHER = 32, 32, 1024
+LEAF, FIRST, TOGETHER = 32, 32, 256
 #: Events whose weights lie within this factor share a part of the tree.
 WEIGHTS = 10.0
 YEAR_US = 1e6 * model.SECONDS_PER_YEAR
