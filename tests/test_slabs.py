@@ -91,3 +91,18 @@ def test_parts_seldom_share_a_task(spark, monkeypatch):
 
 def test_tasks_grow_with_the_parts():
     assert (slabs.tasks_for(2, 32), slabs.tasks_for(180, 32)) == (32, 720)
+
+
+def test_places_that_repeat_are_found_by_few_distances():
+    """Most parents are earlier events of the same place, long ago: cuts go through space first, and one leaf is looked at on the way down."""
+    from tremorline.operators import tree
+
+    g = np.random.default_rng(2)
+    n, spots = 40_000, 3000
+    at = g.integers(0, spots, n)
+    lat, lon = np.radians(g.uniform(-35, -30, spots))[at], np.radians(g.uniform(-72, -68, spots))[at]
+    side = neighbors.Side(np.arange(1, n + 1), lat, lon, np.sort(g.integers(0, 3 * 10**14, n)), 10 ** -np.round(4 + g.exponential(0.43, n), 1), np.full(n, np.nan))
+    some, seen = np.arange(n // 2, n, 200), []
+    _, place, *_ = tree.search(tree.EventTree(side), side, some, 1.5, 0.01, seen)
+    assert np.array_equal(place, neighbors.best_parents(side, some, 1.5, 0.01)[1])
+    assert sum(seen) / len(some) < 700
