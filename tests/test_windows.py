@@ -69,3 +69,18 @@ def test_a_mainshocks_own_id_is_left_out(spark):
     summary = df.where("day = 100").select(F.col("id").alias("cluster_id"), F.col("id").alias("mainshock_id"), F.col("time").alias("mainshock_time"), F.col("latitude").alias("mainshock_lat"), F.col("longitude").alias("mainshock_lon"))
     got = {r.cluster_id: (r.n_prior_2d, r.prior_max_mag_365d, r.days_since_prior) for r in features.prior_seismicity(summary, df, None, "1970-01-01").collect()}
     assert got == {"m": (1, 4.5, 2.0), "m2": (2, 6.0, 1.0)}
+
+
+def test_events_stand_in_one_cell(spark):
+    """Mainshocks go to the cells around them, also over the antimeridian and at a pole; a catalog isn't copied to nine cells each."""
+    from tremorline.functions import geo
+
+    rows = [(f"e{i}", float(i), lat, lon, 4.0) for i, (lat, lon) in enumerate([(-30.0, -70.0), (-30.5, -70.5), (0.0, 179.9), (0.1, -179.9), (89.9, 10.0), (89.8, -170.0)])]
+    events = spark.createDataFrame(rows, "id string, s double, latitude double, longitude double, mag double").withColumn("time", F.timestamp_seconds("s"))
+    grid = geo.Grid(100.0)
+    placed = features.earlier_events(events, grid)
+    assert placed.count() == 6
+    main = events.select(F.col("id").alias("cluster_id"), F.col("id").alias("mainshock_id"), F.col("time").alias("mainshock_time"), F.col("latitude").alias("mainshock_lat"), F.col("longitude").alias("mainshock_lon"))
+    met = features.candidate_pairs(features.mainshocks(main, grid, "1970-01-01"), placed, 0, 10**9)
+    assert {("e1", "e0"), ("e3", "e2"), ("e5", "e4")} <= {(r.c_cluster_id, r.p_id) for r in met.collect()}
+    assert met.count() == met.select("c_cluster_id", "p_id").distinct().count()
