@@ -248,6 +248,34 @@ def test_long_chain(spark):
     assert all(r.cluster_id == "n000" and r.generation == int(r.id[1:]) for r in out)
 
 
+def test_chains_are_followed_in_parts_of_space(spark, monkeypatch):
+    """Links inside a part aren't joined, and parts that cut every chain give the same clusters, by group."""
+    g, n = np.random.default_rng(3), 2000
+    up = [int(g.integers(max(0, i - 60), i)) if i and g.random() < 0.99 else None for i in range(n)]
+    rows = [(f"n{i:04d}", T0 + dt.timedelta(hours=i), float(g.uniform(-40, -30)), float(g.uniform(-75, -65)), 10.0, 4.0, None if u is None else f"n{u:04d}", i % 7 > 0) for i, u in enumerate(up)]
+    df = spark.createDataFrame(rows, SCHEMA + ", parent_id string, is_aftershock boolean")
+    want = {}
+    for r in rows:
+        root, depth = want[r[6]] if r[6] and r[7] else (r[0], -1)
+        want[r[0]] = (root, depth + 1)
+    real, counted = forest.written, []
+
+    def counting(df, name):
+        out = real(df, name)
+        counted.append(out.count() if name == "ancestors" else 0)
+        return out
+
+    monkeypatch.setattr(forest, "written", counting)
+    found = lambda out: {r.id: (r.cluster_id, r.generation) for r in out.collect()}
+    assert found(forest.assign_clusters(df)) == want and sum(counted) == 0
+    assert found(forest.assign_clusters(df, most=50)) == want and sum(counted) > 0
+    twice = df.withColumn("region", F.explode(F.array(F.lit(0), F.lit(1))))
+    out = forest.assign_clusters(twice, ("region",), 200)
+    assert out.count() == 2 * n and found(out.where("region = 0")) == found(out.where("region = 1")) == want
+    with pytest.raises(ValueError, match="not an earlier event"):
+        forest.assign_clusters(df.where("id <> 'n0002'").withColumn("is_aftershock", F.lit(True)))
+
+
 def test_productivity(spark):
     rows = []
     for k, m in enumerate((4.25, 4.75, 5.25, 5.75, 6.25)):

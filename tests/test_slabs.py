@@ -106,3 +106,21 @@ def test_places_that_repeat_are_found_by_few_distances():
     _, place, *_ = tree.search(tree.EventTree(side), side, some, 1.5, 0.01, seen)
     assert np.array_equal(place, neighbors.best_parents(side, some, 1.5, 0.01)[1])
     assert sum(seen) / len(some) < 700
+
+
+def test_children_that_know_a_parent_do_not_look_for_one_first():
+    """The way down to a leaf of each root only serves those that know nothing."""
+    from tremorline.operators import tree
+
+    g = np.random.default_rng(5)
+    n = 5000
+    side = neighbors.Side(np.arange(1, n + 1), np.radians(g.uniform(-35, -30, n)), np.radians(g.uniform(-72, -68, n)), np.sort(g.integers(0, 10**14, n)), 10 ** -np.round(4 + g.exponential(0.43, n), 1), np.full(n, np.nan))
+    own, some = tree.EventTree(side), np.arange(1, n)
+    eta, place, *_ = tree.search(own, side, some, 1.5, 0.01)
+    known = np.where(some % 5 == 0, np.inf, np.where(some % 5 == 1, eta / 2, eta))
+    again, found, *_ = tree.search(own, side, some, 1.5, 0.01, None, known)
+    better = some % 5 != 1
+    assert np.array_equal(found[better], place[better]) and np.array_equal(again[better], eta[better]) and (found[~better] < 0).all()
+    seen = []
+    tree.search(own, side, some, 1.5, 0.01, seen, np.zeros(len(some)))  # nothing can be as good, so no leaf is looked at
+    assert sum(seen) <= tree.FIRST * len(some)

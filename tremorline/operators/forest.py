@@ -1,56 +1,94 @@
-"""Clusters from accepted links: roots by pointer doubling, mainshocks and summaries."""
+"""Clusters from accepted links: roots inside parts of space, then by pointer doubling; mainshocks and summaries."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import model
 from ..functions import geo
 from ..storage import written
 from .ordering import numbered
+from .slabs import CLOSE_KM, MOST, parted, plain, tasks_for
 
 MOST_ROUNDS = 40
+#: Kilometres that a microsecond counts for when the catalog is cut: ten years as the neighbours' whole span.
+PACE = CLOSE_KM / (10 * model.SECONDS_PER_YEAR * 1e6)
 
 
-def assign_clusters(classified: DataFrame, by: tuple = ()) -> DataFrame:
+def heads(names: list[str]):
+    """A part's events with their highest ancestor in the part, the links to it, and the parent where it is in another part."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, up = table.column("id").combine_chunks(), table.column("_up")
+        at = pc.fill_null(pc.index_in(up.combine_chunks(), value_set=ids), -1).to_numpy(zero_copy_only=False)
+        (us,) = plain(table, "_us")
+        inside = at >= 0
+        step, depth = np.where(inside, at, np.arange(len(at))), inside.astype(np.int64)
+        late = inside & (us[step] >= us)
+        for _ in range(MOST_ROUNDS):
+            onward = step[step]
+            if np.array_equal(onward, step):
+                break
+            depth, step = depth + depth[step], onward
+        found = {"_up": pc.if_else(pa.array(inside), None, up), "_head": ids.take(pa.array(step)), "_depth": pa.array(depth), "_late": pa.array(late)}
+        return pa.Table.from_arrays([found[c] if c in found else table.column(c) for c in names], names=names)
+
+    return run
+
+
+def assign_clusters(classified: DataFrame, by: tuple = (), most: int = MOST) -> DataFrame:
     """Adds cluster_id (the root's id) and generation.
 
-    Each round joins every event's ancestor with that one's ancestor, so a chain of
-    length n takes log2(n) rounds; only events that aren't at a root yet are joined.
+    Most parents are near, so chains are first followed inside parts of space of a bounded number of
+    events, each in one task.  Only events whose parent is in another part are left to be joined: each round joins their
+    ancestors with those' ancestors, so a chain through n parts takes log2(n) rounds.
     """
     key = [*by, "id"]
     linked = F.col("is_aftershock") & F.col("parent_id").isNotNull()
-    times = classified.select(*by, F.col("id").alias("parent_id"), F.struct("time", "id").alias("_when"))
-    late = classified.where(linked).join(times, [*by, "parent_id"], "left").where("_when is null or _when.time >= time").limit(1).collect()
+    own = classified.withColumns({"_up": F.when(linked, F.col("parent_id")), "_us": F.unix_micros("time"), "_lat": F.radians("latitude"), "_lon": F.radians("longitude")})
+    placed = written(parted(own, by, most, number="id", pace=PACE).drop("_lat", "_lon"), "forest-parts")
+    kept = T.StructType([*(f for f in placed.schema if f.name != "part"), *(T.StructField(n, t) for n, t in (("_head", T.StringType()), ("_depth", T.LongType()), ("_late", T.BooleanType())))])
+    parts = placed.select(*by, "part").distinct().count()
+    local = written(placed.repartition(tasks_for(parts, placed.sparkSession.sparkContext.defaultParallelism), *by, "part").groupBy(*by, "part").applyInArrow(heads(kept.names), kept), "heads")
+
+    beyond = written(local.where("_up is not null").select(*key, "_up", "_us"), "beyond")
+    inner = local.select(*by, F.col("id").alias("_up"), F.col("_us").alias("_when"), F.col("_head").alias("_to"), (F.col("_depth") + 1).alias("depth"))
+    met = written(inner.join(beyond, [*by, "_up"]).select(*key, "_to", "depth", (F.col("_when") >= F.col("_us")).alias("_late")), "ancestors")
+    late = local.where("_late").select("id").unionByName(met.where("_late").select("id")).unionByName(beyond.join(met, key, "left_anti").select("id")).limit(1).collect()
     if late:
         raise ValueError(f"the parent of {late[0].id!r} is not an earlier event of the catalog")
-    links = written(classified.select(*key, F.when(linked, F.col("parent_id")).alias("up")), "links")
-    done = links.where("up is null").select(*key, F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"))
-    open_ = links.where("up is not null").select(*key, "up", F.lit(1).cast("long").alias("depth"))
     for _ in range(MOST_ROUNDS):
-        ends = done.select(*by, F.col("id").alias("up"), F.lit(True).alias("_end"), F.col("root").alias("_to"), F.col("depth").alias("_more"))
-        inner = open_.select(*by, F.col("id").alias("up"), F.lit(False).alias("_end"), F.col("up").alias("_to"), F.col("depth").alias("_more"))
-        step = written(open_.join(ends.unionByName(inner), [*by, "up"]).select(*key, "_end", "_to", (F.col("depth") + F.col("_more")).alias("depth")), "ancestors")
-        found = step.where("_end").select(*key, F.col("_to").alias("root"), "depth")
-        done = done.unionByName(found)
-        open_ = step.where("not _end").select(*key, F.col("_to").alias("up"), "depth")
-        if open_.isEmpty():
+        onward = met.select(*by, F.col("id").alias("_to"), F.col("_to").alias("_on"), F.col("depth").alias("_more"))
+        step = met.select(*key, "_to", "depth").join(onward, [*by, "_to"], "left")
+        met = written(step.select(*key, F.coalesce("_on", "_to").alias("_to"), (F.col("depth") + F.coalesce("_more", F.lit(0))).alias("depth"), F.col("_on").isNotNull().alias("_moved")), "ancestors")
+        if met.where("_moved").isEmpty():
             break
     else:
         raise ValueError("the links have a cycle")
-    return classified.join(done.select(*key, F.col("root").alias("cluster_id"), F.col("depth").cast("int").alias("generation")), key)
+    onto = met.select(*by, F.col("id").alias("_head"), "_to", F.col("depth").alias("_more"))
+    generation = (F.col("_depth") + F.coalesce("_more", F.lit(0))).cast("int")
+    out = local.join(onto, [*by, "_head"], "left").select(*key, *(c for c in classified.columns if c not in key), F.coalesce("_to", "_head").alias("cluster_id"), generation.alias("generation"))
+    return written(out, "assigned")
 
 
 def with_mainshock(clustered: DataFrame, definition: str = "largest", by: tuple = ()) -> DataFrame:
     """Adds order_in_cluster and is_mainshock: the largest event (of equal ones the first) or the root."""
     if definition not in ("largest", "root"):
         raise ValueError(f"unknown mainshock definition {definition!r}; it is 'largest' or 'root'")
-    out = numbered(clustered, ("time", "ord"), (*by, "cluster_id"), "_place").withColumn("order_in_cluster", (F.col("_place") - 1).cast("int")).drop("_place")
+    key = [*by, "cluster_id"]
+    out = numbered(clustered, ("time", "ord"), tuple(key), "_place").withColumn("order_in_cluster", (F.col("_place") - 1).cast("int"))
     if definition == "root":
-        return out.withColumn("is_mainshock", F.col("generation") == 0)
-    main = clustered.groupBy(*by, "cluster_id").agg(F.min(F.struct((-F.col("mag")).alias("size"), "time", "ord")).alias("_main"))
-    return out.join(main, [*by, "cluster_id"]).withColumn("is_mainshock", F.col("ord") == F.col("_main.ord")).drop("_main")
+        return out.drop("_place").withColumn("is_mainshock", F.col("generation") == 0)
+    # a minimum of structs would sort all events; two of numbers don't
+    size = F.coalesce(-F.col("mag"), F.lit(float("-inf")))
+    largest = written(out.groupBy(*key).agg(F.min(size).alias("_size")), "largest")
+    first = written(out.join(largest, key).where(size == F.col("_size")).groupBy(*key).agg(F.min("_place").alias("_first")), "mainshocks")
+    return out.join(first, key).withColumn("is_mainshock", F.col("_place") == F.col("_first")).drop("_place", "_first")
 
 
 def summarize(events: DataFrame, by: tuple = ()) -> DataFrame:

@@ -25,6 +25,7 @@ def numbered(df: DataFrame, order: tuple[str, ...], by: tuple[str, ...] = (), na
     sizes = placed.groupBy(*by, part.alias("_part")).agg(F.min(row).alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
     starts = sizes.select(*(F.col(c).alias(f"_by {c}") for c in by), F.col("_part").alias("_of"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = written(starts, "starts")  # so that its size is known before the rows would be shuffled to meet it
     same = part == F.col("_of")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_by {c}"))

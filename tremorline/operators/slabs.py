@@ -23,7 +23,7 @@ from ..storage import written
 from . import tree
 
 #: Events of a part of space, and parts of that in a slab of time; sampled events of a part, which only place the cuts.
-MOST, SLABS, SAMPLED = 50_000, 2, 200
+MOST, SLABS, SAMPLED = 50_000, 8, 200
 #: Tasks for each part of space.
 SPARE = 4
 #: The whole span of time counts as so many km when a part of space is cut.
@@ -262,5 +262,7 @@ def search(events: DataFrame, by: tuple = (), d: float = model.FRACTAL_D, r_min:
     hosts = met(placed).select(*columns, F.lit(None).cast("double").alias("eta"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(False).alias("child"))
     three = T.StructType([*fields[: len(by) + 1], *pair])
     third = visiting.unionByName(hosts).repartition(tasks, *keys).groupBy(*keys).applyInArrow(large_or_beyond(d, r_min, three.names), three)
-    least = F.struct(*PAIR).alias("best")
-    return second.where("p_ord > 0").select(*by, "ord", least).unionByName(third.select(*by, "ord", least)).groupBy(*by, "ord").agg(F.min("best").alias("best"))
+    least = F.struct(*PAIR)
+    better = written(third.groupBy(*by, "ord").agg(F.min(least).alias("_better")), "slabs-third")  # few rows, so the others needn't be shuffled to meet them
+    both = second.join(better, [*by, "ord"], "left").select(*by, "ord", F.least(F.when(F.col("p_ord") > 0, least), F.col("_better")).alias("best"))
+    return both.where("best is not null")

@@ -111,11 +111,11 @@ def search(tree: EventTree, side, at: np.ndarray, d: float, r_min: float, seen:
     eta, place = np.full(len(at), np.inf) if known is None else np.nextafter(known, np.inf), np.full(len(at), -1, dtype=np.int64)
     for lo in range(0, len(at), TOGETHER):
         batch = slice(lo, lo + TOGETHER)
-        _search(tree, side, at[batch], d, r_min, eta[batch], place[batch], seen)
+        _search(tree, side, at[batch], d, r_min, eta[batch], place[batch], seen, None if known is None else known[batch])
     return eta, place, *side.exact(at, np.maximum(place, 0), d, r_min)[1:]
 
 
-def _search(tree: EventTree, side, j: np.ndarray, d: float, r_min: float, eta: np.ndarray, place: np.ndarray, seen: list[int] | None) -> None:
+def _search(tree: EventTree, side, j: np.ndarray, d: float, r_min: float, eta: np.ndarray, place: np.ndarray, seen: list[int] | None, known: np.ndarray | None) -> None:
     """Fills the views eta and place of one batch."""
     earlier = np.searchsorted(side.us, side.us[j], side="left")  # events before this place are earlier
 
@@ -176,16 +176,17 @@ def _search(tree: EventTree, side, j: np.ndarray, d: float, r_min: float, eta: n
         low = np.maximum(us - last, 1.0) / YEAR_US * power(np.maximum(far, r_min), d) * tree.weight[nodes] * MARGIN
         return low, (low <= eta[child]) & (far <= tree.reach[nodes]) & (tree.first[nodes] < us)
 
-    # of each root the leaf that looks best on the way down: what it holds leaves little of the tree to be looked at
     every, roots = np.repeat(np.arange(len(j)), tree.roots), np.tile(np.arange(tree.roots), len(j))
-    node = roots.copy()
+    # who knows no parent looks at the leaf of each root that is best on the way down: what it holds leaves little of the tree to be looked at
+    blind = np.ones(len(every), dtype=bool) if known is None else np.isinf(known)[every]
+    first, node = every[blind], roots[blind]
     while len(inner := np.flatnonzero(tree.child[node] >= 0)):
         two = tree.child[node[inner]]
-        (left, l_may), (right, r_may) = (bounds(every[inner], n, tree.last[n]) for n in (two, two + 1))
+        (left, l_may), (right, r_may) = (bounds(first[inner], n, tree.last[n]) for n in (two, two + 1))
         right_is_better = np.where(r_may, right, np.inf) < np.where(l_may, left, np.inf)
         node[inner] = two + (right_is_better | ~l_may & ~r_may)
     tried = tree.number[node]
-    visit(every, tried)
+    visit(first, tried)
 
     child, nodes = every, roots
     leaves = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
@@ -198,7 +199,7 @@ def _search(tree: EventTree, side, j: np.ndarray, d: float, r_min: float, eta: n
     child, nodes, low = (np.concatenate(x) for x in zip(*leaves, strict=True))
     leaf = tree.number[nodes]
     new = low <= eta[child]
-    new[new] = ~np.isin(child[new] * len(tree.event) + leaf[new], every * len(tree.event) + tried)
+    new[new] = ~np.isin(child[new] * len(tree.event) + leaf[new], first * len(tree.event) + tried)
     child, nodes, leaf = child[new], nodes[new], leaf[new]
     # a leaf's events are in order of time: its last earlier one says how near in time it can be
     behind = np.searchsorted(tree.key, leaf * tree.step + earlier[child]) - leaf * tree.event.shape[1]
