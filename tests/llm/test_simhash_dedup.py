@@ -76,6 +76,21 @@ def test_large_buckets_as_brute_force(spark):
     check_links(spark, planted(30, 4), 2)
 
 
+def test_buckets_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the nodes' 31 tables, and the points around them, for as small as the nodes."""
+    plans, materialize = [], S.shared.materialize
+
+    def planned(df, name, *level):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialize(df, name, *level)
+
+    monkeypatch.setattr(S.shared, "materialize", planned)
+    nodes = materialize(spark.createDataFrame([(S.signed(p),) for p in set(planted(30, 4))], "fp long"), "nodes")
+    edges = S.links(nodes, 4, 2)
+    plans.append(edges._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_components_of_documents(spark):
     base = "the quick brown fox jumps over the lazy dog and runs far away from here today".split()
     rnd = random.Random(6)

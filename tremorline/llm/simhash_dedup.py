@@ -100,7 +100,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFra
     tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in enumerate(masks)))
     buckets = nodes.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key")
     shared_buckets = buckets.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = shared.materialize(buckets.join(shared_buckets, ["t", "key"]), "simhash-buckets")
+    # Spark sizes rows behind an explode or a mapInArrow as those before it, and would broadcast them: hence the hints
+    members = shared.materialize(buckets.hint("merge").join(shared_buckets, ["t", "key"]), "simhash-buckets")
 
     def compare(batches):
         """Runs of sorted rows are buckets; their links' spanning forests go out."""
@@ -157,7 +158,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFra
         spread = members.where(F.col("n") > small).select("t", "key", "fp").mapInArrow(balls, "t int, point long, fp long")
         # a point names its bucket: the bits under the mask are the bucket's key
         least = spread.groupBy("t", "point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        near = near.unionAll(spread.join(least, ["t", "point"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
+        near = near.unionAll(spread.hint("merge").join(least, ["t", "point"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
     return near.distinct()
 
 
@@ -166,10 +167,11 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", radius:
     prints = shared.materialize(fingerprints(docs, key, text, width), "simhash")
     nodes = shared.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     roots = connected_components(links(nodes.select("fp"), radius), "simhash-edges")
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # both tables have a row a document and are compressed to a fraction of their size in memory
+    named = nodes.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = named.join(firsts, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.hint("merge").join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS, width: int = SHINGLE) -> DataFrame:
