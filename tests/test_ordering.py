@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tremorline.operators import forest, ordering, silver
+from tremorline.operators import forest, horizons, ordering, silver
 
 
 def rows_of(n, seed=3):
@@ -65,6 +65,17 @@ def test_mainshocks_of_many_clusters_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # the few starts of partitions
 
 
+def test_rows_of_clusters_are_not_broadcast(spark):
+    """Spark takes a few columns of the clusters for small; a catalog of single events has as many clusters as events."""
+    rows = [(f"c{i}", i, 4.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, ord long, mag double").withColumns({"time": F.timestamp_seconds("ord"), "latitude": F.lit(0.0), "longitude": F.lit(0.0), "depth": F.lit(1.0), "is_aftershock": F.lit(False), "parent_id": F.lit(None).cast("string")})
+    events, summary = forest.build_clusters(df)
+    for table in (events, horizons.aftershock_delays(events, summary)):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert events.count() == summary.count() == 40
+
+
 def test_raw_columns_are_parsed_once(spark):
     """A filter on parsed columns isn't put below the parsing."""
     raw = spark.createDataFrame([("a", "2020-01-01", None, "1", "2", "3", "4", "earthquake"), ("b", "2020-01-01", None, "x", "2", "3", "4", "earthquake"), ("c", "", None, "1", "2", "3", "4", "earthquake")], "id string, time string, updated string, latitude string, longitude string, depth string, mag string, type string")
